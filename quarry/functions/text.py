@@ -33,7 +33,7 @@ def token_class(tok: Column) -> Column:
             .when(tok.rlike(r"^\w+$"), "word")
             .when(tok == " ", "space")
             .when(tok == "\n", "newline")
-            .when(tok.rlike(r"^[.,;:!?'\"()\[\]{}-]$"), "punct")
+            .when(tok.rlike(r"^[.,;:!?()\[\]{}-]$"), "punct")
             .otherwise("other"))
 
 
