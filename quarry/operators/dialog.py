@@ -255,7 +255,7 @@ def dialog_pairs(dlg_lines: DataFrame, character: Column | str, key: str = "dial
     d = d.withColumn("_spk", spk)
     prev_spk = F.lag("_spk").over(w)
     prev_q = F.lag(~F.col("_isr"), 1, False).over(w)
-    cont = ~F.col("_isr") & prev_q & F.col("_spk").isNotNull() & (F.col("_spk") == prev_spk)
+    cont = F.coalesce(~F.col("_isr") & prev_q & F.col("_spk").isNotNull() & (F.col("_spk") == prev_spk), F.lit(False))
     d = d.withColumn("_cont", cont).withColumn("_blk", F.sum((~F.col("_cont")).cast("int")).over(wr))
     piece = F.when(F.col("_cont"), F.replace(F.col(line), F.concat(F.col("_spk"), F.lit(COLON)), F.lit(""))) \
         .otherwise(F.col(line))
