@@ -1 +1,128 @@
-"""Registered queries."""
+"""Registered HTML page queries (P1-P17) over ``pages``.
+
+Trim rules are site configuration (a handful of XPath strings), not data; the rules
+used here remove the ad blocks, navigation and footers present on every page.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import urls as FU
+from ..operators import html as H
+from ..operators import text as T
+from .registry import Tables, register
+
+TRIM_RULES = ["//div[@class='ad']", "//nav", "//footer"]
+
+
+def _nodes(spark, sf):
+    return H.parse_nodes(Tables(spark, sf).pages)
+
+
+def _cols(d):
+    return d.select("page_id", "node_id", "subtree_end", "parent_id", "depth", "kind", "tag", "text")
+
+
+@register("p2_parse_nodes")
+def p2_parse_nodes(spark, sf):
+    return _cols(_nodes(spark, sf))
+
+
+@register("p3_drop_tags")
+def p3_drop_tags(spark, sf):
+    return _cols(H.drop_tags(_nodes(spark, sf)))
+
+
+@register("p4_drop_blank")
+def p4_drop_blank(spark, sf):
+    return _cols(H.drop_blank(H.drop_tags(_nodes(spark, sf))))
+
+
+@register("p5_keep_attrs")
+def p5_keep_attrs(spark, sf):
+    d = H.keep_attrs(_nodes(spark, sf)).where(F.size("attrs") > 0)
+    return d.select("page_id", "node_id", F.explode("attrs").alias("attr", "value"))
+
+
+@register("p6_decode_links")
+def p6_decode_links(spark, sf):
+    d = H.decode_links(_nodes(spark, sf)).where(F.col("tag") == "a")
+    return d.select("page_id", "node_id", F.element_at("attrs", F.lit("href")).alias("href"))
+
+
+@register("p7_apply_trim_rules")
+def p7_apply_trim_rules(spark, sf):
+    return _cols(H.apply_trim_rules(H.clean_html(_nodes(spark, sf)), TRIM_RULES))
+
+
+@register("p8_rule_hits")
+def p8_rule_hits(spark, sf):
+    rules = spark.createDataFrame(list(enumerate(TRIM_RULES + ["//aside"])), "rule_no int, rule string")
+    r = H.rule_hits(_nodes(spark, sf), rules)
+    return r.select("rule_no", "n_hits", "n_pages", "rejected", F.size("sample_nodes").alias("n_samples"))
+
+
+@register("p1_page_meta", """
+SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
+       '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title
+FROM pages WHERE contains(html, '<article')
+""")
+def p1_page_meta(spark, sf):
+    return H.page_meta(_nodes(spark, sf)).select("page_id", "title")
+
+
+@register("p11_structure_signature")
+def p11_structure_signature(spark, sf):
+    s = H.structure_signature(_nodes(spark, sf))
+    return s.groupBy("signature").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@register("p12_collapse_siblings")
+def p12_collapse_siblings(spark, sf):
+    return _cols(H.collapse_siblings(_nodes(spark, sf)))
+
+
+@register("p14_left_prefix")
+def p14_left_prefix(spark, sf):
+    return _cols(H.left_prefix(H.clean_html(_nodes(spark, sf)), 2000))
+
+
+def _main_nodes(spark, sf):
+    nodes = _nodes(spark, sf)
+    meta = H.page_meta(nodes)
+    main = H.main_content(nodes, meta)
+    return H.apply_trim_rules(H.decode_links(H.clean_html(main)), TRIM_RULES), meta
+
+
+@register("p15_to_markdown")
+def p15_to_markdown(spark, sf):
+    nodes, _ = _main_nodes(spark, sf)
+    return H.to_markdown(nodes)
+
+
+@register("p16_render_html")
+def p16_render_html(spark, sf):
+    nodes, _ = _main_nodes(spark, sf)
+    return H.render_html(nodes)
+
+
+def build_corpus(spark, sf):
+    """Pages → main content → clean → trim → Markdown → phrase dedup → items."""
+    pages = Tables(spark, sf).pages
+    nodes = H.parse_nodes(pages)
+    meta = H.page_meta(nodes)
+    main = H.apply_trim_rules(H.decode_links(H.clean_html(H.main_content(nodes, meta))), TRIM_RULES)
+    md = H.to_markdown(main)
+    html = H.render_html(main)
+    items = (meta.select("page_id", "title", "modified_at")
+             .join(pages.select("page_id", "url"), "page_id")
+             .join(md, "page_id", "left").join(html, "page_id", "left"))
+    items = items.withColumn("markdown", T.dedup_text(F.coalesce("markdown", F.lit(""))))
+    return items.select("page_id", FU.unquote(F.col("url")).alias("url"), "title", "modified_at", "markdown", "html",
+                        FU.save_key(F.col("url")).alias("save_to"))
+
+
+@register("p17_build_corpus")
+def p17_build_corpus(spark, sf):
+    return build_corpus(spark, sf)
