@@ -60,3 +60,18 @@ def running_totals(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping
 def key_sizes(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
     """Per key: ``n`` = max(pos)+1 for a dense 0-based list (pure aggregation, skew-safe)."""
     return df.groupBy(*keys).agg((F.max(pos) + 1).alias("_n"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` when the scan has fewer partitions than the cluster has cores.
+
+    A small input stored as one file with one row group scans as a single task, which
+    would run every CPU-heavy step (regex tokenisation, parsing, Python folds) on one
+    core. Large inputs already arrive in many splits and are left alone (no shuffle).
+    Hashing by the entity key means later windows and groups on that key reuse the
+    partitioning instead of shuffling again.
+    """
+    cores = int(df.sparkSession.sparkContext.defaultParallelism)
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)

@@ -29,6 +29,10 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Text-heavy tables and their entity keys: spread when under-partitioned (see scan.spread).
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 class Tables:
     """Lazy accessor: ``T(spark, sf_dir).conversations``."""
 
@@ -36,7 +40,11 @@ class Tables:
         self._spark, self._dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return load(self._spark, self._dir, name)
+        df = load(self._spark, self._dir, name)
+        if name in SPREAD_KEYS:
+            from ..operators.scan import spread
+            df = spread(df, SPREAD_KEYS[name])
+        return df
 
 
 def _load_all_modules() -> None:

@@ -81,3 +81,15 @@ def test_tokens_lossless(spark):
     df = spark.createDataFrame([("中文 words, 1.5\n\nx",)], "t STRING")
     r = df.select(FT.tokens(F.col("t")).alias("k")).collect()[0].k
     assert "".join(r) == "中文 words, 1.5\n\nx" and r[:2] == ["中", "文"]
+
+
+def test_fast_dedup_equals_plain_statement():
+    rng = random.Random(1)
+    alpha = ["a", "b", "c", " ", "1", "[", "\n", "中", "ab"]
+    for _ in range(2000):
+        toks = [rng.choice(alpha) for _ in range(rng.randint(0, 40))]
+        ref = toks
+        for n in range(10, 2, -1):
+            assert T.dedup_pass(ref, n) == T._dedup_pass_plain(ref, n)
+            ref = T._dedup_pass_plain(ref, n)
+        assert T.dedup_tokens(toks) == ref
