@@ -1 +1,35 @@
-"""Registered source and sink queries."""
+"""Registered source/sink queries that run on the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import files as S
+from .registry import Tables, register
+
+
+@register("s6_incremental_upsert", """
+WITH new AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END
+                    AS o_orderdate, o_totalprice FROM orders),
+changed AS (SELECT * FROM new WHERE (o_orderkey, o_orderdate) NOT IN (SELECT (o_orderkey, o_orderdate) FROM orders))
+SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changed)
+UNION ALL SELECT * FROM changed
+""")
+def s6_incremental_upsert(spark, sf):
+    orders = Tables(spark, sf).orders
+    stored = orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    # finished orders come back with a new modification date; the others are unchanged
+    new = orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F",
+                                             F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
+                        .otherwise(F.col("o_orderdate")).alias("o_orderdate"), "o_totalprice")
+    _changed, store = S.incremental_upsert(new, stored, "o_orderkey", "o_orderdate")
+    return store
+
+
+@register("s11_pending_work", """
+SELECT d.doc_id, l.quality AS stored, l.quality IS NULL AS pending
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def s11_pending_work(spark, sf):
+    t = Tables(spark, sf)
+    return S.pending_work(t.documents.select("doc_id"), t.labels, "doc_id", "quality")
