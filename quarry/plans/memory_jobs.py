@@ -169,3 +169,33 @@ def m14_unpack_messages(spark, sf):
     log = Tables(spark, sf).conversations.select(*_LOG)
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     return M.unpack_messages(M.pack_messages(log, ts)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def answer_prompts(spark, sf, k_retrieve: int = 16, k_context: int = 4):
+    """Chat answer plan, batch form: for every conversation the last user message is the
+    question, the messages before it are the bounded history (M9), documents are retrieved
+    by sparse similarity (V8) and the top ``k_context`` become the context (V6); M15 then
+    renders the condense prompt and the system prompt."""
+    from ..operators import retrieval as V
+    t = Tables(spark, sf)
+    log = t.conversations.select(*_LOG)
+    last_user = log.where(F.col("role") == "user").groupBy("conv_id").agg(
+        F.max(F.struct("turn", "text")).alias("_q"))
+    questions = last_user.select("conv_id", F.col("_q.turn").alias("q_turn"), F.col("_q.text").alias("question"))
+    before = log.join(questions.select("conv_id", "q_turn"), "conv_id").where(F.col("turn") < F.col("q_turn")) \
+        .drop("q_turn")
+    history = M.history_window(before)
+    idf = V.idf_table(t.documents)
+    dtop = V.sparse_top_n(V.sparse_max(V.lexical_postings(t.documents, idf)))
+    q = questions.select(F.col("conv_id").alias("qid"), F.col("question").alias("text"))
+    qtop = V.sparse_top_n(V.sparse_max(V.lexical_postings(q, idf, key="qid"), key="qid"), key="qid")
+    cands = V.sparse_topk(qtop, dtop, k=k_retrieve).withColumnRenamed("doc_id", "id")
+    top = V.rerank(cands, cands.select("qid", "id", "score"), k=k_context)
+    ctx = top.join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("ctx_text")), "id") \
+        .select(F.col("qid").alias("conv_id"), "rank", "ctx_text")
+    return M.assemble_prompts(questions, history, ctx)
+
+
+@register("m15_assemble_prompts")
+def m15_assemble_prompts(spark, sf):
+    return answer_prompts(spark, sf)
