@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ..operators import dialog as D
 from .registry import Tables, register
 
-_LINE = F.concat(F.col("role"), F.lit("："), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+def _line():
+    return F.concat(F.col("role"), F.lit("："), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
 _SQL_LINE = "role || '：' || replace(text, chr(10), ' ')"
 _STRIP = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
 def _lines(t):
     return t.conversations.select(F.col("conv_id").alias("dialog_id"), F.col("turn").alias("line_no"),
-                                  _LINE.alias("line"))
+                                  _line().alias("line"))
 
 
 def _dialogs(t):
@@ -80,7 +81,7 @@ FROM g GROUP BY folder, group_no, summary HAVING summary <> ''
 
 def _frags(t):
     return t.conversations.select(F.col("conv_id").alias("folder"), F.col("turn").alias("frag_no"),
-                                  F.col("role").alias("summary"), _LINE.alias("dialog"))
+                                  F.col("role").alias("summary"), _line().alias("dialog"))
 
 
 @register("d12_merge_by_summary", _MERGE_SQL.format(line=_SQL_LINE, where=""))
