@@ -138,6 +138,8 @@ def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                 out.extend([pid, *r] for r in html_to_rows(h))
             yield pd.DataFrame(out, columns=cols)
 
+    from ..session import apply_workarounds
+    apply_workarounds(pages.sparkSession)
     nodes = pages.select(F.col(key).cast("long").alias(key), html).mapInPandas(run, NODE_SCHEMA)
     return nodes.withColumnRenamed("page_id", key).repartition(key)
 

@@ -37,6 +37,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping
     ``_off_<name>`` (sums of all earlier blocks) to drop rows that cannot qualify
     before the row-level window runs (the totals are monotone for non-negative values).
     """
+    from ..session import apply_workarounds
+    apply_workarounds(df.sparkSession)
     keys = list(keys)
     names = list(values)
     d = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)).cast("long"))
@@ -71,6 +73,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Hashing by the entity key means later windows and groups on that key reuse the
     partitioning instead of shuffling again.
     """
+    from ..session import apply_workarounds
+    apply_workarounds(df.sparkSession)
     cores = int(df.sparkSession.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= cores:
         return df

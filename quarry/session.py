@@ -19,6 +19,22 @@ DEFAULT_CONF = {
 }
 
 
+# Spark 4.1.2 workaround: with a repartitioned scan feeding both sides of a union that is
+# joined to its own aggregate, constraint-based filter inference produced a plan that
+# duplicated rows (a filter on an attribute its child did not output). Excluding that one
+# optimizer rule restores correct results; it only adds inferred IS NOT NULL filters.
+EXCLUDED_RULES = ["org.apache.spark.sql.catalyst.optimizer.InferFiltersFromConstraints"]
+
+
+def apply_workarounds(spark: SparkSession) -> None:
+    """Add our excluded optimizer rules to the session (keeps any rules already excluded)."""
+    key = "spark.sql.optimizer.excludedRules"
+    cur = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
+    missing = [r for r in EXCLUDED_RULES if r not in cur]
+    if missing:
+        spark.conf.set(key, ",".join(cur + missing))
+
+
 def build_session(master: str | None = None, app: str = "quarry", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -32,6 +48,7 @@ def build_session(master: str | None = None, app: str = "quarry", shuffle_partit
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    apply_workarounds(spark)
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -131,3 +131,13 @@ def test_pack_unpack_roundtrip(spark):
     back = M.unpack_messages(packed).orderBy("turn").collect()
     assert [(r.role, r.text) for r in back] == PAIR
     assert M.model_token_limit("deepseek-chat") == 24576 and M.model_token_limit(None) == 3000
+
+
+def test_insert_on_repartitioned_input_keeps_row_count(spark):
+    # regression: a repartitioned log feeding both sides of the insert's union used to duplicate rows
+    rows = [(str(k), i, "user", f"m{i}") for k in range(20) for i in range(k % 5 + 1)]
+    lg = spark.createDataFrame(rows, SCHEMA).repartition(7, "conv_id")
+    new = lg.groupBy("conv_id").agg(F.lit("system").alias("role"), F.lit("s").alias("text"), F.lit(-1).alias("idx"))
+    out = M.add_messages(lg, new)
+    assert out.count() == len(rows) + 20
+    assert out.groupBy("conv_id", "turn").count().where("count > 1").count() == 0
