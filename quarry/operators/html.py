@@ -406,3 +406,78 @@ def to_markdown(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     per_block = per_block.where(F.col("body") != "").withColumn("line", line)
     return per_block.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_id", "line"))),
                                                                lambda s: s["line"]), "\n\n").alias("markdown"))
+
+
+# ------------------------------------------------------------------ template pruning
+MAX_TEMPLATE_NODES = 200_000
+
+
+def _children(rows):
+    kids: dict[int, list[int]] = {}
+    for nid, parent in rows:
+        kids.setdefault(parent, []).append(nid)
+    return kids
+
+
+def prune_tree(page: dict, tpl: dict) -> set[int]:
+    """Kept node ids of one page pruned to a template (both: ``{node_id: (parent, kind, tag, cls)}``).
+
+    Children are matched in order: a page child equal to the current template child (same
+    element name and class) is kept and matched recursively; any other page child is
+    removed; page children left after the template's run out are removed too. Text and
+    comment nodes never match. Where the template node has no children the page keeps the
+    whole subtree. The virtual roots (top-level nodes) are matched the same way.
+    """
+    pk = _children(sorted((n, v[0]) for n, v in page.items()))
+    tk = _children(sorted((n, v[0]) for n, v in tpl.items()))
+
+    def same(o, s):
+        a, b = page[o], tpl[s]
+        return a[1] == "element" and b[1] == "element" and a[2] == b[2] and a[3] == b[3]
+
+    keep: set[int] = set()
+    stack = [(-1, -1)]
+    while stack:
+        o, s = stack.pop()
+        oc, sc = pk.get(o, []), tk.get(s, [])
+        if not sc and o != -1:
+            # the template stops here: the page keeps this node's whole subtree
+            sub = list(oc)
+            while sub:
+                x = sub.pop()
+                keep.add(x)
+                sub.extend(pk.get(x, []))
+            continue
+        j = 0
+        for child in oc:
+            if j < len(sc) and same(child, sc[j]):
+                keep.add(child)
+                stack.append((child, sc[j]))
+                j += 1
+    return keep
+
+
+def prune_to_template(nodes: DataFrame, template: DataFrame, key: str = "page_id") -> DataFrame:
+    """Prune every page to the template tree (a node table of one page).
+
+    The template is configuration-sized; its node count is checked before it is shipped
+    to the tasks. Pages are pruned independently (``applyInPandas`` per page; a page was
+    one input row, so a group is bounded by one page).
+    """
+    n_tpl = template.count()
+    if n_tpl > MAX_TEMPLATE_NODES:
+        raise ValueError(f"template has {n_tpl} nodes; at most {MAX_TEMPLATE_NODES} are supported")
+    tpl = {r.node_id: (r.parent_id, r.kind, r.tag, r.cls) for r in template.select(
+        "node_id", "parent_id", "kind", "tag", F.element_at("attrs", F.lit("class")).alias("cls")).collect()}
+    cols = nodes.columns
+    slim = nodes.select(key, "node_id", "parent_id", "kind", "tag",
+                        F.element_at("attrs", F.lit("class")).alias("cls"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        page = {int(n): (int(p), k, t, c) for n, p, k, t, c in
+                zip(pdf["node_id"], pdf["parent_id"], pdf["kind"], pdf["tag"], pdf["cls"])}
+        kept = prune_tree(page, tpl)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "node_id": sorted(kept)})
+
+    kept = slim.groupBy(key).applyInPandas(run, f"{key} long, node_id int")
+    return nodes.join(kept, [key, "node_id"], "left_semi").select(*cols)

@@ -126,3 +126,15 @@ def build_corpus(spark, sf):
 @register("p17_build_corpus")
 def p17_build_corpus(spark, sf):
     return build_corpus(spark, sf)
+
+
+@register("p13_prune_to_template")
+def p13_prune_to_template(spark, sf):
+    """Template = the first page of the largest structure cluster (P11), pruned with P12;
+    every page is then pruned to it."""
+    nodes = H.clean_html(_nodes(spark, sf))
+    sig = H.structure_signature(nodes)
+    sizes = sig.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    pick = sig.join(sizes, "signature").orderBy(F.col("n").desc(), "page_id").limit(1).select("page_id")
+    template = H.collapse_siblings(nodes.join(pick, "page_id", "left_semi"))
+    return _cols(H.prune_to_template(nodes, template))
