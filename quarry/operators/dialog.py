@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.prompts import QUESTION_ANSWER_SYSTEM_TEMPLATE, ROLE_PLAY_SYSTEM_TEMPLATE, render
-from .scan import running_totals
+from .scan import previous_values, running_totals
 
 # Fixed values that must match the reference behaviour.
 CHINESE_NUMERALS = "一二三四五六七八九十"
@@ -242,32 +242,32 @@ def dialog_pairs(dlg_lines: DataFrame, character: Column | str, key: str = "dial
     pairs them with the first query: ``leading="reference"``). Turns need both parts.
     """
     ch = F.concat(character if isinstance(character, Column) else F.lit(character), F.lit(COLON))
-    w = Window.partitionBy(key).orderBy(line_no)
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = dlg_lines.withColumn("_isr", F.col(line).startswith(ch)).withColumn("_ch", ch)
-    d = d.withColumn("_nq", F.sum((~F.col("_isr")).cast("int")).over(wr))
+    has_colon = F.col(line).contains(COLON)
+    d = dlg_lines.withColumn("_isr", F.col(line).startswith(ch)).withColumn("_ch", ch) \
+        .withColumn("_spk", F.when(has_colon, F.substring_index(F.col(line), COLON, 1)))
+    # ordered scans per dialogue are two-level (scan.py), so one huge dialogue is not one task
+    d = running_totals(d, [key], line_no, {"_nq": (~F.col("_isr")).cast("long")})
     if leading == "drop":
         d = d.where(F.col("_nq") > 0)
-    prev_isr = F.lag("_isr", 1, False).over(w)
-    d = d.withColumn("_turn", F.sum((~F.col("_isr") & prev_isr & (F.col("_nq") > 1)).cast("int")).over(wr))
-    has_colon = F.col(line).contains(COLON)
-    spk = F.when(has_colon, F.substring_index(F.col(line), COLON, 1))
-    d = d.withColumn("_spk", spk)
-    prev_spk = F.lag("_spk").over(w)
-    prev_q = F.lag(~F.col("_isr"), 1, False).over(w)
-    cont = F.coalesce(~F.col("_isr") & prev_q & F.col("_spk").isNotNull() & (F.col("_spk") == prev_spk), F.lit(False))
-    d = d.withColumn("_cont", cont).withColumn("_blk", F.sum((~F.col("_cont")).cast("int")).over(wr))
+    d = previous_values(d, [key], line_no, ["_isr", "_spk"])
+    prev_isr = F.coalesce(F.col("prev__isr"), F.lit(False))
+    prev_q = F.coalesce(~F.col("prev__isr"), F.lit(False))
+    cont = F.coalesce(~F.col("_isr") & prev_q & F.col("_spk").isNotNull() & (F.col("_spk") == F.col("prev__spk")),
+                      F.lit(False))
+    d = d.withColumn("_cont", cont).withColumn("_newturn", (~F.col("_isr") & prev_isr & (F.col("_nq") > 1)))
+    d = running_totals(d, [key], line_no, {"_turn": F.col("_newturn").cast("long"),
+                                           "_qblk": (~F.col("_cont")).cast("long")})
     piece = F.when(F.col("_cont"), F.replace(F.col(line), F.concat(F.col("_spk"), F.lit(COLON)), F.lit(""))) \
         .otherwise(F.col(line))
-    q = ordered_join(d.where(~F.col("_isr")).withColumn("_piece", piece), [key, "_turn", "_blk"], line_no,
+    q = ordered_join(d.where(~F.col("_isr")).withColumn("_piece", piece), [key, "_turn", "_qblk"], line_no,
                      F.col("_piece"), "", "_qline")
-    q = q.join(d.where(~F.col("_isr")).groupBy(key, "_turn", "_blk").agg(F.min(line_no).alias("_first")),
-               [key, "_turn", "_blk"])
+    q = q.join(d.where(~F.col("_isr")).groupBy(key, "_turn", "_qblk").agg(F.min(line_no).alias("_first")),
+               [key, "_turn", "_qblk"])
     queries = ordered_join(q, [key, "_turn"], "_first", F.col("_qline"), "\n", "query")
     resp = d.where(F.col("_isr")).withColumn("_r", strip(F.replace(F.col(line), F.col("_ch"), F.lit(""))))
     responses = ordered_join(resp, [key, "_turn"], line_no, F.col("_r"), "", "response")
     out = queries.join(responses, [key, "_turn"], "inner")
-    return out.select(key, F.col("_turn").alias("turn_no"), "query", "response")
+    return out.select(key, F.col("_turn").cast("int").alias("turn_no"), "query", "response")
 
 
 def merge_by_summary(frags: DataFrame, key: str = "folder", order: str = "frag_no", summary: str = "summary",
@@ -278,9 +278,9 @@ def merge_by_summary(frags: DataFrame, key: str = "folder", order: str = "frag_n
     empty summary are dropped after grouping, so they still separate equal neighbours.
     """
     d = frags if character is None else frags.where(F.col(dialog).contains(character + COLON))
-    w = Window.partitionBy(key).orderBy(order)
-    new = ~F.coalesce(F.col(summary).eqNullSafe(F.lag(summary).over(w)), F.lit(False))
-    d = d.withColumn("_g", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = previous_values(d.withColumn("_has", F.lit(True)), [key], order, [summary, "_has"])
+    new = ~F.coalesce(F.col(f"prev_{summary}").eqNullSafe(F.col(summary)) & F.col("prev__has"), F.lit(False))
+    d = running_totals(d.withColumn("_new", new.cast("long")), [key], order, {"_g": F.col("_new")})
     g = ordered_join(d, [key, "_g", summary], order, F.col(dialog), "\n", dialog)
     return g.where(F.col(summary) != "").select(key, F.col("_g").alias("group_no"), summary, dialog)
 
@@ -333,7 +333,7 @@ def training_rows(msgs: DataFrame, key: str = "chat_id", msg_no: str = "msg_no",
         .alias("input"),
         F.max(F.when(F.col(role) == "assistant", F.col(content))).alias("output"))
     seg = seg.where(F.col("input").isNotNull() & F.col("output").isNotNull())
-    seg = seg.withColumn("turn_no", F.row_number().over(Window.partitionBy(key).orderBy("_seg")) - 1)
+    seg = running_totals(seg, [key], "_seg", {"_tn": F.lit(1)}).withColumn("turn_no", (F.col("_tn") - 1).cast("int"))
     system = msgs.where(F.col(role) == "system").groupBy(key).agg(
         F.min(F.struct(F.col(msg_no).alias("n"), F.col(content).alias("c")))["c"].alias("_sys"))
     out = seg.join(system, key, "left").withColumn(

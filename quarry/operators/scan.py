@@ -79,3 +79,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
+
+
+def previous_values(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str],
+                    tiebreak: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Skew-safe ``lag(col, 1)`` per key in ``pos`` order: adds ``prev_<col>`` for each col.
+
+    Inside a block of ``block`` consecutive positions it is an ordinary ``lag``; the first
+    row of a block takes the last row of the nearest earlier non-empty block, found with a
+    max(struct) aggregation per block and a window over the small block table.
+    """
+    from ..session import apply_workarounds
+    apply_workarounds(df.sparkSession)
+    keys, cols, tb = list(keys), list(cols), list(tiebreak)
+    d = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)).cast("long"))
+    w = Window.partitionBy(*keys, "_blk").orderBy(pos, *tb)
+    d = d.withColumn("_first", F.row_number().over(w) == 1)
+    for c in cols:
+        d = d.withColumn(f"_lag_{c}", F.lag(c).over(w))
+    last = d.groupBy(*keys, "_blk").agg(F.max(F.struct(F.col(pos).alias("_p"), *[F.col(t).alias(f"_t{i}")
+                                                                                  for i, t in enumerate(tb)],
+                                                       *[F.col(c).alias(f"_c_{c}") for c in cols])).alias("_last"))
+    wb = Window.partitionBy(*keys).orderBy("_blk")
+    prev = last.select(*keys, "_blk", F.lag("_last").over(wb).alias("_prev_last"))
+    d = d.join(prev, [*keys, "_blk"], "left")
+    for c in cols:
+        d = d.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col("_prev_last")[f"_c_{c}"])
+                         .otherwise(F.col(f"_lag_{c}")))
+    return d.drop("_blk", "_first", "_prev_last", *[f"_lag_{c}" for c in cols])

@@ -141,3 +141,15 @@ def test_insert_on_repartitioned_input_keeps_row_count(spark):
     out = M.add_messages(lg, new)
     assert out.count() == len(rows) + 20
     assert out.groupBy("conv_id", "turn").count().where("count > 1").count() == 0
+
+
+def test_previous_values_blocks_equal_plain_lag(spark):
+    from pyspark.sql import Window
+
+    from quarry.operators.scan import previous_values
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 3), p, rng.choice(["a", "b", None])) for p in rng.sample(range(400), 300)]
+    df = spark.createDataFrame(rows, "k INT, p INT, v STRING")
+    got = previous_values(df, ["k"], "p", ["v"], block=7).select("k", "p", "v", "prev_v")
+    want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("p")))
+    assert sorted(got.collect()) == sorted(want.collect())
