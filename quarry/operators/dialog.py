@@ -312,8 +312,8 @@ def assemble_chats(pairs: DataFrame, profiles: DataFrame, kind: str, key: str =
     system = chats.join(profiles, character).select(key, F.lit(0).cast("long").alias("msg_no"),
                                                     F.lit("system").alias("role"), render(tpl, **cols).alias("content"))
     p = pairs.join(profiles.select(character), character, "left_semi")
-    rank = F.dense_rank().over(Window.partitionBy(key).orderBy(pair_no)) - 1
-    p = p.withColumn("_i", rank.cast("long"))
+    # pair numbers are unique per chat, so the rank is a two-level running count (skew-safe)
+    p = running_totals(p, [key], pair_no, {"_c": F.lit(1)}).withColumn("_i", (F.col("_c") - 1).cast("long"))
     users = p.select(key, (2 * F.col("_i") + 1).alias("msg_no"), F.lit("user").alias("role"), F.col("query").alias("content"))
     bots = p.select(key, (2 * F.col("_i") + 2).alias("msg_no"), F.lit("assistant").alias("role"),
                     F.col("response").alias("content"))
