@@ -37,7 +37,10 @@ class Tables:
     """Lazy accessor: ``T(spark, sf_dir).conversations``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from ..session import apply_workarounds, ship_package
         self._spark, self._dir = spark, sf_dir
+        apply_workarounds(spark)
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         df = load(self._spark, self._dir, name)
