@@ -49,7 +49,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping
     wb = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_blk", *[F.coalesce(F.sum(f"_bt_{n}").over(wb), F.lit(0)).alias(f"_off_{n}")
                                              for n in names])
-    d = d.join(offsets, on=[*keys, "_blk"], how="inner")
+    # the block table grows with the number of keys: a shuffle join that lines up with the
+    # key partitioning, never a broadcast chosen from an estimate
+    d = d.join(offsets.hint("shuffle_hash"), on=[*keys, "_blk"], how="inner")
     if prefilter is not None:
         d = d.where(prefilter({n: F.col(f"_off_{n}") for n in names}))
     porder = F.col(pos).desc() if descending else F.col(pos).asc()
@@ -102,7 +104,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
                                                        *[F.col(c).alias(f"_c_{c}") for c in cols])).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_blk")
     prev = last.select(*keys, "_blk", F.lag("_last").over(wb).alias("_prev_last"))
-    d = d.join(prev, [*keys, "_blk"], "left")
+    d = d.join(prev.hint("shuffle_hash"), [*keys, "_blk"], "left")
     for c in cols:
         d = d.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col("_prev_last")[f"_c_{c}"])
                          .otherwise(F.col(f"_lag_{c}")))
