@@ -34,6 +34,17 @@ def p3_drop_tags(spark, sf):
     return _cols(H.drop_tags(_nodes(spark, sf)))
 
 
+@register("p3_tag_counts", r"""
+SELECT page_id, lower(t) AS tag, count(*) AS n
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages)
+WHERE lower(t) NOT IN (""" + ", ".join(f"'{t}'" for t in H.INTERACTIVE_TAGS) + """)
+GROUP BY ALL
+""")
+def p3_tag_counts(spark, sf):
+    n = H.drop_tags(_nodes(spark, sf)).where(F.col("kind") == "element")
+    return n.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("p4_drop_blank")
 def p4_drop_blank(spark, sf):
     return _cols(H.drop_blank(H.drop_tags(_nodes(spark, sf))))
@@ -45,10 +56,23 @@ def p5_keep_attrs(spark, sf):
     return d.select("page_id", "node_id", F.explode("attrs").alias("attr", "value"))
 
 
-@register("p6_decode_links")
+@register("p6_decode_links", r"""
+SELECT page_id, coalesce(url_decode(replace(h, '+', '%2B')), h) AS href
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
+""")
 def p6_decode_links(spark, sf):
     d = H.decode_links(_nodes(spark, sf)).where(F.col("tag") == "a")
-    return d.select("page_id", "node_id", F.element_at("attrs", F.lit("href")).alias("href"))
+    return d.select("page_id", F.element_at("attrs", F.lit("href")).alias("href"))
+
+
+@register("p2_tag_counts", r"""
+SELECT page_id, lower(t) AS tag, count(*) AS n
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS t FROM pages)
+GROUP BY ALL
+""")
+def p2_tag_counts(spark, sf):
+    n = _nodes(spark, sf).where(F.col("kind") == "element")
+    return n.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("p7_apply_trim_rules")
