@@ -6,6 +6,7 @@ used here remove the ad blocks, navigation and footers present on every page.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import urls as FU
@@ -134,7 +135,10 @@ def p16_render_html(spark, sf):
 def build_corpus(spark, sf):
     """Pages → main content → clean → trim → Markdown → phrase dedup → items."""
     pages = Tables(spark, sf).pages
-    nodes = H.parse_nodes(pages)
+    # the node table feeds five branches (meta, main content, markdown, html, items): keep
+    # it in Spark's block store (memory, spilling to disk) so the Python parse runs once;
+    # a lost block is rebuilt from lineage
+    nodes = H.parse_nodes(pages).persist(StorageLevel.MEMORY_AND_DISK)
     meta = H.page_meta(nodes)
     main = H.apply_trim_rules(H.decode_links(H.clean_html(H.main_content(nodes, meta))), TRIM_RULES)
     md = H.to_markdown(main)
