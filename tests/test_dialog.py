@@ -192,3 +192,16 @@ def test_reply_parsers(spark):
     v = spark.createDataFrame([("结论：不通过\n修改建议：甲\n修改建议： 乙 ",)], "text STRING")
     r = D.parse_verdicts(v).collect()[0]
     assert (r.is_pass, r.feedback) == (False, "乙")
+
+
+def test_previous_summary_and_render(spark):
+    from quarry.functions.prompts import ROLE_PLAY_SYSTEM_TEMPLATE, numbered, render
+    rows = [("c1", 1, 1, 0, "s1"), ("c1", 1, 1, 1, "s2"), ("c1", 2, 1, 0, "s3"), ("c2", 1, 1, 0, "t1")]
+    df = spark.createDataFrame(rows, "chapter STRING, scene_no INT, act_no INT, frag_no INT, summary STRING")
+    got = sorted((r.chapter, r.summary, r.pre_summary) for r in D.with_previous_summary(df).collect())
+    assert got == [("c1", "s1", ""), ("c1", "s2", "s1"), ("c1", "s3", "s2"), ("c2", "t1", "")]
+    p = spark.createDataFrame([("档案", "情节", ["改a", "改b"])], "profile STRING, ctx STRING, fb ARRAY<STRING>")
+    r = p.select(render(ROLE_PLAY_SYSTEM_TEMPLATE, profile=F.col("profile"), context=F.col("ctx")).alias("s"),
+                 numbered(F.col("fb")).alias("n")).collect()[0]
+    assert r.s == ROLE_PLAY_SYSTEM_TEMPLATE.format(profile="档案", context="情节")
+    assert r.n == "1. 改a\n2. 改b"
