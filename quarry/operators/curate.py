@@ -77,7 +77,7 @@ def score_groups(scores: DataFrame, cats: DataFrame, key: str = "cat_name", scor
                  min_mean: float = MIN_MEAN_SCORE) -> DataFrame:
     """Mean score per category, keep those ≥ ``min_mean``, inner-join back (adds ``score``)."""
     means = scores.groupBy(key).agg(F.avg(score).alias(score)).where(F.col(score) >= min_mean)
-    return cats.drop(score).join(means, on=key, how="inner") if score in cats.columns else cats.join(means, on=key)
+    return cats.drop(score).join(means, on=key, how="inner")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str] | str, mode: str = "upsert") -> DataFrame:
