@@ -72,7 +72,7 @@ def train_bigram_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     vocab = docs.select(F.explode(FT.tokens(F.col(text))).alias("tok")).distinct().count()  # scalar
     c2 = bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c2"))
     c1 = bg.groupBy("prev").agg(F.count(F.lit(1)).alias("c1"))
-    return c2.join(c1.hint("shuffle_merge"), "prev"), vocab
+    return c2.join(c1.hint("shuffle_hash"), "prev"), vocab
 
 
 def window_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", k: float = 1.0,
@@ -88,7 +88,7 @@ def window_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text",
     win = F.when(F.col("pos") < max_length, F.lit(0)) \
         .otherwise(F.floor((F.col("pos") - max_length) / stride).cast("int") + 1)
     # the model grows with the corpus: never let a runtime size estimate turn this into a broadcast
-    s = bg.join(model.hint("shuffle_merge"), ["prev", "tok"]).select(key, win.alias("win_no"), (-lp).alias("_nll"))
+    s = bg.join(model.hint("shuffle_hash"), ["prev", "tok"]).select(key, win.alias("win_no"), (-lp).alias("_nll"))
     return s.groupBy(key, "win_no").agg(F.exp(F.avg("_nll")).alias("ppl"))
 
 
