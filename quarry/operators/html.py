@@ -373,8 +373,8 @@ def to_markdown(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
     Every text node is assigned to its nearest block ancestor (``h1``-``h6``, ``p``,
     ``li``, …) via the smallest enclosing block range; inline links become spaced text
-    (their URL dropped); images render as ``![alt]( "title")`` and vanish without alt
-    and title. Blocks are emitted in document order, separated by blank lines; headings
+    (their URL dropped); bold text is ``**…**`` and italics ``*…*``; images render as
+    ``![alt]( "title")`` and vanish without alt and title. Blocks are emitted in document order, separated by blank lines; headings
     get ``#`` marks and list items ``* ``.
     """
     img = F.when((F.col("kind") == "element") & (F.col("tag") == "img"), F.when(
@@ -392,10 +392,16 @@ def to_markdown(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     tags = nodes.where(F.col("kind") == "element").select(key, F.col("node_id").alias("a_id"), F.col("tag").alias("a_tag"))
     anc = anc.join(tags, [key, "a_id"]).groupBy(key, "node_id").agg(
         F.max(F.when(F.col("a_tag").isin(*_BLOCKS), F.struct(F.col("a_id").alias("b_id"), F.col("a_tag").alias("b_tag"))))
-        .alias("_b"), F.max((F.col("a_tag") == "a").cast("int")).alias("_in_a"))
+        .alias("_b"), F.max((F.col("a_tag") == "a").cast("int")).alias("_in_a"),
+        F.max(F.col("a_tag").isin("b", "strong").cast("int")).alias("_in_b"),
+        F.max(F.col("a_tag").isin("em", "i").cast("int")).alias("_in_i"))
     j = pieces.join(anc, [key, "node_id"]).where(F.col("_b").isNotNull())
-    j = j.withColumn("piece", F.when(F.col("_in_a") == 1, F.concat(F.lit(" "), F.col("piece"), F.lit(" ")))
-                     .otherwise(F.col("piece")))
+    core = F.trim(F.col("piece"))
+    marked = (F.when(core == "", F.col("piece"))
+              .when(F.col("_in_b") == 1, F.concat(F.lit("**"), core, F.lit("**")))
+              .when(F.col("_in_i") == 1, F.concat(F.lit("*"), core, F.lit("*")))
+              .otherwise(F.col("piece")))
+    j = j.withColumn("piece", F.when(F.col("_in_a") == 1, F.concat(F.lit(" "), marked, F.lit(" "))).otherwise(marked))
     per_block = j.groupBy(key, F.col("_b.b_id").alias("b_id"), F.col("_b.b_tag").alias("b_tag")).agg(
         F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "piece"))),
                                                          lambda s: s["piece"]), ""), r" {2,}", " ")).alias("body"))

@@ -81,3 +81,10 @@ def test_plan_pages_and_stop(spark):
     tries = spark.createDataFrame([(1, i, s) for i, s in enumerate(["planned", "exhausted", "exhausted", "exhausted"])]
                                   + [(2, 0, "exhausted"), (2, 1, "exhausted")], "rule_id INT, attempt_no INT, state STRING")
     assert {r.rule_id: r.stop for r in H.all_last_n(tries).collect()} == {1: True, 2: False}
+
+
+def test_to_markdown_blocks(spark):
+    n = _nodes(spark, [(1, '<article><h2>T</h2><p>a <b>bold</b> <a href="/x">link</a> <i>it</i></p>'
+                           '<ul><li>one</li><li>two</li></ul><p><img alt="pic" title="t"><img></p></article>')])
+    md = H.to_markdown(n).collect()[0].markdown
+    assert md == '## T\n\na **bold** link *it*\n\n* one\n\n* two\n\n![pic]( "t")'
