@@ -93,3 +93,14 @@ def test_fast_dedup_equals_plain_statement():
             assert T.dedup_pass(ref, n) == T._dedup_pass_plain(ref, n)
             ref = T._dedup_pass_plain(ref, n)
         assert T.dedup_tokens(toks) == ref
+
+
+def test_tokens_round_trip_random_unicode(spark):
+    rng = random.Random(8)
+    alphabet = list("ab Z_09\n\t.,!?[](){}|'\"") + ["中", "文", "é", "ß", "😀", "　", "\r"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = {r.i: r.k for r in df.select("i", FT.tokens(F.col("t")).alias("k")).collect()}
+    for i, t in enumerate(texts):
+        assert "".join(got[i]) == t
+        assert all(tok for tok in got[i])
