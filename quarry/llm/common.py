@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4 << 20) -
     for batch in batches:
         col = batch.column(name)
         if batch.num_rows and col.nbytes > limit:
-            sizes = [x or 0 for x in pa.compute.binary_length(col).to_pylist()]
+            sizes = [x or 0 for x in pc.binary_length(col).to_pylist()]
             start = held = 0
             for i, n in enumerate(sizes):
                 if held and held + n > limit:

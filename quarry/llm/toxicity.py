@@ -1,11 +1,10 @@
 """Toxicity scores from a lexicon, matched with spelling errors, and the context of each hit.
 
-The lexicon is a trie of terms. Every distinct word of a worker's texts walks it once together with
-a Levenshtein automaton (the row of edit distances to the word is the state): a branch is left when no
-state within the term's bound is reachable. Long terms allow two edits, middle ones one, short ones
-none; a term may also be a stem, which any word that begins with it meets. A hit counts by its context window:
-quotation marks around it or reporting words near it speak for quotation, direct address for abuse,
-and hits that lean to quotation are counted apart.
+The lexicon is a trie of terms. Every distinct word of a worker's texts walks it as a Levenshtein
+automaton, whose states (places in the trie with the edits made so far) are made once and kept. Long terms
+allow two edits, middle ones one, short ones none; a term may also be a stem, which any word that begins
+with it meets. A hit counts by its context window: quotation marks around it or reporting words near it speak
+for quotation, direct address for abuse, and hits that lean to quotation are counted apart.
 
 Terms: a fixed seed list and words or stems that a bounded sample of labelled rows shows to be
 tied to toxic texts. A logistic model over the logarithms of the hit counts (strong terms, weak terms, quoted,
@@ -24,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ MAX_TERMS = 400
 #: A learned term needs this many toxic texts, this share of toxic ones, this log-likelihood ratio.
 MIN_TOXIC, MIN_SHARE, MIN_G2 = 5, 0.6, 20.0
 STEMS = (5, 6, 7)
+#: Learned words in this share of the toxic texts are matched with spelling errors, as seeds are.
+FUZZY_SHARE = 0.1
 CONTEXT = 6
 REMEMBER = 500_000
 
@@ -50,14 +52,17 @@ ADDRESS = frozenset("you your youre you're yourself u ur are".split())
 OPENING, CLOSING = "\"'“”«‘„‹(", "\"'“”»’›)"
 
 #: Weights without labels: intercept, strong, weak, quoted, misspelled.
-PRIOR_WEIGHTS = (-2.5, 3.0, 1.5, 0.0, 2.5)
+PRIOR_WEIGHTS = (-2.5, 3.0, 1.5, 0.0, 0.0)
 FEATURES = ("strong", "weak", "quoted", "misspelled")
+#: Punctuation at a word's edges.
+EDGES = ".,;:!?\"'“”‘’«»„‹›()[]{}<>*#$%&|-_/"
 _PART = re.compile(r"[^\W_]+")
 
 
 @dataclass
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
+    number: int = 0
     word: int = -1
     stem: int = -1
     bound: int = 0
@@ -67,65 +72,110 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+class Term(NamedTuple):
+    text: str
+    stem: bool
+    strong: bool
+    fuzzy: bool
+
+
 class Lexicon:
-    """Trie of (term, is a stem, is strong); numbers are places in the list."""
+    """Trie of the terms, walked by a word's characters as a Levenshtein automaton.
+
+    A place is (trie node, edits so far); a character moves along its edge, or for one edit along any edge
+    (another letter) or not at all (a letter too many); an edge may be skipped for one edit (a letter left out). A
+    state is the set of places reachable; it and its moves are made when first met and kept, up to ``STATES``."""
+
+    STATES = 50_000
 
-    def __init__(self, terms: list[tuple[str, bool, bool]]):
-        self.terms, self.root = terms, Node()
-        for i, (term, stem, _) in enumerate(terms):
-            node, bound = self.root, 0 if stem else allowed_edits(term)
+    def __init__(self, terms: list[Term]):
+        self.terms, self.nodes = terms, [Node()]
+        for i, t in enumerate(terms):
+            node, bound = self.nodes[0], allowed_edits(t.text) if t.fuzzy and not t.stem else 0
             node.bound = max(node.bound, bound)
-            for ch in term:
-                node = node.next.setdefault(ch, Node())
+            for ch in t.text:
+                if ch not in node.next:
+                    node.next[ch] = Node(number=len(self.nodes))
+                    self.nodes.append(node.next[ch])
+                node = node.next[ch]
                 node.bound = max(node.bound, bound)
-            if stem:
+            if t.stem:
                 node.stem = i
             else:
                 node.word = i
+        self.reset()
+
+    def reset(self) -> None:
+        self.moves: dict[frozenset, dict] = {}
+        self.start = self.state({(0, 0)})
+
+    def state(self, places: set[tuple[int, int]]) -> dict:
+        """The moves of a state, with what it accepts under key None: (edits, term), and under 0 a stem met in it."""
+        todo, every = list(places), set(places)
+        while todo:  # letters left out
+            at, edits = todo.pop()
+            for child in self.nodes[at].next.values():
+                if edits < child.bound and (child.number, edits + 1) not in every:
+                    every.add((child.number, edits + 1))
+                    todo.append((child.number, edits + 1))
+        key = frozenset(every)
+        got = self.moves.get(key)
+        if got is None:
+            words = [(e, w) for at, e in every if (w := self.nodes[at].word) >= 0 and e <= self.limit(w)]
+            stems = [(0, w) for at, e in every if (w := self.nodes[at].stem) >= 0 and not e]
+            got = self.moves[key] = {None: min(words, default=None), 0: min(stems, default=None), 1: key}
+        return got
+
+    def limit(self, word: int) -> int:
+        return allowed_edits(self.terms[word].text) if self.terms[word].fuzzy else 0
+
+    def step(self, state: dict, ch: str) -> dict:
+        places = set()
+        for at, edits in state[1]:
+            node = self.nodes[at]
+            if ch in node.next:
+                child = node.next[ch]
+                if edits <= child.bound:
+                    places.add((child.number, edits))
+            if edits < node.bound:
+                places.add((at, edits + 1))
+            for child in node.next.values():
+                if edits < child.bound:
+                    places.add((child.number, edits + 1))
+        state[ch] = new = self.state(places)
+        return new
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term within its bound; the first listed of equals."""
-        n, found = len(word), []
-        stack = [(self.root, tuple(range(n + 1)))]
-        while stack:
-            node, row = stack.pop()
-            if node.word >= 0 and row[n] <= allowed_edits(self.terms[node.word][0]):
-                found.append((row[n], node.word))
-            if node.stem >= 0 and min(row) == 0:
-                found.append((0, node.stem))
-            for ch, child in node.next.items():
-                new, least = [row[0] + 1], row[0] + 1
-                for j in range(n):
-                    cost = row[j] if word[j] == ch else 1 + min(row[j], row[j + 1], new[j])
-                    new.append(cost)
-                    if cost < least:
-                        least = cost
-                if least <= child.bound:
-                    stack.append((child, tuple(new)))
-        if not found:
-            return None
-        edits, term = min(found)
-        return term, edits
+        """(edits, term) of the nearest term within its bound, or a stem; the first listed of equals."""
+        if len(self.moves) > self.STATES:
+            self.reset()
+        state, stem = self.start, None
+        for ch in word:
+            new = state.get(ch)
+            state = self.step(state, ch) if new is None else new
+            if state[0] is not None and stem is None:
+                stem = state[0]
+            if not state[1]:
+                return stem
+        found = state[None]
+        return min(found, stem) if found and stem else found or stem
 
 
 class Scanner:
     """Counts hits within a worker; remembers the words that it has met."""
 
-    def __init__(self, terms: list[tuple[str, bool, bool]]):
+    def __init__(self, terms: list[Term]):
         self.lexicon, self.clean, self.hits = Lexicon(terms), set(), {}
-        self.longest = max((len(t) for t, _, _ in terms), default=0) + 2
-        self.stems = {len(t) for t, s, _ in terms if s}
 
     def word(self, token: str) -> tuple[int, int] | None:
-        best = None
-        for part in _PART.findall(token):
-            got = self.lexicon.match(part[: self.longest] if len(part) > self.longest and self.stems else part)
-            if got and (best is None or got[1] < best[1]):
-                best = got
-        return best
+        got = self.lexicon.match(token.strip(EDGES))
+        if got is None and not token.isalnum():
+            found = [m for part in _PART.findall(token) if (m := self.lexicon.match(part))]
+            got = min(found, default=None)
+        return got
 
     def scan(self, text: str) -> tuple[int, int, int, int]:
-        """Hits: strong, weak, quoted, misspelled."""
+        """Hits: strong, weak, quoted, and how many of the first two are misspelled."""
         words = text.lower().split()
         distinct = set(words)
         for token in distinct - self.clean - self.hits.keys():
@@ -139,7 +189,12 @@ class Scanner:
             for i, token in enumerate(words):
                 got = self.hits.get(token)
                 if got:
-                    counts[2 if self.quoted(words, i) else 3 if got[1] else 0 if self.lexicon.terms[got[0]][2] else 1] += 1
+                    edits, term = got
+                    if self.quoted(words, i):
+                        counts[2] += 1
+                    else:
+                        counts[0 if self.lexicon.terms[term].strong else 1] += 1
+                        counts[3] += edits > 0
         if len(self.clean) + len(self.hits) > REMEMBER:
             self.clean, self.hits = set(), {}
         return tuple(counts)
@@ -166,8 +221,8 @@ def sample_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return one.orderBy(F.xxhash64("_id"), "_id").limit(rows)
 
 
-def learned_terms(sample: DataFrame) -> list[tuple[str, bool, bool]]:
-    """(term, is a stem, is strong) from (text, _toxic): words and word beginnings that toxic texts share."""
+def learned_terms(sample: DataFrame) -> list[Term]:
+    """Terms from (text, _toxic): words and word beginnings that toxic texts share."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     stems = [F.transform(F.filter("w", lambda x, k=k: F.length(x) > k), lambda x, k=k: F.concat(F.substring(x, 1, k), F.lit("*")))
              for k in STEMS]
@@ -189,8 +244,9 @@ def learned_terms(sample: DataFrame) -> list[tuple[str, bool, bool]]:
             own = any(w.startswith(stem) and x >= 0.9 * r.a for w, x, _ in whole)
             if not own and not any(k.startswith(stem) or stem.startswith(k) for k in kept):
                 kept.append(stem)
-                out.append((stem, True, r.m - r.a <= 0.02 * r.m))
-    out += [(w, False, m - a <= 0.02 * m) for w, a, m in whole if not any(w.startswith(k) for k in kept)]
+                out.append(Term(stem, True, r.m - r.a <= 0.02 * r.m, False))
+    out += [Term(w, False, m - a <= 0.02 * m, m - a <= 0.02 * m and a >= FUZZY_SHARE * toxic) for w, a, m in whole
+            if not any(w.startswith(k) for k in kept)]
     return out
 
 
@@ -210,7 +266,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]
     return w.tolist()
 
 
-def hit_counts(df: DataFrame, terms: list[tuple[str, bool, bool]], text: str = "text") -> DataFrame:
+def hit_counts(df: DataFrame, terms: list[Term], text: str = "text") -> DataFrame:
     """``df`` with a column ``_hits`` (array of the counts in ``FEATURES``); row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +286,7 @@ def hit_counts(df: DataFrame, terms: list[tuple[str, bool, bool]], text: str = "
 
 @dataclass
 class Model:
-    terms: list[tuple[str, bool, bool]]
+    terms: list[Term]
     weights: list[float]
 
 
@@ -242,10 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         F.broadcast(ids), "_id").select("_id", "_toxic", F.coalesce("text", F.lit("")).alias("text"))
     from .common import stored
     texts = stored(texts.repartition(16, "_id"))
-    seeds = [(s, False, True) for s in SEEDS]
     learned = learned_terms(texts)
-    named = {t for t, stem, _ in learned if not stem}
-    terms = learned + [s for s in seeds if s[0] not in named]
+    terms = [t for t in learned if t.text not in SEEDS] + [Term(s, False, True, True) for s in SEEDS]
     counted = hit_counts(texts, terms).groupBy("_hits", "_toxic").agg(F.count(F.lit(1)).alias("n"))
     got = counted.orderBy("_hits", "_toxic").limit(2 * rows).collect()
     x = np.log1p(np.array([r["_hits"] for r in got for _ in range(r["n"])], float).reshape(-1, len(FEATURES)))
