@@ -12,8 +12,8 @@ a character that isn't white space, no pre-token crosses, so the stretches betwe
 the same ids in every text. The memory is bounded (``REMEMBER`` stretches, then it starts anew).
 
 Defined results: a null text is empty, an empty text has no ids; every UTF-8 text decodes to its own
-bytes; rows that repeat an id are encoded row by row; an empty table gives no rows; columns beside the
-named ones are ignored. A rank file without all 256 single bytes raises ValueError.
+bytes; rows that repeat an id are encoded row by row; an empty table gives no rows; all columns stay, new
+ones replace columns of their names. A rank file without all 256 single bytes raises ValueError.
 """
 
 from __future__ import annotations

@@ -42,8 +42,9 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Chance that two characters of an ordinary token agree, by encoding.
 AGREE = {"hex": 0.12, "base32": 0.10, "base64": 0.065}
-#: Chance that an ordinary token changes its character class from one character to the next.
-CHANGE = 0.15
+#: Chance that an ordinary token changes its character class from one character to the next, by encoding
+#: (identifiers in camel case and paths change often).
+CHANGE = {"hex": 0.15, "base32": 0.10, "base64": 0.30}
 #: Serial correlation of ordinary tokens.
 SERIAL = 0.4
 #: Share of false finds that each stratum allows.
@@ -118,12 +119,13 @@ def token_score(token: Column) -> Column:
 
     def scored(x: Column) -> Column:
         n, k = x["n"], x["k"]
-        agree = F.when(x["enc"] == "hex", F.lit(AGREE["hex"])).when(x["enc"] == "base32", F.lit(AGREE["base32"])).otherwise(
-            F.lit(AGREE["base64"]))
+        by = lambda t: F.when(x["enc"] == "hex", F.lit(t["hex"])).when(x["enc"] == "base32", F.lit(t["base32"])).otherwise(
+            F.lit(t["base64"]))
+        agree, change = by(AGREE), by(CHANGE)
         expected = k * (1 + (n - 1) * agree) - n
         deviation = k * (n - 1) * F.sqrt(2 * agree * (1 - agree) / (n * (n - 1)) + 0.012 / n)
         uniform = (expected - x["chi2"]) / deviation
-        runs = (x["runs"] - 1 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE))
+        runs = (x["runs"] - 1 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
         serial = (SERIAL - x["serial"]) * F.sqrt(n)
         half = _tail(uniform) + _tail(runs) + _tail(serial)
         log_p = half - F.log(1 + half + half * half / 2)
@@ -216,11 +218,10 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every find masked in ``text`` and ``n_chars``, where there is one, set anew. The texts
     are scanned twice, for the thresholds and for the masks, and never shuffled."""
-    slim = scanned(docs.select("text")).select("_cands")
-    found = with_spans(scanned(docs), thresholds(slim))
-    names = docs.columns
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"), mark)))
-    if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*names)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
+    found = with_spans(scanned(rows), thresholds(scanned(rows.select("text"))))
+    row = F.col("_row").withField("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"), mark)))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.size("spans") > 0, F.length(row["text"])).otherwise(row["n_chars"]).cast(
+            docs.schema["n_chars"].dataType))
+    return found.select(row.alias("_row")).select("_row.*")

@@ -63,6 +63,8 @@ def slot_of(key: Column, size: int) -> Column:
 
 def assign(df: DataFrame, key: str, shards: Sequence[str], size: int = 4099) -> DataFrame:
     """``df`` with ``slot`` and ``shard``: a map-side join with the broadcast table, no shuffle."""
+    if key in ("slot", "shard"):
+        raise ValueError("the key can't be one of the new columns")
     slots = ",".join(map(str, lookup_table(shards, size)))
     names = F.array(*(F.lit(s) for s in shards))
     placed = df.sparkSession.range(1, numPartitions=1).select(

@@ -349,8 +349,9 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     rows that repeat an id and a text become one."""
     gone = near_duplicates(docs, shingle, max_bits).where(~F.col("representative")).select(
         F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    left = docs.withColumn("_key", key).withColumn("_tk2", text_key())
-    gone = gone.withColumn("_id", F.coalesce("_id", F.lit(-(1 << 63))))
-    out = left.join(gone, (left["_key"] == gone["_id"]) & (left["_tk2"] == gone["_tk"]), "left_anti")
-    return out.dropDuplicates(["_key", "_tk2"]).drop("_key", "_tk2")
+    least = F.lit(-(1 << 63))
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("bigint"), least).alias("_key"),
+                       text_key().alias("_text"))
+    gone = gone.withColumn("_id", F.coalesce("_id", least))
+    out = rows.join(gone, (rows["_key"] == gone["_id"]) & (rows["_text"] == gone["_tk"]), "left_anti")
+    return out.dropDuplicates(["_key", "_text"]).select("_row.*")
