@@ -6,7 +6,7 @@ are maximal runs of encoding characters; each gets an inferred encoding (hex, ba
 against the hypothesis of an ordinary token (word, identifier, path, number) of that encoding:
 
 * chi-squared uniformity: the statistic over the alphabet, far below what the skewed letters of ordinary
-  tokens give;
+  tokens give (and a token whose character classes don't fit the encoding's shares is no candidate);
 * runs: the number of runs of one character class, far above that of ordinary tokens;
 * serial correlation of neighbouring alphabet positions, nearer to 0 than in ordinary tokens.
 
@@ -45,10 +45,16 @@ AGREE = {"hex": 0.12, "base32": 0.10, "base64": 0.065}
 #: Chance that an ordinary token changes its character class from one character to the next, by encoding
 #: (identifiers in camel case and paths change often).
 CHANGE = {"hex": 0.15, "base32": 0.10, "base64": 0.30}
+#: Shares of lower case, upper case and other characters in random tokens, by encoding; hex is lowered first. A
+#: token whose chi-squared statistic over these classes exceeds ``MISFIT`` (probability 0.001) isn't random.
+CLASSES = {"hex": (6 / 16, 0.0, 10 / 16), "base32": (0.0, 26 / 32, 6 / 32), "base64": (26 / 64, 26 / 64, 12 / 64)}
+MISFIT = 13.8
+#: Characters without padding that the tests need.
+LEAST = 16
 #: Serial correlation of ordinary tokens.
 SERIAL = 0.4
 #: Share of false finds that each stratum allows.
-ALPHA = 0.001
+ALPHA = 0.01
 #: Encodings times powers of 2 that a string's length can reach.
 MAX_STRATA = 3 * 32
 
@@ -88,7 +94,9 @@ def _tail(z: Column) -> Column:
 
 
 def token_score(token: Column) -> Column:
-    """struct(stratum, score) of a candidate token; score is -10 ln p, rounded down."""
+    """struct(stratum, score) of a candidate token; score is -10 ln p, rounded down. The tests read the token without
+    padding at its ends; if under ``LEAST`` characters remain, the score is 0."""
+    token = F.trim(token, F.lit("="))
     enc = (F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
            .otherwise(F.lit("base64")))
 
@@ -97,8 +105,15 @@ def token_score(token: Column) -> Column:
         chars = F.split(F.when(x["enc"] == "hex", F.lower(x["tok"])).otherwise(F.translate(x["tok"], "-_", "+/")), "")
         index = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(x["abc"], c).cast("double"))
         runs = F.size(F.regexp_extract_all(x["tok"], F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"), F.lit(0)))
+        folded = F.when(x["enc"] == "hex", F.lower(x["tok"])).otherwise(x["tok"])
+        misfit = F.lit(0.0)
+        for place, cls in enumerate(("[^a-z]", "[^A-Z]", "[a-zA-Z]")):
+            seen = F.length(F.regexp_replace(folded, cls, "")).cast("double")
+            mean = F.length(folded) * (F.when(x["enc"] == "hex", F.lit(CLASSES["hex"][place])).when(
+                x["enc"] == "base32", F.lit(CLASSES["base32"][place])).otherwise(F.lit(CLASSES["base64"][place])))
+            misfit = misfit + F.when(mean > 0, F.pow(seen - mean, 2) / mean).otherwise(F.lit(0.0))
         return F.struct(x["enc"].alias("enc"), F.length(x["abc"]).cast("double").alias("k"), index.alias("i"),
-                        F.size(index).cast("double").alias("n"), runs.cast("double").alias("runs"))
+                        F.greatest(F.size(index).cast("double"), F.lit(2.0)).alias("n"), runs.cast("double").alias("runs"), misfit.alias("misfit"))
 
     def sums(x: Column) -> Column:
         n, zero = x["n"], F.lit(0.0)
@@ -106,6 +121,7 @@ def token_score(token: Column) -> Column:
             x["i"], lambda c: c == s)).cast("double"), 2)), zero, lambda a, b: a + b)
         mean = F.aggregate(x["i"], zero, lambda a, b: a + b) / n
         return F.struct(x["enc"].alias("enc"), x["k"].alias("k"), n.alias("n"), x["runs"].alias("runs"), x["i"].alias("i"),
+                        x["misfit"].alias("misfit"),
                         squares.alias("squares"), mean.alias("mean"))
 
     def correlated(x: Column) -> Column:
@@ -114,7 +130,7 @@ def token_score(token: Column) -> Column:
         cov = F.aggregate(F.zip_with(F.slice(x["i"], F.lit(1), x["n"].cast("int") - 1), F.slice(x["i"], F.lit(2), x["n"].cast(
             "int") - 1), lambda a, b: (a - x["mean"]) * (b - x["mean"])), zero, lambda a, b: a + b)
         return F.struct(x["enc"].alias("enc"), x["k"].alias("k"), x["n"].alias("n"), x["runs"].alias("runs"),
-                        (x["k"] * x["squares"] / x["n"] - x["n"]).alias("chi2"),
+                        x["misfit"].alias("misfit"), (x["k"] * x["squares"] / x["n"] - x["n"]).alias("chi2"),
                         F.when(var > 0, F.abs(cov / var)).otherwise(F.lit(1.0)).alias("serial"))
 
     def scored(x: Column) -> Column:
@@ -130,7 +146,8 @@ def token_score(token: Column) -> Column:
         half = _tail(uniform) + _tail(runs) + _tail(serial)
         log_p = half - F.log(1 + half + half * half / 2)
         return F.struct(F.concat(x["enc"], F.lit(":"), F.floor(F.log2(n)).cast("string")).alias("stratum"),
-                        F.floor(10 * F.greatest(log_p, F.lit(0.0))).cast("int").alias("score"))
+                        F.when((n < LEAST) | (x["misfit"] > MISFIT), F.lit(0)).otherwise(
+                            F.floor(10 * F.greatest(log_p, F.lit(0.0))).cast("int")).alias("score"))
 
     # each step is an array of one element, so that its value is made once and named in the next lambda
     abc = lambda e: (F.when(e == "hex", F.lit(ALPHABETS["hex"])).when(e == "base32", F.lit(ALPHABETS["base32"]))

@@ -287,7 +287,9 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     by = np.argsort(bucket, kind="stable")
     b = bucket[by]
-    heads = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    if not len(b):
+        return
+    heads = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     for s, e in zip(heads, np.r_[heads[1:], len(b)], strict=True):
         yield int(b[s]), by[s:e]
 
