@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # One token = a CJK ideograph, an ASCII word, one space, or any other single character.
 # Concatenating the tokens of a text gives the text back. Java and RE2 read it alike.
 TOKEN_PATTERN = r"(?s)[\x{4e00}-\x{9fff}]|\w+| |."
-WORD_PATTERN = r"\w+"
+# Word = a run of Unicode letters, digits or underscores; each CJK ideograph is a word of its own.
+CJK_PATTERN = r"([\x{4e00}-\x{9fff}])"
+WORD_PATTERN = r"[\p{L}\p{N}_]+"
 
 
 def tokens(text: Column) -> Column:
@@ -17,8 +19,8 @@ def tokens(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased ASCII word tokens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
+    """Lower-cased words of any script; CJK ideographs one by one."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), CJK_PATTERN, " $1 "), F.lit(WORD_PATTERN), 0)
 
 
 def squeeze(text: Column) -> Column:

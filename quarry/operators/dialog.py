@@ -122,39 +122,34 @@ def extract_acts(scenes: DataFrame, pages: DataFrame, excludes: DataFrame | None
 
 
 # ------------------------------------------------------------------ choice blocks
-def convert_choice(block: str, reply: str = "last") -> str:
-    main = ""
-    for ln in block.split("\n"):
-        if ln.startswith(PLAYER + COLON):
-            main = ln
-            break
-        if ln.strip() and not ln.startswith("★"):
-            main = f"{PLAYER}{COLON}{ln}"
-            break
-    response = ""
-    candidates = [ln.strip() for ln in block.split("\n") if COLON in ln.strip()]
-    if candidates:
-        response = candidates[-1] if reply == "last" else candidates[0]
-    return f"* {main}\n* {response}" if response else f"* {main}"
+def choice_bullets(block: str, reply: str = "last") -> list[str]:
+    """The two bullets of a choice block: what the player says (their own line, or the first option), and the
+    last (or first) line that has a speaker, if there is one."""
+    option = next((x for x in block.split("\n") if x.strip() and not x.startswith("★")), "")
+    said = option if not option or option.startswith(PLAYER + COLON) else f"{PLAYER}{COLON}{option}"
+    spoken = re.findall(rf"^[^\n]*{COLON}[^\n]*$", block, re.M)
+    answer = [spoken[-1 if reply == "last" else 0].strip()] if spoken else []
+    return [f"* {x}" for x in (said, *answer)]
 
 
 def rewrite_choices_text(text: str, reply: str = "last") -> str:
-    m = CHOICE_BLOCK.search(text)
-    while m:
-        text = text[:m.start(1)] + convert_choice(m.group(1), reply) + "\n" + text[m.end(1):]
-        m = CHOICE_BLOCK.search(text)
+    """All choice blocks of a text, pass by pass: a block that begins inside another one's end waits for the next."""
+    before = None
+    while text != before:
+        before = text
+        text = CHOICE_BLOCK.sub(lambda m: "\n".join(choice_bullets(m[1], reply)) + "\n*", text)
     return text
 
 
 def rewrite_choices(text: Column, reply: str = "last") -> Column:
     """Turn ``★`` choice blocks into two bullet lines (player line, reply), until none is left.
 
-    Rows without a block skip Python entirely.
+    Rows without a block go to Python as null, so nothing is sent or rewritten for them.
     """
     @pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else rewrite_choices_text(t, reply))
-    return F.when(text.contains("\n★\n"), run(text)).otherwise(text)
+    return F.coalesce(run(F.when(text.contains("\n★\n"), text)), text)
 
 
 # ------------------------------------------------------------------ fragments, topics, outline
@@ -324,7 +319,7 @@ def training_rows(msgs: DataFrame, key: str = "chat_id", msg_no: str = "msg_no",
                   content: str = "content") -> DataFrame:
     """``(chat_id, turn_no, system, input, output)``: each assistant message with the last
     user message since the previous assistant message; the chat's system message goes on
-    the first turn. Outputs with no input before them are dropped."""
+    the first turn. Outputs with no input before them are dropped, and so are empty ones."""
     is_a = (F.col(role) == "assistant").cast("long")
     d = running_totals(msgs.where(F.col(role).isin("user", "assistant")), [key], msg_no, {"_na": is_a})
     d = d.withColumn("_seg", F.col("_na") - (F.col(role) == "assistant").cast("long"))
@@ -332,7 +327,7 @@ def training_rows(msgs: DataFrame, key: str = "chat_id", msg_no: str = "msg_no",
         F.max(F.when(F.col(role) == "user", F.struct(F.col(msg_no).alias("n"), F.col(content).alias("c"))))["c"]
         .alias("input"),
         F.max(F.when(F.col(role) == "assistant", F.col(content))).alias("output"))
-    seg = seg.where(F.col("input").isNotNull() & F.col("output").isNotNull())
+    seg = seg.where((F.col("input") != "") & (F.col("output") != ""))
     seg = running_totals(seg, [key], "_seg", {"_tn": F.lit(1)}).withColumn("turn_no", (F.col("_tn") - 1).cast("int"))
     system = msgs.where(F.col(role) == "system").groupBy(key).agg(
         F.min(F.struct(F.col(msg_no).alias("n"), F.col(content).alias("c")))["c"].alias("_sys"))

@@ -155,7 +155,7 @@ seg AS (SELECT chat_id, coalesce(s, 0) AS seg,
                max(content) FILTER (WHERE role = 'assistant') AS output
         FROM ua GROUP BY chat_id, coalesce(s, 0)),
 t AS (SELECT chat_id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY seg) - 1 AS INTEGER) AS turn_no, input, output
-      FROM seg WHERE input IS NOT NULL AND output IS NOT NULL),
+      FROM seg WHERE input <> '' AND output <> ''),
 sy AS (SELECT chat_id, arg_min(content, msg_no) AS sys FROM m WHERE role = 'system' GROUP BY chat_id)
 SELECT t.chat_id, t.turn_no, CASE WHEN t.turn_no = 0 THEN sy.sys END AS system, t.input, t.output
 FROM t LEFT JOIN sy USING (chat_id)

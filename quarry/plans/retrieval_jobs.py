@@ -28,7 +28,7 @@ dense AS (SELECT qid, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
     GROUP BY q.qid, e.vec_id)) WHERE rank <= 16)"""
 
 _SPARSE = r"""
-words AS (SELECT doc_id, regexp_extract_all(lower(text), '\w+', 0) AS ws FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}_]+', 0) AS ws FROM documents),
 occ AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ws[i] AS token
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM words)),
 idf AS (SELECT token, ln(1 + (SELECT count(DISTINCT doc_id) FROM documents) / count(DISTINCT doc_id)) AS idf
@@ -37,7 +37,7 @@ smax AS (SELECT doc_id, token, max(idf / ln(2 + pos)) AS weight, min(pos) AS pos
          FROM occ JOIN idf USING (token) GROUP BY doc_id, token),
 dtop AS (SELECT doc_id, token, weight, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, pos) AS r FROM smax) WHERE r <= 128),
-qw AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '\w+', 0) AS ws FROM benchmark),
+qw AS (SELECT item_id AS qid, regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}_]+', 0) AS ws FROM benchmark),
 qocc AS (SELECT qid, CAST(i - 1 AS INTEGER) AS pos, ws[i] AS token
          FROM (SELECT qid, ws, unnest(range(1, len(ws) + 1)) AS i FROM qw)),
 qmax AS (SELECT qid, token, max(idf / ln(2 + pos)) AS weight, min(pos) AS pos
@@ -100,7 +100,7 @@ def v3_sparse_top_n(spark, sf):
 
 
 @register("v4_usage", r"""
-SELECT lang, CAST(sum(len(regexp_extract_all(lower(text), '\w+', 0))) AS BIGINT) AS prompt_tokens,
+SELECT lang, CAST(sum(len(regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}_]+', 0))) AS BIGINT) AS prompt_tokens,
   CAST(sum(len(regexp_extract_all(text, '(?s)[\x{4e00}-\x{9fff}]|\w+| |.', 0))) + 2 * count(*) AS BIGINT)
     AS total_tokens
 FROM documents GROUP BY lang

@@ -53,7 +53,7 @@ def t4_token_rows(spark, sf):
 
 
 @register("t5_repeated_ngrams", r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\w+', 0) AS ws FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[\p{L}\p{N}_]+', 0) AS ws FROM documents),
 g AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5))
 SELECT gram, count(*) AS n_occ, count(DISTINCT doc_id) AS n_docs FROM g GROUP BY gram HAVING count(*) >= 3

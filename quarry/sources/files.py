@@ -66,12 +66,14 @@ def write_markdown(items: DataFrame, root: str) -> None:
     """Markdown sink keyed by ``save_to``; items under ignored namespaces are skipped.
 
     Written as parquet partitioned by site (first path segment after the host), so a
-    reader can fetch one site's pages without listing the others.
+    reader can fetch one site's pages without listing the others. Only the sites written
+    are replaced; a site's pages are dealt over a few files, so a large site is no single task.
     """
     d = items.where(~contains_ignored(F.col("save_to")))
     d = d.withColumn("site", F.regexp_extract("save_to", r"^[^/]*/([^/]*)", 1))
-    d.select("site", "save_to", "title", "modified_at", "markdown").write.mode("overwrite") \
-        .partitionBy("site").parquet(root)
+    d = d.select("site", "save_to", "title", "modified_at", "markdown")
+    d.repartition("site", F.pmod(F.xxhash64("save_to"), F.lit(16))).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(root)
 
 
 def incremental_upsert(new: DataFrame, stored: DataFrame, key: str, version: str) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,10 @@
 """Per-user rolling chat memory on a stream.
 
-Each user's messages arrive over micro-batches. The state of a user holds only the
-messages that can still be part of the bounded history (M9): messages are only ever
-appended, so a message that falls out of the window (token budget or turn count) can
-never come back and is dropped from the state. The state is therefore bounded by
-``token_limit`` and ``2 × max_conversations`` chat messages, whatever the stream length.
+Each user's messages arrive over micro-batches and Arrow batches, in any order. The state
+of a user holds, sorted by the order columns, only the messages that can still be part of
+the bounded history (M9): the window, and the newest message outside it, which keeps
+older latecomers out. Any other message can never come back and is dropped. The state is
+therefore bounded by ``token_limit`` and ``2 × max_conversations`` chat messages, plus one.
 With ``ttl_ms`` a user silent that long expires (M8) through the processing-time
 timeout; leave it unset for ``availableNow`` runs, which otherwise keep waiting on timers.
 """
@@ -40,6 +40,15 @@ def window_of(messages: list[dict], token_limit: int, max_conversations: int) ->
     return list(reversed(kept))
 
 
+def still_needed(messages: list[dict], token_limit: int, max_conversations: int) -> list[dict]:
+    """The window and the message just before it, of messages in order."""
+    return messages[-(len(window_of(messages, token_limit, max_conversations)) + 1):]
+
+
+def _sortable(column: pd.Series) -> list:
+    return (column.astype("int64") if pd.api.types.is_datetime64_any_dtype(column) else column).tolist()
+
+
 def stream_memory(messages: DataFrame, token_limit: int = DEFAULT_TOKEN_LIMIT,
                   max_conversations: int = DEFAULT_MAX_CONVERSATIONS, ttl_ms: int | None = None,
                   key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -52,14 +61,15 @@ def stream_memory(messages: DataFrame, token_limit: int = DEFAULT_TOKEN_LIMIT,
             return
         version, msgs = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
         for pdf in batches:
-            pdf = pdf.sort_values(list(order))
-            for role, content in zip(pdf["role"], pdf["content"]):
-                msgs.append({"role": role, "content": content})
-                msgs = window_of(msgs, token_limit, max_conversations)  # prune as we go: bounded state
-                version += 1
+            at = list(zip(*(_sortable(pdf[c]) for c in order)))
+            msgs += [{"at": list(a), "role": r, "content": c} for a, r, c in zip(at, pdf["role"], pdf["content"])]
+            msgs.sort(key=lambda m: m["at"])
+            msgs = still_needed(msgs, token_limit, max_conversations)
+            version += len(pdf)
         state.update((version, json.dumps(msgs, ensure_ascii=False)))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
+        msgs = window_of(msgs, token_limit, max_conversations)
         yield pd.DataFrame({"user_id": [k[0]] * len(msgs), "version": [version] * len(msgs),
                             "pos": list(range(len(msgs))), "role": [m["role"] for m in msgs],
                             "content": [m["content"] for m in msgs]})

@@ -42,3 +42,36 @@ def test_window_of_matches_history_rule():
             [("assistant", "Hello"), ("user", "Hi"), ("assistant", "How are you?"), ("user", "I'm good, thanks!")]]
     assert [m["content"] for m in window_of(msgs, 20, 3)] == ["I'm good, thanks!"]
     assert [m["content"] for m in window_of(msgs, 1536, 1)] == ["How are you?", "I'm good, thanks!"]
+
+
+def test_memory_of_unordered_messages(spark):
+    """One user's messages in falling order, over several Arrow batches and micro-batches."""
+    from quarry.streaming.memory import stream_memory
+    d = tempfile.mkdtemp(prefix="quarry-stream-")
+    for part, ids in enumerate((range(79, 39, -1), range(39, -1, -1))):
+        with open(os.path.join(d, f"part-{part}.json"), "w") as f:
+            f.write("\n".join(json.dumps({"user_id": i % 2, "ts": i // 3, "event_id": i, "role": "user", "content": f"m{i:02d}"})
+                              for i in ids) + "\n")
+    src = spark.readStream.schema("user_id LONG, ts LONG, event_id LONG, role STRING, content STRING").option(
+        "maxFilesPerTrigger", 1).json(d)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        q = stream_memory(src, token_limit=10, max_conversations=3).writeStream.format("memory").queryName(
+            "q_unordered").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = spark.sql("SELECT * FROM q_unordered").collect()
+    for user, want in ((0, ["m74", "m76", "m78"]), (1, ["m75", "m77", "m79"])):
+        last = max(r.version for r in rows if r.user_id == user)
+        assert [r.content for r in sorted((r for r in rows if r.user_id == user and r.version == last), key=lambda r: r.pos)] == want
+
+
+def test_late_message_stays_behind_the_one_that_overflowed():
+    from quarry.streaming.memory import still_needed
+    msgs = [{"at": [i], "role": "user", "content": c} for i, c in ((5, "x" * 9), (6, "abc"), (7, "abc"))]
+    kept = still_needed(msgs, 10, 3)
+    assert [m["at"] for m in kept] == [[5], [6], [7]]
+    late = sorted([*kept, {"at": [4], "role": "user", "content": "y"}], key=lambda m: m["at"])
+    assert [m["at"] for m in window_of(still_needed(late, 10, 3), 10, 3)] == [[6], [7]]
