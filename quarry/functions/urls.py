@@ -34,12 +34,25 @@ def resolve(base: Column, href: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     directory = F.regexp_replace(page, r"[^/]*$", "")
-    return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(url_origin(base), h))
-            .when(h.startswith("#") | (h == ""), page)
-            .when(h.startswith("?"), F.concat(page, h))
-            .otherwise(F.concat(directory, h)))
+    joined = (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+              .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+              .when(h.startswith("/"), F.concat(url_origin(base), h))
+              .when(h.startswith("#") | (h == ""), page)
+              .when(h.startswith("?"), F.concat(page, h))
+              .otherwise(F.concat(directory, h)))
+    return F.when(url_path(joined).rlike(r"(^|/)\.\.?(/|$)"), normal_path(joined)).otherwise(joined)
+
+
+def normal_path(url: Column) -> Column:
+    """An absolute URL whose ``.`` segments are gone and whose ``..`` segments took their parent with them."""
+    segments = F.split(F.substring(url_path(url), 2, 1 << 30), "/", -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s:
+                       F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                       .when(s == ".", acc).otherwise(F.array_append(acc, s)))
+    # a last segment of dots names a folder: its slash stays
+    tail = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    return F.concat(url_origin(url), F.lit("/"), F.array_join(kept, "/"), tail, rest)
 
 
 def unquote(c: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import DEFAULT_BLOCK, running_totals
+from .scan import DEFAULT_BLOCK, null_safe_join, running_totals
 
 KEY, POS, ROLE, CONTENT = "conv_id", "turn", "role", "text"
 
@@ -46,7 +46,7 @@ def renumber(log: DataFrame, key: str = KEY, pos: str = POS, tiebreak: tuple = (
 def set_messages(log: DataFrame, new: DataFrame, key: str = KEY, pos: str = POS) -> DataFrame:
     """M1: every key present in ``new`` has its messages replaced by the new ones."""
     replaced = new.select(key).distinct()
-    kept = log.join(replaced, on=key, how="left_anti")
+    kept = null_safe_join(log, replaced, [key], "left_anti")
     return kept.unionByName(renumber(new.select(*log.columns), key, pos))
 
 
@@ -55,7 +55,7 @@ def range_read(log: DataFrame, start: int = 0, end: int = -1, key: str = KEY, po
     n = F.col("_n")
     s = F.greatest(F.lit(start) + n if start < 0 else F.lit(start), F.lit(0))
     e = F.least(F.lit(end) + n if end < 0 else F.lit(end), n - 1)
-    d = log.join(_sizes(log, key, pos), on=key)
+    d = null_safe_join(log, _sizes(log, key, pos), [key])
     return d.where((F.col(pos) >= s) & (F.col(pos) <= e)).drop("_n")
 
 
@@ -68,7 +68,7 @@ def add_messages(log: DataFrame, new: DataFrame, idx: str = "idx", seq: str | No
     """
     cols = [c for c in log.columns if c != pos]
     sizes = _sizes(log, key, pos)
-    nw = new.join(sizes, on=key, how="left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    nw = null_safe_join(new, sizes, [key], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     raw = F.col(idx)
     ni = F.when(raw < 0, raw + F.col("_n")).otherwise(raw)
     ni = F.when(raw.isNull() | (ni < 0) | (ni >= F.col("_n")), F.col("_n")).otherwise(ni)
@@ -85,14 +85,14 @@ def add_messages(log: DataFrame, new: DataFrame, idx: str = "idx", seq: str | No
 def delete_keys(log: DataFrame, keys: DataFrame, key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """M4: drop every message of the listed keys; returns (remaining log, deleted rows)."""
     k = keys.select(key).distinct()
-    return log.join(k, on=key, how="left_anti"), log.join(k, on=key, how="left_semi")
+    return null_safe_join(log, k, [key], "left_anti"), null_safe_join(log, k, [key], "left_semi")
 
 
 def delete_at(log: DataFrame, index: int, key: str = KEY, pos: str = POS) -> DataFrame:
     """M5: delete the message at list index ``index`` (negative from the end); missing → no-op."""
     n = F.col("_n")
     at = (F.lit(index) + n) if index < 0 else F.lit(index)
-    d = log.join(_sizes(log, key, pos), on=key).withColumn("_at", at)
+    d = null_safe_join(log, _sizes(log, key, pos), [key]).withColumn("_at", at)
     d = d.where(F.col(pos) != F.col("_at"))
     d = d.withColumn(pos, F.when((F.col(pos) > F.col("_at")) & (F.col("_at") >= 0), F.col(pos) - 1)
                      .otherwise(F.col(pos)))
@@ -101,7 +101,7 @@ def delete_at(log: DataFrame, index: int, key: str = KEY, pos: str = POS) -> Dat
 
 def pop_last(log: DataFrame, key: str = KEY, pos: str = POS) -> DataFrame:
     """M6: remove the last message of every key."""
-    d = log.join(_sizes(log, key, pos), on=key)
+    d = null_safe_join(log, _sizes(log, key, pos), [key])
     return d.where(F.col(pos) < F.col("_n") - 1).drop("_n")
 
 
@@ -115,7 +115,7 @@ def expire(log: DataFrame, ts: str, ttl_seconds: int, now, key: str = KEY) -> Da
     live = (log.groupBy(key).agg(F.max(ts).alias("_last"))
             .where(F.col("_last") > F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS"))
             .select(key))
-    return log.join(live, on=key, how="left_semi")
+    return null_safe_join(log, live, [key], "left_semi")
 
 
 def history_window(log: DataFrame, token_limit: int = DEFAULT_TOKEN_LIMIT,
@@ -136,7 +136,7 @@ def history_window(log: DataFrame, token_limit: int = DEFAULT_TOKEN_LIMIT,
     if token_limit < 1:
         raise ValueError("token_limit must be >= 1")
     if initial_token_count > token_limit:
-        d = log.join(_sizes(log, key, pos), on=key)
+        d = null_safe_join(log, _sizes(log, key, pos), [key])
         return d.where(F.col(pos) >= F.col("_n") - INITIAL_OVERFLOW_KEEP).drop("_n")
     is_chat = F.col(role).isin(*CHAT_ROLES).cast("long")
     cap = 2 * max_conversations
@@ -176,7 +176,7 @@ def last_k_turns(log: DataFrame, k: int = 5, key: str = KEY, pos: str = POS) ->
     """The last ``2k`` messages of every key; ``k = 0`` gives none."""
     if k <= 0:
         return log.limit(0)
-    d = log.join(_sizes(log, key, pos), on=key)
+    d = null_safe_join(log, _sizes(log, key, pos), [key])
     return d.where(F.col(pos) >= F.col("_n") - 2 * k).drop("_n")
 
 

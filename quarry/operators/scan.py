@@ -11,6 +11,9 @@ two levels, the classic parallel prefix sum:
    sum of all blocks before it;
 3. a window partitioned by ``(key, block)`` adds the in-block running sum.
 
+Keys and block travel as one struct column. A struct equals another when its fields do, nulls
+included, so rows whose key or position is null form groups of their own and are kept.
+
 Steps 2 and 3 only ever sort ``block`` rows or ``rows / block`` rows per task, so a hot
 key is spread over many tasks. The join in step 3 and the window share the
 ``(key, block)`` hash partitioning, so it costs one extra shuffle of the narrow block
@@ -20,6 +23,7 @@ table, not of the data.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +31,22 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 4096
 
 
+def _with_block(df: DataFrame, keys: Sequence[str], pos: str, block: int) -> DataFrame:
+    blk = F.floor(F.col(pos) / F.lit(block)).cast("long").alias("_blk")
+    return df.withColumn("_kb", F.struct(*[F.col(k) for k in keys], blk))
+
+
+def _block_window(keys: Sequence[str], order: Column):
+    return Window.partitionBy(*[F.col("_kb").getField(k) for k in keys]).orderBy(order)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the left side's key columns are kept."""
+    renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, Column],
                    descending: bool = False, tiebreak: Sequence[Column] = (),
                    block: int = DEFAULT_BLOCK, prefilter=None) -> DataFrame:
@@ -41,24 +61,24 @@ def running_totals(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping
     apply_workarounds(df.sparkSession)
     keys = list(keys)
     names = list(values)
-    d = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)).cast("long"))
+    d = _with_block(df, keys, pos, block)
     for n in names:
         d = d.withColumn(f"_v_{n}", values[n])
-    totals = d.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_bt_{n}") for n in names])
-    border = F.col("_blk").desc() if descending else F.col("_blk").asc()
-    wb = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_blk", *[F.coalesce(F.sum(f"_bt_{n}").over(wb), F.lit(0)).alias(f"_off_{n}")
-                                             for n in names])
+    totals = d.groupBy("_kb").agg(*[F.sum(f"_v_{n}").alias(f"_bt_{n}") for n in names])
+    blk = F.col("_kb").getField("_blk")
+    wb = _block_window(keys, blk.desc() if descending else blk.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_kb", *[F.coalesce(F.sum(f"_bt_{n}").over(wb), F.lit(0)).alias(f"_off_{n}")
+                                     for n in names])
     # the block table grows with the number of keys: a shuffle join that lines up with the
     # key partitioning, never a broadcast chosen from an estimate
-    d = d.join(offsets.hint("shuffle_hash"), on=[*keys, "_blk"], how="inner")
+    d = d.join(offsets.hint("shuffle_hash"), on="_kb", how="inner")
     if prefilter is not None:
         d = d.where(prefilter({n: F.col(f"_off_{n}") for n in names}))
     porder = F.col(pos).desc() if descending else F.col(pos).asc()
-    wr = Window.partitionBy(*keys, "_blk").orderBy(porder, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    wr = Window.partitionBy("_kb").orderBy(porder, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     for n in names:
         d = d.withColumn(n, F.col(f"_off_{n}") + F.sum(f"_v_{n}").over(wr))
-    return d.drop("_blk", *[f"_v_{n}" for n in names], *[f"_off_{n}" for n in names])
+    return d.drop("_kb", *[f"_v_{n}" for n in names], *[f"_off_{n}" for n in names])
 
 
 def key_sizes(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -94,18 +114,18 @@ def previous_values(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
     from ..session import apply_workarounds
     apply_workarounds(df.sparkSession)
     keys, cols, tb = list(keys), list(cols), list(tiebreak)
-    d = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)).cast("long"))
-    w = Window.partitionBy(*keys, "_blk").orderBy(pos, *tb)
+    d = _with_block(df, keys, pos, block)
+    w = Window.partitionBy("_kb").orderBy(pos, *tb)
     d = d.withColumn("_first", F.row_number().over(w) == 1)
     for c in cols:
         d = d.withColumn(f"_lag_{c}", F.lag(c).over(w))
-    last = d.groupBy(*keys, "_blk").agg(F.max(F.struct(F.col(pos).alias("_p"), *[F.col(t).alias(f"_t{i}")
+    last = d.groupBy("_kb").agg(F.max(F.struct(F.col(pos).alias("_p"), *[F.col(t).alias(f"_t{i}")
                                                                                   for i, t in enumerate(tb)],
                                                        *[F.col(c).alias(f"_c_{c}") for c in cols])).alias("_last"))
-    wb = Window.partitionBy(*keys).orderBy("_blk")
-    prev = last.select(*keys, "_blk", F.lag("_last").over(wb).alias("_prev_last"))
-    d = d.join(prev.hint("shuffle_hash"), [*keys, "_blk"], "left")
+    wb = _block_window(keys, F.col("_kb").getField("_blk").asc())
+    prev = last.select("_kb", F.lag("_last").over(wb).alias("_prev_last"))
+    d = d.join(prev.hint("shuffle_hash"), "_kb", "left")
     for c in cols:
         d = d.withColumn(f"prev_{c}", F.when(F.col("_first"), F.col("_prev_last")[f"_c_{c}"])
                          .otherwise(F.col(f"_lag_{c}")))
-    return d.drop("_blk", "_first", "_prev_last", *[f"_lag_{c}" for c in cols])
+    return d.drop("_kb", "_first", "_prev_last", *[f"_lag_{c}" for c in cols])

@@ -14,8 +14,12 @@ _ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _PATH = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 LINKS_CTE = r"""
-h AS (SELECT page_id, url, trim(unnest(regexp_extract_all(html, 'href\s*=\s*["'']([^"'']*)["'']', 1))) AS href
-      FROM pages),
+tags AS (SELECT page_id, url, unnest(str_split_regex(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>',
+                                                                    '', 'g'), '<(a|area)[ \n]'))
+                AS tag, unnest(range(100000)) AS no FROM pages),
+h AS (SELECT page_id, url, trim(replace(str_split(str_split(split_part(tag, '>', 1), 'href="')[2], '"')[1],
+                                        '&amp;', '&')) AS href
+      FROM tags WHERE no > 0 AND tag IS NOT NULL AND contains(split_part(tag, '>', 1), 'href="')),
 r AS (SELECT page_id, url,
         CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
              WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || href
@@ -88,19 +92,27 @@ def u5_save_key(spark, sf):
 
 
 @register("u6_reachable", "WITH RECURSIVE " + LINKS_CTE + """,
-e AS (SELECT DISTINCT p.url AS src, l.link AS dst FROM links l JOIN pages p USING (page_id)),
-walk(node, depth) AS (
-  SELECT DISTINCT url, 0 FROM pages
+e AS (SELECT p.url AS src, l.link AS dst FROM links l JOIN pages p USING (page_id)
+      UNION SELECT a.url, b.url FROM pages a JOIN pages b ON a.page_id = b.page_id // 2),
+walk(node, depth) USING KEY (node) AS (
+  SELECT url, 0 FROM pages WHERE page_id // 2 NOT IN (SELECT page_id FROM pages WHERE page_id > 0)
   UNION
-  SELECT e.dst, walk.depth + 1 FROM walk JOIN e ON walk.node = e.src WHERE walk.depth < 3)
-SELECT node, min(depth) AS depth FROM walk GROUP BY node
+  SELECT e.dst, min(walk.depth) + 1 FROM walk JOIN e ON walk.node = e.src
+  WHERE e.dst NOT IN (SELECT node FROM recurring.walk) GROUP BY e.dst)
+SELECT node, depth FROM walk
 """)
 def u6_reachable(spark, sf):
+    """A page leads to its links and, as the driver pages never link to one another, to the pages whose id halves
+    to its own. Pages without such a parent (or their own parent) are seeds; the walk goes on to the end."""
     t = Tables(spark, sf)
-    edges = _links(t).join(t.pages.select("page_id", "url"), "page_id").select(
-        F.col("url").alias("src"), F.col("link").alias("dst"))
-    seeds = t.pages.select(F.col("url").alias("node"))
-    return U.reachable(edges, seeds, max_depth=3)
+    pages = t.pages.select("page_id", "url")
+    parent = F.floor(F.col("page_id") / 2).cast("long")
+    below = pages.select(F.col("url").alias("dst"), parent.alias("page_id"))
+    edges = _links(t).withColumnRenamed("link", "dst").unionByName(below).join(pages, "page_id").select(
+        F.col("url").alias("src"), "dst")
+    inner = pages.where(F.col("page_id") > 0).select(F.col("page_id").alias("p"))
+    seeds = pages.join(inner, parent == F.col("p"), "left_anti").select(F.col("url").alias("node"))
+    return U.reachable(edges, seeds)
 
 
 @register("u7_seed_urls", """

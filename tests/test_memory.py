@@ -153,3 +153,16 @@ def test_previous_values_blocks_equal_plain_lag(spark):
     got = previous_values(df, ["k"], "p", ["v"], block=7).select("k", "p", "v", "prev_v")
     want = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("k").orderBy("p")))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_rows_with_null_keys_are_kept(spark):
+    log = spark.createDataFrame([("a", 0, "user", "x"), (None, 0, "user", "y"), (None, 1, "user", "z")],
+                                "conv_id STRING, turn BIGINT, role STRING, text STRING")
+    assert M.range_read(log, 0, -1).count() == 3
+    assert sorted(r.text for r in M.history_window(log).collect()) == ["x", "y", "z"]
+    assert [r.text for r in M.pop_last(log).collect()] == ["y"]
+    new = spark.createDataFrame([(None, 0, "user", "n")], "conv_id STRING, idx INT, role STRING, text STRING")
+    got = M.add_messages(log, new).where("conv_id IS NULL").orderBy("turn").collect()
+    assert [(r.turn, r.text) for r in got] == [(0, "n"), (1, "y"), (2, "z")]
+    rest, gone = M.delete_keys(log, new)
+    assert (rest.count(), gone.count()) == (1, 2)

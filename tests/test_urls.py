@@ -20,3 +20,25 @@ def test_resolve_and_decode(spark):
         U.strip_suffix(U.url_leaf(F.col("u"))).alias("name"), U.is_static(F.col("u")).alias("st")).collect()[0]
     assert k.k == "h/ys/文件:a.png?x#y" and k.leaf == "%E6%96%87%E4%BB%B6:a.png" and k.st
     assert k.name == "%E6%96%87%E4%BB%B6:a"
+
+
+def test_links_come_from_anchors_with_entities_and_dot_segments(spark):
+    from quarry.operators import urls as L
+    html = ('<link href="/style.css"><!-- <a href="/hidden">x</a> --><a class=k href="/ys/a?x=1&amp;y=2">a</a>'
+            '<a href="../c">c</a><area href="./d/"><a name="n">no link</a><a href="/ys2/x">other</a>'
+            "<script>var s='<a href=\"/js\">'</script>")
+    pages = spark.createDataFrame([(1, "https://h.org/ys/dir/page", html), (2, "https://h.org/ys/e", ""),
+                                   (3, "https://h.org/ys/n", None)], "page_id INT, url STRING, html STRING")
+    got = sorted(r.link for r in L.extract_links(pages, F.lit("https://h.org/ys")).collect())
+    assert got == ["https://h.org/ys/a?x=1&y=2", "https://h.org/ys/c", "https://h.org/ys/dir/d/"]
+
+
+def test_reachable_walks_cycles_and_long_chains_to_the_end(spark):
+    from quarry.operators import urls as L
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)] + [("20", "0"), ("x", "y"), (None, "z"),
+                                                                                ("3", None)], "src STRING, dst STRING")
+    seeds = spark.createDataFrame([("0",), ("0",), (None,)], "node STRING")
+    got = {r.node: r.depth for r in L.reachable(edges, seeds).collect()}
+    assert got == {str(i): i for i in range(21)}
+    assert {r.node for r in L.reachable(edges, seeds, max_depth=2).collect()} == {"0", "1", "2"}
+    assert L.reachable(edges.limit(0), seeds.limit(0)).count() == 0
