@@ -108,7 +108,8 @@ def extract_acts(scenes: DataFrame, pages: DataFrame, excludes: DataFrame | None
     sc = scenes.join(pages.select(F.col(title).alias("scene_name")), "scene_name", "left_semi")
     if ex is not None:
         sc = sc.join(ex, sc["scene_name"] == ex["_x"], "left_anti")
-    pl = lines(pages.select(F.col(title).alias("scene_name"), text), "scene_name", text)
+    pl = pages.select(F.col(title).alias("scene_name"), text).join(sc.select("scene_name"), "scene_name", "left_semi")
+    pl = lines(pl, "scene_name", text)
     hits = pl.where(F.col("line").rlike(ACT_PATTERN)).select(
         "scene_name", "line_no", F.regexp_extract("line", ACT_PATTERN, 1).alias("act_name"))
     hits = hits.withColumn("act_no", F.row_number().over(Window.partitionBy("scene_name").orderBy("line_no")))
@@ -163,9 +164,14 @@ def split_fragments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def with_previous_summary(frags: DataFrame, chapter: str = "chapter",
                           order: tuple[str, ...] = ("scene_no", "act_no", "frag_no")) -> DataFrame:
-    """The summary of the previous fragment of the same chapter ('' for the first)."""
-    w = Window.partitionBy(chapter).orderBy(*order)
-    return frags.withColumn("pre_summary", F.lag("summary", 1, "").over(w))
+    """The summary of the previous fragment of the same chapter ('' for the first).
+
+    A long chapter is no single task: the lag runs inside blocks of fragments (``scan.previous_values``).
+    """
+    d = previous_values(frags.withColumn("_has", F.lit(True)), [chapter], order[-1], ["summary", "_has"],
+                        outer=order[:-1])
+    return d.withColumn("pre_summary", F.when(F.col("prev__has"), F.col("prev_summary")).otherwise("")) \
+        .drop("_has", "prev__has", "prev_summary")
 
 
 def speaker_counts(df: DataFrame, dialog: str = "dialog") -> DataFrame:
@@ -205,7 +211,7 @@ def filter_sections(docs: DataFrame, headings: DataFrame, key: str, text: str =
     """
     ln = lines(docs, key, text, strip_lines=True)
     listed = headings.select(F.col("heading").alias("line"), F.lit(True).alias("_start")).distinct()
-    d = ln.join(F.broadcast(listed), "line", "left").withColumn("_start", F.coalesce("_start", F.lit(False)))
+    d = ln.join(listed, "line", "left").withColumn("_start", F.coalesce("_start", F.lit(False)))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_seg", F.sum(F.col("_start").cast("int")).over(w))
     marker = F.when(F.col("_start"), F.substring_index("line", " ", 1))

@@ -36,8 +36,8 @@ def _with_block(df: DataFrame, keys: Sequence[str], pos: str, block: int) -> Dat
     return df.withColumn("_kb", F.struct(*[F.col(k) for k in keys], blk))
 
 
-def _block_window(keys: Sequence[str], order: Column):
-    return Window.partitionBy(*[F.col("_kb").getField(k) for k in keys]).orderBy(order)
+def _block_window(keys: Sequence[str], *order: Column):
+    return Window.partitionBy(*[F.col("_kb").getField(k) for k in keys]).orderBy(*order)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -104,8 +104,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str],
-                    tiebreak: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Skew-safe ``lag(col, 1)`` per key in ``pos`` order: adds ``prev_<col>`` for each col.
+                    tiebreak: Sequence[str] = (), block: int = DEFAULT_BLOCK, outer: Sequence[str] = ()) -> DataFrame:
+    """Skew-safe ``lag(col, 1)`` per key in ``(*outer, pos)`` order: adds ``prev_<col>`` for each col.
 
     Inside a block of ``block`` consecutive positions it is an ordinary ``lag``; the first
     row of a block takes the last row of the nearest earlier non-empty block, found with a
@@ -114,7 +114,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
     from ..session import apply_workarounds
     apply_workarounds(df.sparkSession)
     keys, cols, tb = list(keys), list(cols), list(tiebreak)
-    d = _with_block(df, keys, pos, block)
+    d = _with_block(df, [*keys, *outer], pos, block)
     w = Window.partitionBy("_kb").orderBy(pos, *tb)
     d = d.withColumn("_first", F.row_number().over(w) == 1)
     for c in cols:
@@ -122,7 +122,7 @@ def previous_values(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
     last = d.groupBy("_kb").agg(F.max(F.struct(F.col(pos).alias("_p"), *[F.col(t).alias(f"_t{i}")
                                                                                   for i, t in enumerate(tb)],
                                                        *[F.col(c).alias(f"_c_{c}") for c in cols])).alias("_last"))
-    wb = _block_window(keys, F.col("_kb").getField("_blk").asc())
+    wb = _block_window(keys, *[F.col("_kb").getField(c).asc() for c in (*outer, "_blk")])
     prev = last.select("_kb", F.lag("_last").over(wb).alias("_prev_last"))
     d = d.join(prev.hint("shuffle_hash"), "_kb", "left")
     for c in cols:

@@ -55,11 +55,29 @@ def read_site_config(spark: SparkSession, path: str, site: str) -> dict[str, Dat
     return {"categories": cats, "samples": samples, "trim_rules": rules}
 
 
-def write_site_config(categories: DataFrame, samples: DataFrame, rules: DataFrame, path: str) -> None:
-    """Write the three config tables as JSON lines (one folder each)."""
-    categories.write.mode("overwrite").json(f"{path}/categories")
-    samples.write.mode("overwrite").json(f"{path}/samples")
-    rules.write.mode("overwrite").json(f"{path}/trim_rules")
+def write_site_config(categories: DataFrame, samples: DataFrame, rules: DataFrame, path: str,
+                      spider: str = "wiki", start_urls: DataFrame | None = None, ignore_home: bool = False) -> None:
+    """One config file per site under ``path/folder=<site>``, in the form :func:`read_site_config` reads.
+
+    The tables carry a ``site`` column (``start_urls`` has ``site, url``). A site that is in any of them gets
+    a file; the lists it lacks are empty. A config is a hand-sized file, one row here.
+    """
+    def per_site(df, entry, out):
+        return df.groupBy("site").agg(F.array_sort(F.collect_list(entry)).alias(out))
+
+    urls = start_urls if start_urls is not None else samples.select("site", F.lit("").alias("url")).limit(0)
+    cats = per_site(categories, F.struct("cat_name", "n_pages", "score"), "categories")
+    titles = per_site(samples, F.col("title"), "samples")
+    starts = per_site(urls, F.col("url"), "start_urls")
+    ordered = per_site(rules, F.struct("rule_no", "rule"), "_rules").select(
+        "site", F.transform("_rules", lambda r: r["rule"]).alias("trim_rules"))
+    d = cats.join(titles, "site", "full").join(starts, "site", "full").join(ordered, "site", "full")
+    empty = {"categories": "ARRAY<STRUCT<cat_name: STRING, n_pages: BIGINT, score: DOUBLE>>"}
+    lists = [F.coalesce(F.col(c), F.array().cast(empty.get(c, "ARRAY<STRING>"))).alias(c)
+             for c in ("start_urls", "categories", "samples", "trim_rules")]
+    d.select(F.col("site").alias("folder"), F.lit(spider).alias("spider"), F.lit(ignore_home).alias("ignore_home"),
+             *lists).repartition("folder").write.mode("overwrite").option("maxRecordsPerFile", 1) \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("folder").json(path)
 
 
 def write_markdown(items: DataFrame, root: str) -> None:

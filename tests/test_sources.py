@@ -41,8 +41,13 @@ def test_site_config_roundtrip(spark):
     assert [r.rule for r in t["trim_rules"].orderBy("rule_no").collect()] == meta["trim_rules"]
     assert t["categories"].collect()[0].score == 4.0
     out = os.path.join(d, "out")
-    S.write_site_config(t["categories"], t["samples"], t["trim_rules"], out)
-    assert spark.read.json(os.path.join(out, "samples")).count() == 2
+    other = t["samples"].limit(1).withColumn("site", F.lit("yy"))
+    S.write_site_config(t["categories"], t["samples"].unionByName(other), t["trim_rules"], out)
+    back = S.read_site_config(spark, os.path.join(out, "folder=zz"), "zz")
+    for name, table in t.items():
+        assert sorted(map(tuple, back[name].collect())) == sorted(map(tuple, table.collect()))
+    yy = S.read_site_config(spark, os.path.join(out, "folder=yy"), "yy")
+    assert yy["samples"].count() == 1 and yy["categories"].count() == 0
 
 
 def test_feed_texts_fragments_jsonl_markdown(spark):
