@@ -1,4 +1,4 @@
-"""Registered chunking queries (K1-K3, K10, K11) over ``documents`` and crawled ``pages``."""
+"""Registered chunking queries (K1-K3, K6-K8, K10-K12) over ``documents`` and crawled ``pages``."""
 
 from __future__ import annotations
 
@@ -66,3 +66,43 @@ def k11_effective_size(spark, sf):
     d = Tables(spark, sf).documents
     eff = K.effective_size(1024, F.col("source"))
     return d.select("doc_id", eff.alias("budget"), K.size_warning(eff).alias("warn"))
+
+
+@register("k6_table_to_kv", """
+SELECT c_custkey, 'key: ' || c_custkey || chr(9) || 'name: ' || c_name || chr(9) || 'segment: ' || c_mktsegment AS line
+FROM customer
+""")
+def k6_table_to_kv(spark, sf):
+    header = F.array(F.lit("key"), F.lit("name"), F.lit("segment"))
+    row = F.concat(F.lit("|"), F.concat_ws(" | ", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), F.lit(" |"))
+    return Tables(spark, sf).customer.select("c_custkey", K.table_to_kv(header, K.table_cells(row)).alias("line"))
+
+
+@register("k7_synth_header", """
+SELECT c_custkey, array_to_string(list_transform(range(c_custkey % 60 + 1), lambda i:
+  'C_' || CASE WHEN i >= 26 THEN chr(CAST(64 + i // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + i % 26 AS INTEGER))), ',')
+  AS header FROM customer
+""")
+def k7_synth_header(spark, sf):
+    n = (F.col("c_custkey") % 60 + 1).cast("int")
+    return Tables(spark, sf).customer.select("c_custkey", F.array_join(K.synth_header(n), ",").alias("header"))
+
+
+@register("k8_row_cost", """
+SELECT c_custkey, CAST(2 + length(c_name) + 2 + length(c_mktsegment) + 2 + length(CAST(c_custkey AS VARCHAR)) + 2 - 1
+  AS INTEGER) AS cost FROM customer
+""")
+def k8_row_cost(spark, sf):
+    row = F.concat(F.lit(" |  "), F.concat_ws("  |", "c_name", "c_mktsegment", F.col("c_custkey").cast("string")), F.lit("|"))
+    return Tables(spark, sf).customer.select("c_custkey", K.row_cost(K.table_cells(row)).cast("int").alias("cost"))
+
+
+@register("k12_squeeze_table", """
+SELECT c_custkey, '| ' || c_name || ' | - |' || chr(10) || '| ' || c_mktsegment || ' | -:|' AS squeezed FROM customer
+""")
+def k12_squeeze_table(spark, sf):
+    pad = F.repeat(F.lit(" "), (F.col("c_custkey") % 9 + 1).cast("int"))
+    dashes = F.repeat(F.lit("-"), (F.col("c_custkey") % 5 + 1).cast("int"))
+    block = F.concat(F.lit("|"), pad, F.col("c_name"), pad, F.lit("| "), dashes, F.lit(" |\n|"), pad, F.col("c_mktsegment"),
+                     F.lit(" |  "), dashes, F.lit(":|"))
+    return Tables(spark, sf).customer.select("c_custkey", K.squeeze_table(block).alias("squeezed"))

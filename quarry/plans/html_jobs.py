@@ -166,3 +166,30 @@ def p13_prune_to_template(spark, sf):
     pick = sig.join(sizes, "signature").orderBy(F.col("n").desc(), "page_id").limit(1).select("page_id")
     template = H.collapse_siblings(nodes.join(pick, "page_id", "left_semi"))
     return _cols(H.prune_to_template(nodes, template))
+
+
+@register("p9_plan_pages", """
+WITH a AS (SELECT event_id % 400 AS page_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'exhausted' ELSE 'ok' END
+           AS state FROM events)
+SELECT page_id, CAST((SELECT count(*) FROM a WHERE a.page_id = p.page_id) AS BIGINT) AS n_attempts FROM pages p
+WHERE page_id NOT IN (SELECT page_id FROM a WHERE state = 'exhausted') AND length(html) >= 100
+""")
+def p9_plan_pages(spark, sf):
+    """Attempts are the events: event ``i`` tried page ``i % 400``, a large error exhausted it."""
+    t = Tables(spark, sf)
+    spent = (F.col("event_type") == "error") & (F.col("value") > 50)
+    attempts = t.events.select((F.col("event_id") % 400).alias("page_id"),
+                               F.when(spent, "exhausted").otherwise("ok").alias("state"))
+    return H.plan_pages(t.pages, attempts, empty=F.length("html") < 100).select("page_id", "n_attempts")
+
+
+@register("p10_all_last_n", """
+SELECT user_id AS rule_id, count(*) = 3 AND bool_and(event_type IN ('view', 'click')) AS stop
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+WHERE r <= 3 GROUP BY user_id
+""")
+def p10_all_last_n(spark, sf):
+    attempts = Tables(spark, sf).events.select(
+        F.col("user_id").alias("rule_id"), F.col("event_id").alias("attempt_no"),
+        F.when(F.col("event_type").isin("view", "click"), "exhausted").otherwise("ok").alias("state"))
+    return H.all_last_n(attempts)

@@ -52,7 +52,7 @@ class Tables:
 
 def _load_all_modules() -> None:
     from . import (chunk_jobs, curate_jobs, dialog_jobs, html_jobs, memory_jobs, quality_jobs,  # noqa: F401
-                   retrieval_jobs, source_jobs, stream_jobs, text_jobs, url_jobs)
+                   retrieval_jobs, scene_jobs, source_jobs, stream_jobs, text_jobs, url_jobs)
 
 
 def queries() -> dict[str, QueryFn]:
