@@ -73,7 +73,7 @@ class _TreeBuilder(HTMLParser):
             t = self.rows[self.stack[i]][5]
             if t == tag:
                 return i
-            if scope and t in _SCOPE and t != tag:
+            if scope and (t in _SCOPE and t != tag or tag == "li" and t in ("ul", "ol")):
                 return -1
         return -1
 
@@ -196,14 +196,23 @@ def clean_html(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 # ------------------------------------------------------------------ trim rules
-def rule_predicate(rule: str) -> Column:
+def rule_predicate(rule: str, key: str = "page_id") -> Column:
     """Compile the supported XPath subset to a node predicate.
 
     Supported: ``//tag`` or ``//*`` with an optional ``[cond (and cond)*]`` where cond is
     ``@attr='v'`` (class matches as a whole string, as XPath does) or
-    ``contains(@attr,'v')``. Anything else is rejected.
+    ``contains(@attr,'v')``, and such a rule followed by ``/following-sibling::tag[1]``: the first
+    sibling of that tag after a match (a window over the siblings, so add the predicate as a column before
+    using it inside another window). Anything else is rejected.
     """
     import re
+    sibling = re.fullmatch(r"(.*)/following-sibling::([A-Za-z][A-Za-z0-9]*)\[1\]\s*", rule)
+    if sibling:
+        before = Window.partitionBy(key, "parent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+        is_tag = (F.col("kind") == "element") & (F.col("tag") == sibling.group(2).lower())
+        match = F.max(F.when(rule_predicate(sibling.group(1)), F.col("node_id"))).over(before)
+        same = F.max(F.when(is_tag, F.col("node_id"))).over(before)
+        return is_tag & F.coalesce(match >= F.coalesce(same, F.lit(-1)), F.lit(False))
     m = re.fullmatch(r"\s*//([A-Za-z][A-Za-z0-9]*|\*)(?:\[(.*)\])?\s*", rule)
     if not m:
         raise ValueError(f"unsupported trim rule: {rule!r}")
@@ -235,8 +244,9 @@ def rule_hits(nodes: DataFrame, rules: DataFrame, key: str = "page_id", samples:
     if not rl:
         return rules.sparkSession.createDataFrame([], "rule_no int, n_hits long, n_pages long, rejected boolean, "
                                                   "sample_nodes array<struct<page_id:long,node_id:int>>")
-    flags = F.array(*[F.when(rule_predicate(r), F.lit(no)) for no, r in rl])
-    h = nodes.select(key, "node_id", F.explode(F.array_compact(flags)).alias("rule_no"))
+    flags = F.array(*[F.when(rule_predicate(r, key), F.lit(no)) for no, r in rl])
+    flagged = nodes.withColumn("_rules", F.array_compact(flags))
+    h = flagged.select(key, "node_id", F.explode("_rules").alias("rule_no"))
     w = Window.partitionBy("rule_no").orderBy(key, "node_id")
     sampled = h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples)
     stats = h.groupBy("rule_no").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct(key).alias("n_pages"))
@@ -253,8 +263,8 @@ def apply_trim_rules(nodes: DataFrame, rules: list[str], key: str = "page_id") -
         return nodes
     hit = F.lit(False)
     for r in rules:
-        hit = hit | rule_predicate(r)
-    return _remove_subtrees(nodes, hit, key)
+        hit = hit | rule_predicate(r, key)
+    return _remove_subtrees(nodes.withColumn("_hit", hit), F.col("_hit"), key).drop("_hit")
 
 
 # ------------------------------------------------------------------ planning
@@ -371,47 +381,83 @@ def render_html(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 def to_markdown(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Main-content nodes → Markdown, one string per page.
 
-    Every text node is assigned to its nearest block ancestor (``h1``-``h6``, ``p``,
-    ``li``, …) via the smallest enclosing block range; inline links become spaced text
-    (their URL dropped); bold text is ``**…**`` and italics ``*…*``; images render as
-    ``![alt]( "title")`` and vanish without alt and title. Blocks are emitted in document order, separated by blank lines; headings
-    get ``#`` marks and list items ``* ``.
+    Text goes out in document order and none is lost: it is cut into runs of equal nearest block
+    (``h1``-``h6``, ``p``, ``li``, …; text outside any block forms runs of its own), so text after an inner
+    block starts a new run. Inline links become spaced text (their URL dropped); bold text is ``**…**`` and
+    italics ``*…*``; images render as ``![alt]( "title")`` and vanish without alt and title. Headings get
+    ``#`` marks. The first run of a list item gets its mark (``*``, ``+``, ``-`` by nesting, or its number in
+    an ordered list), later ones its indent. A table row is one line of cells, with a rule below the first.
     """
-    img = F.when((F.col("kind") == "element") & (F.col("tag") == "img"), F.when(
-        F.coalesce(F.element_at("attrs", F.lit("alt")), F.lit("")) != "",
-        F.lit(True)).otherwise(F.coalesce(F.element_at("attrs", F.lit("title")), F.lit("")) != ""))
     title = F.coalesce(F.element_at("attrs", F.lit("title")), F.lit(""))
-    img_md = F.concat(F.lit("!["), F.coalesce(F.element_at("attrs", F.lit("alt")), F.lit("")), F.lit("]("),
+    alt = F.coalesce(F.element_at("attrs", F.lit("alt")), F.lit(""))
+    is_img = (F.col("tag") == "img") & ((alt != "") | (title != ""))
+    is_cell = F.col("tag").isin("td", "th")
+    img_md = F.concat(F.lit("!["), alt, F.lit("]("),
                       F.when(title != "", F.concat(F.lit(' "'), F.replace(title, F.lit('"'), F.lit('\\"')), F.lit('"')))
                       .otherwise(F.lit("")), F.lit(")"))
-    pieces = nodes.where((F.col("kind") == "text") | F.coalesce(img, F.lit(False))) \
-        .select(key, "node_id", "ancestors", F.when(F.col("kind") == "text", F.regexp_replace("text", r"\s+", " "))
-                .otherwise(img_md).alias("piece"))
-    # nearest block ancestor and "inside a link", from the ancestor ids (an equi-join, linear in depth)
-    anc = pieces.select(key, "node_id", F.explode("ancestors").alias("a_id"))
-    tags = nodes.where(F.col("kind") == "element").select(key, F.col("node_id").alias("a_id"), F.col("tag").alias("a_tag"))
-    anc = anc.join(tags, [key, "a_id"]).groupBy(key, "node_id").agg(
-        F.max(F.when(F.col("a_tag").isin(*_BLOCKS), F.struct(F.col("a_id").alias("b_id"), F.col("a_tag").alias("b_tag"))))
-        .alias("_b"), F.max((F.col("a_tag") == "a").cast("int")).alias("_in_a"),
-        F.max(F.col("a_tag").isin("b", "strong").cast("int")).alias("_in_b"),
-        F.max(F.col("a_tag").isin("em", "i").cast("int")).alias("_in_i"))
-    j = pieces.join(anc, [key, "node_id"]).where(F.col("_b").isNotNull())
+    is_text = F.col("kind") == "text"
+    # an element cell is an empty piece of its own, so that empty cells keep their column
+    pieces = nodes.where(is_text | ((F.col("kind") == "element") & (is_img | is_cell))).select(
+        key, "node_id", "ancestors", F.when(~is_text & is_cell, F.col("node_id")).alias("_self"),
+        F.when(is_text, F.regexp_replace("text", r"\s+", " ")).when(is_cell, "").otherwise(img_md).alias("piece"))
+    anc = pieces.select(key, "node_id", F.explode_outer("ancestors").alias("a_id"))
+    w_li = Window.partitionBy(key, "parent_id", "tag").orderBy("node_id")
+    tags = nodes.where(F.col("kind") == "element").select(
+        key, F.col("node_id").alias("a_id"), F.col("tag").alias("a_tag"), F.row_number().over(w_li).alias("a_no"))
+
+    def nearest(*names):
+        return F.max(F.when(F.col("a_tag").isin(*names), F.col("a_id")))
+
+    def inside(*names):
+        return F.coalesce(F.max(F.col("a_tag").isin(*names)), F.lit(False))
+    anc = anc.join(tags, [key, "a_id"], "left").groupBy(key, "node_id").agg(
+        F.max(F.when(F.col("a_tag").isin(*_BLOCKS), F.struct(F.col("a_id").alias("id"), F.col("a_tag").alias("tag"))))
+        .alias("_b"),
+        F.max(F.when(F.col("a_tag") == "li", F.struct(F.col("a_id").alias("id"), F.col("a_no").alias("no")))).alias("_li"),
+        F.count_if(F.col("a_tag") == "li").alias("_deep"),
+        F.max(F.when(F.col("a_tag").isin("ul", "ol"), F.struct(F.col("a_id").alias("id"), F.col("a_tag").alias("tag"))))
+        .alias("_list"), nearest("tr").alias("_tr"), nearest("td", "th").alias("_td"), nearest("table").alias("_table"),
+        inside("a").alias("_in_a"), inside("b", "strong").alias("_in_b"), inside("em", "i").alias("_in_i"))
+    j = pieces.join(anc, [key, "node_id"])
     core = F.trim(F.col("piece"))
     marked = (F.when(core == "", F.col("piece"))
-              .when(F.col("_in_b") == 1, F.concat(F.lit("**"), core, F.lit("**")))
-              .when(F.col("_in_i") == 1, F.concat(F.lit("*"), core, F.lit("*")))
+              .when(F.col("_in_b"), F.concat(F.lit("**"), core, F.lit("**")))
+              .when(F.col("_in_i"), F.concat(F.lit("*"), core, F.lit("*")))
               .otherwise(F.col("piece")))
-    j = j.withColumn("piece", F.when(F.col("_in_a") == 1, F.concat(F.lit(" "), marked, F.lit(" "))).otherwise(marked))
-    per_block = j.groupBy(key, F.col("_b.b_id").alias("b_id"), F.col("_b.b_tag").alias("b_tag")).agg(
-        F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "piece"))),
-                                                         lambda s: s["piece"]), ""), r" {2,}", " ")).alias("body"))
-    level = F.when(F.col("b_tag").rlike("^h[1-6]$"), F.substring("b_tag", 2, 1).cast("int"))
-    line = (F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.col("body")))
-            .when(F.col("b_tag") == "li", F.concat(F.lit("* "), F.col("body")))
-            .otherwise(F.col("body")))
-    per_block = per_block.where(F.col("body") != "").withColumn("line", line)
-    return per_block.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_id", "line"))),
-                                                               lambda s: s["line"]), "\n\n").alias("markdown"))
+    in_row = F.col("_tr").isNotNull() & F.coalesce(F.col("_tr") > F.col("_li.id"), F.lit(True))
+    j = j.withColumn("piece", F.when(F.col("_in_a"), F.concat(F.lit(" "), marked, F.lit(" "))).otherwise(marked)) \
+        .withColumn("_row", in_row).withColumn("_unit", F.when(in_row, F.col("_tr")).otherwise(F.coalesce("_b.id", F.lit(-1)))) \
+        .withColumn("_cell", F.when(in_row, F.coalesce("_self", "_td")))
+    # blank text between blocks is no piece of a run; inside one it is a space
+    by_page = Window.partitionBy(key).orderBy("node_id")
+    j = j.withColumn("_run", F.sum(F.coalesce(F.col("_unit") != F.lag("_unit").over(by_page), F.lit(True)).cast("int"))
+                     .over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("node_id", c))), lambda x: x[c])
+    cells = j.groupBy(key, "_run", "_row", "_cell").agg(
+        F.min("node_id").alias("node_id"), F.trim(F.regexp_replace(F.array_join(ordered("piece"), ""), r" {2,}", " "))
+        .alias("body"), *[F.first(c).alias(c) for c in ("_b", "_li", "_deep", "_list", "_table")])
+    runs = cells.groupBy(key, "_run", "_row").agg(
+        F.array_join(ordered("body"), " | ").alias("body"), F.count_if(F.col("_cell").isNotNull()).alias("_n"),
+        F.count_if(F.col("body") != "").alias("_full"), *[F.first(c).alias(c) for c in ("_b", "_li", "_deep", "_list", "_table")])
+    runs = runs.where(F.col("_full") > 0)
+    first_of = lambda c: F.col("_run") == F.min("_run").over(Window.partitionBy(key, c, "_row"))
+    runs = runs.withColumn("_first", F.when(F.col("_row"), first_of("_table")).otherwise(first_of("_li.id")))
+    b_tag = F.coalesce(F.col("_b.tag"), F.lit(""))
+    level = F.when(b_tag.rlike("^h[1-6]$"), F.substring(b_tag, 2, 1).cast("int"))
+    body = F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.col("body"))).otherwise(F.col("body"))
+    indent = F.repeat(F.lit("  "), (F.col("_deep") - 1).cast("int"))
+    mark = F.when(F.col("_list.tag") == "ol", F.concat(F.col("_li.no").cast("string"), F.lit(". "))).otherwise(
+        F.concat(F.substring(F.lit("*+-"), ((F.col("_deep") - 1) % 3 + 1).cast("int"), F.lit(1)), F.lit(" ")))
+    row = F.concat(F.lit("| "), F.col("body"), F.lit(" |"))
+    line = (F.when(F.col("_row") & F.col("_first"), F.concat(row, F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("_n").cast("int"))))
+            .when(F.col("_row"), row)
+            .when(F.col("_li").isNull(), body)
+            .when(F.col("_first"), F.concat(indent, mark, body))
+            .otherwise(F.concat(indent, F.lit("  "), body)))
+    gap = F.when(F.col("_row") & ~F.col("_first"), "\n").otherwise("\n\n")
+    lines = runs.select(key, "_run", F.concat(gap, line).alias("line"))
+    return lines.groupBy(key).agg(F.substring(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_run", "line"))), lambda x: x["line"]), ""), 3, 1 << 30).alias("markdown"))
 
 
 # ------------------------------------------------------------------ template pruning

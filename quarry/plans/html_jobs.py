@@ -133,16 +133,20 @@ def p16_render_html(spark, sf):
 
 
 def build_corpus(spark, sf):
-    """Pages → main content → clean → trim → Markdown → phrase dedup → items."""
+    """Pages → main content → clean → trim → Markdown → phrase dedup → items.
+
+    ``html`` is the main content as it came, before cleaning. A site's home page is no item.
+    """
     pages = Tables(spark, sf).pages
+    pages = pages.where(FU.url_leaf(FU.unquote(F.col("url"))) != FU.HOME_PAGE)
     # the node table feeds five branches (meta, main content, markdown, html, items): keep
     # it in Spark's block store (memory, spilling to disk) so the Python parse runs once;
     # a lost block is rebuilt from lineage
     nodes = H.parse_nodes(pages).persist(StorageLevel.MEMORY_AND_DISK)
     meta = H.page_meta(nodes)
-    main = H.apply_trim_rules(H.decode_links(H.clean_html(H.main_content(nodes, meta))), TRIM_RULES)
-    md = H.to_markdown(main)
-    html = H.render_html(main)
+    content = H.main_content(nodes, meta)
+    md = H.to_markdown(H.apply_trim_rules(H.decode_links(H.clean_html(content)), TRIM_RULES))
+    html = H.render_html(content)
     items = (meta.select("page_id", "title", "modified_at")
              .join(pages.select("page_id", "url"), "page_id")
              .join(md, "page_id", "left").join(html, "page_id", "left"))

@@ -88,3 +88,22 @@ def test_to_markdown_blocks(spark):
                            '<ul><li>one</li><li>two</li></ul><p><img alt="pic" title="t"><img></p></article>')])
     md = H.to_markdown(n).collect()[0].markdown
     assert md == '## T\n\na **bold** link *it*\n\n* one\n\n* two\n\n![pic]( "t")'
+
+
+def test_to_markdown_keeps_order_lists_tables_and_loose_text(spark):
+    cases = {1: "<main>loose <article>in</article> tail</main>", 2: "<div>head <p>para</p> tail</div>",
+             3: "<ol><li><p>one</p><p>more</p></li><li>two<ul><li>deep</li></ul></li></ol>",
+             4: "<table><tr><th>A</th><th>B</th></tr><tr><td></td><td>x <b>y</b></td></tr></table><p>end</p>", 5: "<p> </p>"}
+    got = {r.page_id: r.markdown for r in H.to_markdown(_nodes(spark, list(cases.items()))).collect()}
+    assert got == {1: "loose\n\nin\n\ntail", 2: "head\n\npara\n\ntail", 3: "1. one\n\n  more\n\n2. two\n\n  + deep",
+                   4: "| A | B |\n| --- | --- |\n|  | x **y** |\n\nend"}
+
+
+def test_following_sibling_rule(spark):
+    n = _nodes(spark, [(1, '<div class="x bread-edit"></div><p>a</p><div><i>gone</i></div><div>stays</div>'
+                           '<section><div>other parent</div></section>')])
+    rule = "//div[contains(@class,'bread-edit')]/following-sibling::div[1]"
+    text = [r.text for r in H.apply_trim_rules(n, [rule, "//nav"]).where("kind = 'text'").orderBy("node_id").collect()]
+    assert text == ["a", "stays", "other parent"]
+    rules = spark.createDataFrame([(0, rule)], "rule_no INT, rule STRING")
+    assert H.rule_hits(n, rules).collect()[0].n_hits == 1
