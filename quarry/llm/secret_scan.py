@@ -2,18 +2,20 @@
 
 Three kinds come from fixed patterns: ``assign`` (a keyword, a separator and a value), ``access`` (access
 key ids) and ``hex`` (long runs of hex digits). The kind ``random`` comes from the battery. Its candidates
-are maximal runs of encoding characters; each gets an inferred encoding (hex, base32 or base64), and
-against the hypothesis of an ordinary token (word, identifier, path, number) of that encoding:
+are maximal runs of encoding characters, their pieces between ``=`` and ``/``, and the pieces of those between ``-``
+and ``_``. Each gets an inferred encoding: hex, base32 or base36 if it is one without its dashes and in one case,
+else base64. Against the hypothesis of an ordinary token (word, identifier, path, number) of that encoding:
 
 * chi-squared uniformity: the statistic over the alphabet, far below what the skewed letters of ordinary
-  tokens give (and a token whose character classes don't fit the encoding's shares is no candidate);
+  tokens give;
 * runs: the number of runs of one character class, far above that of ordinary tokens;
-* serial correlation of neighbouring alphabet positions, nearer to 0 than in ordinary tokens.
+* serial correlation of neighbouring alphabet positions, nearer to 0 than in ordinary tokens;
+* class fit: the chi-squared statistic over the shares of character classes, far below that of ordinary tokens.
 
-One-sided tail bounds of the three combine by Fisher's method to a p-value. Candidates form strata by
+One-sided tail bounds of the four combine by Fisher's method to a p-value. Candidates form strata by
 encoding and length (powers of 2), and Benjamini-Hochberg within each stratum over the whole corpus
 bounds the share of false finds for short and long tokens alike. P-values are rounded up to steps
-of exp(-0.1), so a stratum is judged from a small histogram.
+of exp(-0.1), so a stratum is judged from a small histogram. A find within another find is left out.
 
 All of it is DataFrame expressions within the row; only histograms are shuffled, and only the
 thresholds (one number a stratum: at most ``MAX_STRATA``) come back, as a scalar subquery.
@@ -38,17 +40,22 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 1
 #: What a text must hold for its kind to be worth an exact scan.
 NEEDS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "random": r"[A-Za-z0-9+/_=-]{20}"}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+PIECE = 20
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "abcdefghijklmnopqrstuvwxyz234567",
+             "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Encodings of one case, without dashes, and what infers them, first to last; all else is base64.
+INFERRED = (("hex", "^([0-9a-f]+|[0-9A-F]+)$"), ("base32", "^([a-z2-7]+|[A-Z2-7]+)$"), ("base36", "^([a-z0-9]+|[A-Z0-9]+)$"))
 #: Chance that two characters of an ordinary token agree, by encoding.
-AGREE = {"hex": 0.12, "base32": 0.10, "base64": 0.065}
+AGREE = {"hex": 0.12, "base32": 0.10, "base36": 0.07, "base64": 0.065}
 #: Chance that an ordinary token changes its character class from one character to the next, by encoding
 #: (identifiers in camel case and paths change often).
-CHANGE = {"hex": 0.15, "base32": 0.10, "base64": 0.30}
-#: Shares of lower case, upper case and other characters in random tokens, by encoding; hex is lowered first. A
-#: token whose chi-squared statistic over these classes exceeds ``MISFIT`` (probability 0.001) isn't random.
-CLASSES = {"hex": (6 / 16, 0.0, 10 / 16), "base32": (0.0, 26 / 32, 6 / 32), "base64": (26 / 64, 26 / 64, 12 / 64)}
-MISFIT = 13.8
+CHANGE = {"hex": 0.15, "base32": 0.06, "base36": 0.12, "base64": 0.30}
+#: Shares of lower case, upper case and other characters in random tokens, by encoding; those of one case are lowered first.
+CLASSES = {"hex": (6 / 16, 0.0, 10 / 16), "base32": (26 / 32, 0.0, 6 / 32), "base36": (26 / 36, 0.0, 10 / 36),
+           "base64": (26 / 64, 26 / 64, 12 / 64)}
+#: The chi-squared statistic over these classes, by character, of ordinary tokens: mean and deviation.
+MISFIT = {"hex": (0.45, 0.20), "base32": (0.17, 0.08), "base36": (0.25, 0.12), "base64": (0.80, 0.25)}
 #: Characters without padding that the tests need.
 LEAST = 16
 #: Serial correlation of ordinary tokens.
@@ -56,8 +63,9 @@ SERIAL = 0.4
 #: Share of false finds that each stratum allows.
 ALPHA = 0.01
 #: Encodings times powers of 2 that a string's length can reach.
-MAX_STRATA = 3 * 32
+MAX_STRATA = 4 * 32
 
+RUN = "struct<at:int,tok:string>"
 SPAN = "struct<start:int,end:int,rank:int>"
 CAND = "struct<start:int,end:int,stratum:string,score:int>"
 RANKS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
@@ -95,22 +103,31 @@ def _tail(z: Column) -> Column:
 
 def token_score(token: Column) -> Column:
     """struct(stratum, score) of a candidate token; score is -10 ln p, rounded down. The tests read the token without
-    padding at its ends; if under ``LEAST`` characters remain, the score is 0."""
+    padding at its ends, and in encodings of one case without dashes and lowered; if under ``LEAST`` characters
+    remain, the score is 0."""
     token = F.trim(token, F.lit("="))
-    enc = (F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
-           .otherwise(F.lit("base64")))
+
+    def by(enc: Column, values: dict) -> Column:
+        return F.coalesce(*(F.when(enc == e, F.lit(v)) for e, v in values.items()))
+
+    def inferred(x: Column) -> Column:
+        bare = F.translate(x["tok"], "-_", "")
+        enc = F.coalesce(*(F.when(bare.rlike(pattern), F.lit(e)) for e, pattern in INFERRED), F.lit("base64"))
+        return F.struct(x["tok"].alias("tok"), bare.alias("bare"), enc.alias("enc"))
+
+    def spelt(x: Column) -> Column:
+        """The token in its encoding's alphabet, the encoding, its alphabet as one string."""
+        tok = F.when(x["enc"] == "base64", F.translate(x["tok"], "-_", "+/")).otherwise(F.lower(x["bare"]))
+        return F.struct(tok.alias("tok"), x["enc"].alias("enc"), by(x["enc"], ALPHABETS).alias("abc"))
 
     def measured(x: Column) -> Column:
-        """x: token, encoding, its alphabet as one string."""
-        chars = F.split(F.when(x["enc"] == "hex", F.lower(x["tok"])).otherwise(F.translate(x["tok"], "-_", "+/")), "")
+        chars = F.split(x["tok"], "")
         index = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(x["abc"], c).cast("double"))
         runs = F.size(F.regexp_extract_all(x["tok"], F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"), F.lit(0)))
-        folded = F.when(x["enc"] == "hex", F.lower(x["tok"])).otherwise(x["tok"])
         misfit = F.lit(0.0)
         for place, cls in enumerate(("[^a-z]", "[^A-Z]", "[a-zA-Z]")):
-            seen = F.length(F.regexp_replace(folded, cls, "")).cast("double")
-            mean = F.length(folded) * (F.when(x["enc"] == "hex", F.lit(CLASSES["hex"][place])).when(
-                x["enc"] == "base32", F.lit(CLASSES["base32"][place])).otherwise(F.lit(CLASSES["base64"][place])))
+            seen = F.length(F.regexp_replace(x["tok"], cls, "")).cast("double")
+            mean = F.length(x["tok"]) * by(x["enc"], {e: c[place] for e, c in CLASSES.items()})
             misfit = misfit + F.when(mean > 0, F.pow(seen - mean, 2) / mean).otherwise(F.lit(0.0))
         return F.struct(x["enc"].alias("enc"), F.length(x["abc"]).cast("double").alias("k"), index.alias("i"),
                         F.greatest(F.size(index).cast("double"), F.lit(2.0)).alias("n"), runs.cast("double").alias("runs"), misfit.alias("misfit"))
@@ -135,45 +152,68 @@ def token_score(token: Column) -> Column:
 
     def scored(x: Column) -> Column:
         n, k = x["n"], x["k"]
-        by = lambda t: F.when(x["enc"] == "hex", F.lit(t["hex"])).when(x["enc"] == "base32", F.lit(t["base32"])).otherwise(
-            F.lit(t["base64"]))
-        agree, change = by(AGREE), by(CHANGE)
+        agree, change = by(x["enc"], AGREE), by(x["enc"], CHANGE)
         expected = k * (1 + (n - 1) * agree) - n
         deviation = k * (n - 1) * F.sqrt(2 * agree * (1 - agree) / (n * (n - 1)) + 0.012 / n)
         uniform = (expected - x["chi2"]) / deviation
         runs = (x["runs"] - 1 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
         serial = (SERIAL - x["serial"]) * F.sqrt(n)
-        half = _tail(uniform) + _tail(runs) + _tail(serial)
-        log_p = half - F.log(1 + half + half * half / 2)
+        fit = (by(x["enc"], {e: m for e, (m, _) in MISFIT.items()}) - x["misfit"] / n) / by(
+            x["enc"], {e: d for e, (_, d) in MISFIT.items()})
+        half = _tail(uniform) + _tail(runs) + _tail(serial) + _tail(fit)
+        log_p = half - F.log(1 + half + half * half / 2 + half * half * half / 6)
         return F.struct(F.concat(x["enc"], F.lit(":"), F.floor(F.log2(n)).cast("string")).alias("stratum"),
-                        F.when((n < LEAST) | (x["misfit"] > MISFIT), F.lit(0)).otherwise(
+                        F.when(n < LEAST, F.lit(0)).otherwise(
                             F.floor(10 * F.greatest(log_p, F.lit(0.0))).cast("int")).alias("score"))
 
     # each step is an array of one element, so that its value is made once and named in the next lambda
-    abc = lambda e: (F.when(e == "hex", F.lit(ALPHABETS["hex"])).when(e == "base32", F.lit(ALPHABETS["base32"]))
-                     .otherwise(F.lit(ALPHABETS["base64"])))
-    box = F.array(F.struct(token.alias("tok"), enc.alias("enc"), abc(enc).alias("abc")))
-    for f in (measured, sums, correlated, scored):
+    box = F.array(F.struct(token.alias("tok")))
+    for f in (inferred, spelt, measured, sums, correlated, scored):
         box = F.transform(box, f)
     return F.get(box, F.lit(0))
 
 
+def _pieces(run: Column, separator: str) -> Column:
+    """The pieces of a run (at, tok) between separators of one character, as long as a candidate."""
+    start = F.struct(run["at"].alias("at"), F.array().cast(f"array<{RUN}>").alias("found"))
+
+    def step(acc: Column, p: Column) -> Column:
+        one = F.array(F.struct(acc["at"].alias("at"), p.alias("tok")))
+        return F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.when(
+            F.length(p) >= PIECE, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(F.split(run["tok"], separator, -1), start, step, lambda acc: acc["found"])
+
+
 def _candidates() -> Column:
     """Candidate tokens with their place, stratum and score."""
     found = F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))
     between = F.split("_t", CANDIDATE, -1)
     parts = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(
-        F.length(b).alias("gap"), F.length(m).alias("n"), token_score(m).alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{CAND}>").alias("found"))
+        F.length(b).alias("gap"), m.alias("tok")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{RUN}>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        one = F.array(F.struct(begin.alias("start"), (begin + x["n"]).alias("end"), x["s"]["stratum"].alias("stratum"),
-                               x["s"]["score"].alias("score")))
-        return F.struct((begin + x["n"]).alias("at"), F.concat(acc["found"], one).alias("found"))
+        one = F.array(F.struct(begin.alias("at"), x["tok"].alias("tok")))
+        return F.struct((begin + F.length(x["tok"])).alias("at"), F.concat(acc["found"], one).alias("found"))
+
+    def outer(r: Column) -> Column:
+        divided = F.trim(r["tok"], F.lit("=")).rlike("[=/]")
+        return F.when(divided, F.concat(F.array(r), _pieces(r, "[=/]"))).otherwise(F.array(r))
+
+    def inner(r: Column) -> Column:
+        divided = ~F.trim(r["tok"], F.lit("=")).rlike("[=/]") & F.trim(r["tok"], F.lit("-_")).rlike("[-_]")
+        return F.when(divided, F.concat(F.array(r), _pieces(r, "[-_]"))).otherwise(F.array(r))
 
-    return F.when(_needs("random"), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(
-        F.array().cast(f"array<{CAND}>"))
+    runs = F.aggregate(parts, start, step, lambda acc: acc["found"])
+    for pieces in (outer, inner):
+        runs = F.flatten(F.transform(runs, pieces))
+    scored = F.transform(runs, lambda r: F.struct(r["at"].alias("start"), (r["at"] + F.length(r["tok"])).alias("end"),
+                                                  token_score(r["tok"]).alias("s")))
+    cands = F.transform(scored, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["s"]["stratum"].alias(
+        "stratum"), c["s"]["score"].alias("score")))
+    return F.when(_needs("random"), cands).otherwise(F.array().cast(f"array<{CAND}>"))
 
 
 def scanned(df: DataFrame, text: str = "text") -> DataFrame:
@@ -204,8 +244,18 @@ def with_spans(found: DataFrame, least: Column) -> DataFrame:
     found = found.withColumn("_least", least)
     kept = F.transform(F.filter("_cands", lambda c: F.coalesce(c["score"] >= F.try_element_at(
         F.col("_least"), c["stratum"]), F.lit(False))), lambda c: F.struct(
-            c["start"].alias("start"), c["end"].alias("end"), F.lit(RANKS["random"]).alias("rank")))
-    by_rank = F.transform(F.concat("_base", kept), lambda s: F.struct(
+            c["start"].alias("start"), (-c["end"]).alias("back")))
+    none = F.struct(F.lit(0).alias("reach"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def outer(acc: Column, c: Column) -> Column:
+        """Finds overlap only when one holds the other; the longest of those that start together comes first."""
+        end = -c["back"]
+        span = F.array(F.struct(c["start"].alias("start"), end.alias("end"), F.lit(RANKS["random"]).alias("rank")))
+        return F.struct(F.greatest(acc["reach"], end).alias("reach"),
+                        F.when(end > acc["reach"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    whole = F.aggregate(F.array_sort(kept), none, outer, lambda acc: acc["spans"])
+    by_rank = F.transform(F.concat("_base", whole), lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return found.withColumn("spans", F.array_sort(by_rank)).drop("_least", "_base", "_cands")
 

@@ -234,6 +234,62 @@ def test_secret_battery(spark):
     assert sum(bool(out[i]) for i in plain) <= 3
 
 
+SECRET_FAMILIES = {
+    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", "{}"), "BASE36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "{}"),
+    "base32": ("abcdefghijklmnopqrstuvwxyz234567", "{}"), "BASE32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "{}"),
+    "id=HEX": ("0123456789ABCDEF", "id={}"), "/v1/keys/HEX": ("0123456789ABCDEF", "/v1/keys/{}"),
+    "sk_live_base62": (secret_scan.ALPHABETS["base64"][:62], "sk_live_{}"), "uuid": ("0123456789abcdef", "{}")}
+
+
+def secret_tokens(rnd, family, n, length):
+    """Random tokens of a family as they stand in a text, and the secret part of each."""
+    abc, form = SECRET_FAMILIES[family]
+    for _ in range(n):
+        key = "".join(rnd.choice(abc) for _ in range(32 if family == "uuid" else length))
+        if family == "uuid":
+            key = "-".join((key[:8], key[8:12], "4" + key[13:16], "a" + key[17:20], key[20:]))
+        yield form.format(key), key
+
+
+def ordinary_tokens(rnd, n):
+    """Slugs, constants, camel case, paths, dates and numbers in them, long words."""
+    word = lambda: prose(rnd, 1)
+    forms = (lambda: "-".join(word() for _ in range(6)), lambda: "_".join(word() for _ in range(6)).upper(),
+             lambda: "".join(word().capitalize() for _ in range(6)), lambda: "/".join(word() for _ in range(7)),
+             lambda: f"2023-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)}-" + "-".join(word() for _ in range(5)),
+             lambda: "".join(word() for _ in range(8)), lambda: f"{word()}_{word()}_{rnd.randint(10, 9999)}/{word()}_{word()}_{word()}",
+             lambda: f"202301{rnd.randint(10, 28)}1201{rnd.randint(10, 59)}0000{rnd.randint(1000, 9999)}")
+    while n:
+        t = rnd.choice(forms)()
+        if len(t) >= 20:
+            n -= 1
+            yield t
+
+
+@pytest.mark.parametrize("share,least", [(0.001, 0.55), (0.01, 0.65)])
+def test_secret_families_are_found_when_rare(spark, share, least):
+    """Each family among 20,000 ordinary tokens of the same corpus; keys of 40 characters."""
+    rnd = random.Random(12)
+    rows, keys = [(i, f"see {t} here") for i, t in enumerate(ordinary_tokens(rnd, 20_000))], {}
+    for k, family in enumerate(SECRET_FAMILIES):
+        for i, (t, key) in enumerate(secret_tokens(rnd, family, int(20_000 * share), 40)):
+            keys[100_000 * (k + 1) + i] = family, key
+            rows.append((100_000 * (k + 1) + i, f"see {t} here"))
+    found = secret_scan.stored_scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    out = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["rank"] == 3] for r in secret_scan.with_spans(
+        found, secret_scan.thresholds(found)).collect()}
+    texts, hits = dict(rows), dict.fromkeys(SECRET_FAMILIES, 0)
+    for i, (family, key) in keys.items():
+        at = texts[i].index(key)
+        assert all(a[1] <= b[0] for a, b in zip(out[i], out[i][1:]))
+        hits[family] += any(s <= at and at + len(key) <= e for s, e in out[i])
+    recall = {f: n / int(20_000 * share) for f, n in hits.items()}
+    false = sum(bool(out[i]) for i in range(20_000))
+    print(share, recall, false)
+    assert all(x >= least for x in recall.values()), recall
+    assert false <= max(5, 0.02 * sum(hits.values()))
+
+
 def test_secret_redaction(spark):
     rows = [(1, "a token=abcdefabcdefabcd0123 b", "en", "s", 1), (2, "clean", "en", "s", 5), (3, None, "en", "s", 0)]
     got = {r.doc_id: r for r in secret_scan.redact(clashing(spark.createDataFrame(rows, SCHEMA))).collect()}
