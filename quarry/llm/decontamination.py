@@ -7,9 +7,10 @@ that isn't in the table lets the search move on by m - B + 1 words. Where the sh
 the block (the windows' last words) names the windows that may end here, their first words are looked at,
 and a direct comparison of all words confirms the occurrence.
 
-Words are compared as UTF-8 bytes after lowering A-Z. The benchmark goes to the workers in blocks of items of at most
-``MAX_BLOCK_BYTES`` text, each block with a scan of its own: any benchmark is searched whole, and no broadcast is larger.
-An item is never cut; one that alone exceeds the bound raises.
+Words are compared as UTF-8 bytes after lowering A-Z; one of over ``LONG`` bytes by its digest. The benchmark goes to the
+workers in blocks of at most ``MAX_BLOCK_BYTES`` words and ids, each block with a scan of its own: any benchmark is
+searched whole, and no broadcast is larger. Equal texts are one text with a list of ids (in several parts if there are
+very many), and long ones are cut into pieces that overlap by a window less a word, so that no window is lost.
 
 Defined results: a null text has no words; items without words never occur; a null item_id is left out of
 the lists; items that repeat an id are one id; rows that repeat an id are searched row by row; empty
@@ -18,6 +19,7 @@ tables give no rows or no hits. Columns beside the named ones are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .common import slices, text_key, utf8
 
 WINDOW, BLOCK = 10, 3
 MAX_BLOCK_BYTES = 4 << 20
+#: Bytes of a word that is compared itself.
+LONG = 64
 
 #: Bytes of words stay (A-Z lowered), all others become a space.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -36,7 +40,25 @@ WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
+    """Words; upper-case letters stand only in digests."""
+    words = text.translate(WORD_BYTES).split()
+    if words and max(map(len, words)) > LONG:
+        words = [w if len(w) <= LONG else b"Z" + hashlib.blake2b(w, digest_size=24).hexdigest().upper().encode() for w in words]
+    return words
+
+
+def cut(words: list[bytes], window: int, limit: int) -> Iterator[bytes]:
+    """Pieces of about ``limit`` bytes, a window at least, that hold every window of the words."""
+    start = 0
+    while start < len(words):
+        end, size = start, 0
+        while end < len(words) and (end - start < window or size + len(words[end]) < limit):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[start:end])
+        if end == len(words):
+            return
+        start = end - window + 1
 
 
 class WuManber:
@@ -78,10 +100,10 @@ class WuManber:
 
 
 class Searcher:
-    """All windows of a block of items, one table for each length."""
+    """All windows of a block of pieces (words with spaces between), one table for each length."""
 
     def __init__(self, items: list[bytes], window: int = WINDOW):
-        words = [words_of(t) for t in items]
+        words = [t.split() for t in items]
         lengths: dict[int, list[tuple[int, int]]] = {}
         for i, ws in enumerate(words):
             m = min(window, len(ws))
@@ -103,25 +125,43 @@ class Searcher:
         return starts, ends, items
 
 
-def item_blocks(benchmark: DataFrame, limit: int = MAX_BLOCK_BYTES) -> list[int]:
-    """Numbers of the blocks: an item's block is the hash of its text modulo the number of blocks, so many that
-    each holds half the limit on average."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return list(range(max(1, -(-2 * total // limit)) if total > limit else 1))
-
-
 def _usable(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where(
         F.col("item_id").isNotNull() & F.col("text").isNotNull())
 
 
-def _block(items: DataFrame, k: int, blocks: int, limit: int) -> tuple[list, list[bytes]]:
-    """Ids and texts of one block of items, its size checked."""
-    rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-    texts = [r["text"].encode() for r in rows]
-    if sum(map(len, texts)) > 2 * limit:
-        raise ValueError("a block of benchmark items is too large to broadcast")
-    return [r["item_id"] for r in rows], texts
+def item_pieces(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """(ids, piece): the pieces of the distinct texts with the ids that have them. A row holds about half the limit of
+    words, or a window, and a quarter of it of ids: with more rows, the ids of a text are dealt to several lists."""
+    items = _usable(benchmark)
+    lists = max(1, -(-32 * items.count() // limit))
+    texts = items.groupBy("text", F.pmod(F.xxhash64("item_id"), F.lit(lists)).alias("_list")).agg(
+        F.collect_set("item_id").alias("ids")).select("ids", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        for batch in slices(batches, "text"):
+            rows = [(ids, piece) for ids, text in zip(batch.column("ids").to_pylist(), utf8(batch, "text"), strict=True)
+                    for piece in cut(words_of(text), window, limit // 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())),
+                                              pa.array([r[1] for r in rows], pa.binary())], names=["ids", "piece"])
+
+    return texts.mapInArrow(run, "ids array<bigint>, piece binary")
+
+
+def item_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and pieces by block of at most ``limit`` bytes, or one row; the driver holds a block at a time."""
+    ids, pieces, held = [], [], 0
+    for row in item_pieces(benchmark, window, limit).toLocalIterator():
+        size = len(row["piece"]) + 8 * len(row["ids"])
+        if pieces and held + size > limit:
+            yield ids, pieces
+            ids, pieces, held = [], [], 0
+        ids.append(row["ids"])
+        pieces.append(bytes(row["piece"]))
+        held += size
+    if pieces:
+        yield ids, pieces
 
 
 def _scan(docs: DataFrame, ids: list, texts: list[bytes], window: int, keep: list[str]) -> DataFrame:
@@ -137,7 +177,7 @@ def _scan(docs: DataFrame, ids: list, texts: list[bytes], window: int, keep: lis
             for text in utf8(batch, "text"):
                 words = words_of(text)
                 starts, ends, items = searcher.search(words)
-                for k, x in zip(out, (len(words), starts, ends, sorted({ids[i] for i in items})), strict=True):
+                for k, x in zip(out, (len(words), starts, ends, sorted({x for i in items for x in ids[i]})), strict=True):
                     out[k].append(x)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(out["n_words"], pa.int64()),
@@ -152,9 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     """(doc_id, tk, n_words, starts, ends, items) by row: maximal runs of hit words and the items that occur;
     tk is the digest of the text. One scan of the documents, without a shuffle, for each block of items."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("tk"), F.col("text").alias("text"))
-    items = _usable(benchmark)
-    blocks = item_blocks(items, limit)
-    scans = [_scan(slim, *_block(items, k, len(blocks), limit), window, ["doc_id", "tk"]) for k in blocks]
+    blocks = item_blocks(benchmark, window, limit)
+    scans = [_scan(slim, *block, window, ["doc_id", "tk"]) for block in blocks] or [_scan(slim, [], [], window, ["doc_id", "tk"])]
     if len(scans) == 1:
         return scans[0]
     every = scans[0]
@@ -181,9 +220,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The documents without a hit, all columns kept; a scan and a filter for each block of items, no shuffle."""
     key = "_row"
-    blocks = item_blocks(_usable(benchmark), limit)
-    for k in blocks:
-        searched = _scan(docs.select(F.struct("*").alias(key), F.col("text")), *_block(_usable(benchmark), k, len(blocks), limit), window, [key])
+    for block in item_blocks(benchmark, window, limit):
+        searched = _scan(docs.select(F.struct("*").alias(key), F.col("text")), *block, window, [key])
         docs = searched.where(F.size("starts") == 0).select(f"{key}.*")
     return docs
 

@@ -456,6 +456,34 @@ def test_deep_shallow_sort():
     assert out == sorted(mixed)
 
 
+def test_decontamination_of_equal_and_long_items(spark, docs):
+    """A third of the rows are one text, an item is far over the limit, and words and ids are long and many."""
+    limit, rnd, texts = 2000, random.Random(14), by_id(docs)
+    long = prose(rnd, 400) + " " + " ".join(texts[106].split()[100:900]) + " " + prose(rnd, 400)
+    items = [(k, texts[30]) for k in range(300)] + [(1000 + k, prose(rnd, 12)) for k in range(40)]
+    items += [(2000, long), (2001, "q" * 5000), (2002, "x" * 3000 + " " + prose(rnd, 3))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    extra = spark.createDataFrame([(5000, "a " + "Q" * 5000 + " b", "en", "s", 0), (5001, "q" * 4999, "en", "s", 0)], SCHEMA)
+    some = docs.where("doc_id in (30, 106, 104, 100)").unionByName(extra)
+    blocks = list(decontamination.item_blocks(bench, limit=limit))
+    assert len(blocks) > 3 and all(sum(map(len, p)) + 8 * sum(map(len, i)) <= limit for i, p in blocks)
+    got = collected(decontamination.contaminated(some, bench, limit=limit).withColumn("n_hit", decontamination.hit_words()))
+    texts = by_id(some)
+    assert sum(r["n_hit"] > 0 for r in got) == 3
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute.contamination(texts[r["doc_id"]], [
+            (i, t) for k, (i, t) in enumerate(items) if k < 1 or k >= 300]) or r["doc_id"] == 30 and r["items"] == list(range(300))
+    assert sorted(r.doc_id for r in decontamination.clean(some, bench, limit=limit).collect()) == [100, 104, 5001]
+
+
+def test_decontamination_cut_keeps_every_window():
+    words = [b"w%d" % i for i in range(200)]
+    for limit in (1, 60, 300, 10_000):
+        pieces = [p.split() for p in decontamination.cut(words, 10, limit)]
+        assert [tuple(p[i:i + 10]) for p in pieces for i in range(len(p) - 9)] == [tuple(words[i:i + 10]) for i in range(191)]
+    assert list(decontamination.cut(words[:4], 10, 1)) == [b"w0 w1 w2 w3"] and not list(decontamination.cut([], 10, 1))
+
+
 @pytest.mark.parametrize("limit", [decontamination.MAX_BLOCK_BYTES, 300])
 def test_decontamination(spark, docs, limit):
     texts = by_id(docs)
