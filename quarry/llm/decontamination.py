@@ -12,8 +12,8 @@ workers in blocks of at most ``MAX_BLOCK_BYTES`` words and ids, each block with
 searched whole, and no broadcast is larger. Equal texts are one text with a list of ids (in several parts if there are
 very many), and long ones are cut into pieces that overlap by a window less a word, so that no window is lost.
 
-Defined results: a null text has no words; items without words never occur; a null item_id is left out of
-the lists; items that repeat an id are one id; rows that repeat an id are searched row by row; empty
+Defined results: a null text has no words; items without words never occur; an item of a null id is searched and left out
+of the lists; items that repeat an id are one id; rows that repeat an id are searched row by row; empty
 tables give no rows or no hits. Columns beside the named ones are ignored.
 """
 
@@ -127,7 +127,7 @@ class Searcher:
 
 def _usable(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull())
+        F.col("text").isNotNull())
 
 
 def item_pieces(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_BLOCK_BYTES) -> DataFrame:

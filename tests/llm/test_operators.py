@@ -476,6 +476,18 @@ def test_decontamination_of_equal_and_long_items(spark, docs):
     assert sorted(r.doc_id for r in decontamination.clean(some, bench, limit=limit).collect()) == [100, 104, 5001]
 
 
+def test_decontamination_searches_items_without_id(spark, docs):
+    texts = by_id(docs)
+    items = [(None, texts[31]), (None, texts[22]), (1, texts[22]), (2, "none of these words")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    some = docs.where("doc_id in (22, 31, 104)")
+    got = {r["doc_id"]: r for r in collected(decontamination.contaminated(some, bench).withColumn("n_hit", decontamination.hit_words()))}
+    for i, ids in ((22, [1]), (31, []), (104, [])):
+        n, hit, _ = brute.contamination(texts[i], [(0, t) for _, t in items])
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (n, hit, ids)
+    assert [r.doc_id for r in decontamination.clean(some, bench).collect()] == [104]
+
+
 def test_decontamination_cut_keeps_every_window():
     words = [b"w%d" % i for i in range(200)]
     for limit in (1, 60, 300, 10_000):
