@@ -7,7 +7,8 @@ with it meets. A hit counts by its context window: quotation marks around it or
 for quotation, direct address for abuse, and hits that lean to quotation are counted apart.
 
 Terms: a fixed seed list and words or stems that a bounded sample of labelled rows shows to be
-tied to toxic texts. A logistic model over the logarithms of the hit counts (strong terms, weak terms, quoted,
+tied to toxic texts. Seeds and learned words with few clean uses are matched with as many edits as the sample allows:
+other words that near a term must have few clean uses too. A logistic model over the logarithms of the hit counts (strong terms, weak terms, quoted,
 misspelled) is fitted on the same sample. Bounds: ``FIT_ROWS`` labelled rows (those whose ids hash lowest) and
 ``MAX_TERMS`` terms; the whole of ``labels`` is never joined to the texts. Everything else reads all
 rows. Rows with crc32(doc_id as text) mod 5 = 0 are held out: their labels are never read.
@@ -38,8 +39,8 @@ MAX_TERMS = 400
 #: A learned term needs this many toxic texts, this share of toxic ones, this log-likelihood ratio.
 MIN_TOXIC, MIN_SHARE, MIN_G2 = 5, 0.6, 20.0
 STEMS = (5, 6, 7)
-#: Learned words in this share of the toxic texts are matched with spelling errors, as seeds are.
-FUZZY_SHARE = 0.1
+#: Share of clean uses that a strong term, and its misspellings in the sample, may have.
+CLEAN_SHARE = 0.02
 CONTEXT = 6
 REMEMBER = 500_000
 
@@ -77,6 +78,11 @@ class Term(NamedTuple):
     stem: bool
     strong: bool
     fuzzy: bool
+    most: int = 2
+
+    @property
+    def edits(self) -> int:
+        return min(self.most, allowed_edits(self.text)) if self.fuzzy and not self.stem else 0
 
 
 class Lexicon:
@@ -91,7 +97,7 @@ class Lexicon:
     def __init__(self, terms: list[Term]):
         self.terms, self.nodes = terms, [Node()]
         for i, t in enumerate(terms):
-            node, bound = self.nodes[0], allowed_edits(t.text) if t.fuzzy and not t.stem else 0
+            node, bound = self.nodes[0], t.edits
             node.bound = max(node.bound, bound)
             for ch in t.text:
                 if ch not in node.next:
@@ -127,7 +133,7 @@ class Lexicon:
         return got
 
     def limit(self, word: int) -> int:
-        return allowed_edits(self.terms[word].text) if self.terms[word].fuzzy else 0
+        return self.terms[word].edits
 
     def step(self, state: dict, ch: str) -> dict:
         places = set()
@@ -160,6 +166,19 @@ class Lexicon:
         found = state[None]
         return min(found, stem) if found and stem else found or stem
 
+    def near(self, word: str) -> dict[int, int]:
+        """Every term within its bound, with its edits; none if the word is a term or begins with a stem."""
+        got = self.match(word)
+        if got is None or not got[0]:
+            return {}
+        state, out = self.start, {}
+        for ch in word:
+            state = state.get(ch) or self.step(state, ch)
+        for at, edits in state[1]:
+            if (w := self.nodes[at].word) >= 0 and edits <= self.limit(w):
+                out[w] = min(edits, out.get(w, edits))
+        return out
+
 
 class Scanner:
     """Counts hits within a worker; remembers the words that it has met."""
@@ -244,9 +263,41 @@ def learned_terms(sample: DataFrame) -> list[Term]:
             own = any(w.startswith(stem) and x >= 0.9 * r.a for w, x, _ in whole)
             if not own and not any(k.startswith(stem) or stem.startswith(k) for k in kept):
                 kept.append(stem)
-                out.append(Term(stem, True, r.m - r.a <= 0.02 * r.m, False))
-    out += [Term(w, False, m - a <= 0.02 * m, m - a <= 0.02 * m and a >= FUZZY_SHARE * toxic) for w, a, m in whole
-            if not any(w.startswith(k) for k in kept)]
+                out.append(Term(stem, True, r.m - r.a <= CLEAN_SHARE * r.m, False))
+    # words that begin with a stem stay too: misspelled ones may not begin with it
+    return out + [Term(w, False, m - a <= CLEAN_SHARE * m, m - a <= CLEAN_SHARE * m) for w, a, m in whole]
+
+
+def bounded_terms(sample: DataFrame, terms: list[Term]) -> list[Term]:
+    """The terms, each with the most edits at which its misspellings in (text, _toxic) are no common clean words: the
+    other words that near it have at most ``CLEAN_SHARE`` clean uses among theirs and the term's."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    counts = sample.select("_toxic", F.explode(words).alias("t")).groupBy("t").agg(
+        F.sum("_toxic").cast("bigint").alias("a"), F.count(F.lit(1)).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        lexicon, number = Lexicon(terms), {t.text: i for i, t in enumerate(terms) if not t.stem}
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                near = {number[r["t"]]: 0} if r["t"] in number else lexicon.near(r["t"])
+                rows += [{"term": i, "edits": e, "a": r["a"], "m": r["m"]} for i, e in near.items()]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.int64()) for c in ("term", "edits", "a", "m")]))
+
+    near = counts.mapInArrow(run, "term bigint, edits bigint, a bigint, m bigint").groupBy("term", "edits").agg(
+        F.sum("a").alias("a"), F.sum("m").alias("m")).collect()
+    got = {(r.term, r.edits): (r.a, r.m) for r in near}
+    out = []
+    for i, t in enumerate(terms):
+        uses, clean, most = got.get((i, 0), (0, 0))[1], 0, 0
+        for edits in range(1, t.edits + 1):
+            a, m = got.get((i, edits), (0, 0))
+            uses, clean = uses + m, clean + m - a
+            if clean > CLEAN_SHARE * uses:
+                break
+            most = edits
+        out.append(t._replace(most=most) if most < t.edits else t)
     return out
 
 
@@ -300,6 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     texts = stored(texts.repartition(16, "_id"))
     learned = learned_terms(texts)
     terms = [t for t in learned if t.text not in SEEDS] + [Term(s, False, True, True) for s in SEEDS]
+    terms = bounded_terms(texts, terms)
     counted = hit_counts(texts, terms).groupBy("_hits", "_toxic").agg(F.count(F.lit(1)).alias("n"))
     got = counted.orderBy("_hits", "_toxic").limit(2 * rows).collect()
     x = np.log1p(np.array([r["_hits"] for r in got for _ in range(r["n"])], float).reshape(-1, len(FEATURES)))

@@ -388,6 +388,51 @@ def test_toxicity_context_and_spelling():
     assert scanner.scan("nothing to see") == scanner.scan("") == (0, 0, 0, 0)
 
 
+def misspelled(rnd, word):
+    k = rnd.randrange(len(word))
+    return word[:k] + rnd.choice(["", "x", "q" + word[k]]) + word[k + 1:]
+
+
+def test_toxicity_finds_misspellings_of_rare_terms(spark):
+    """40 terms, each in 2 to 5 % of the toxic texts; held-out texts hold misspelled ones only."""
+    rnd = random.Random(15)
+    terms = ["".join(rnd.choice("bdfgjklmprvz") + rnd.choice("aiou") for _ in range(5)) for _ in range(40)]
+    rows, labels = [], []
+    for i in range(4000):
+        words = prose(rnd, rnd.randint(20, 60)).split()
+        if i % 4 == 0:
+            for term in rnd.sample(terms, 2):
+                words.insert(rnd.randrange(len(words)), term)
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(i % 4 == 0)))
+    d, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(d, lab)
+    held = []
+    for i in range(5000, 5400):
+        words = prose(rnd, 40).split()
+        if i % 2:
+            for term in rnd.sample(terms, 2):
+                words.insert(rnd.randrange(len(words)), misspelled(rnd, term))
+        held.append((i, " ".join(words), "en", "s", 0))
+    out = toxicity.score(spark.createDataFrame(held, SCHEMA), model).collect()
+    found = sum(r.predicted for r in out if r.doc_id % 2)
+    false = sum(r.predicted for r in out if not r.doc_id % 2)
+    print("misspelled found", found, "of 200, clean", false)
+    assert found >= 170 and false <= 4
+
+
+def test_toxicity_common_words_bound_the_edits(spark):
+    """A learned term whose neighbour is a common clean word isn't matched with that many edits; stems keep their words."""
+    rows = [(i, "some zaftanik text", 1) for i in range(40)] + [(i, "other zaftanok text", 0) for i in range(40, 300)]
+    sample = spark.createDataFrame([(t, x) for _, t, x in rows], "text string, _toxic int")
+    terms = toxicity.bounded_terms(sample, [toxicity.Term("zaftanik", False, True, True), toxicity.Term("grobnikel", False, True, True)])
+    assert [t.edits for t in terms] == [0, 2]
+    family = [(f"grobniks{x} and prose", 1) for x in "abcdefgh" for _ in range(10)] + [("prose and more", 0)] * 400
+    learned = toxicity.learned_terms(spark.createDataFrame(family, "text string, _toxic int"))
+    assert any(t.stem for t in learned) and {f"grobniks{x}" for x in "abcdefgh"} <= {t.text for t in learned if t.fuzzy}
+    assert toxicity.Lexicon(learned).match("gribniksa") is not None
+
+
 def test_toxicity_held_out(spark):
     from pyspark.sql import functions as F
     rnd = random.Random(9)
