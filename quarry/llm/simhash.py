@@ -308,6 +308,13 @@ def dealt(slots: DataFrame, counts: DataFrame, hot: int = HOT) -> DataFrame:
     return slots.select(F.explode(pair).alias("key"), "fp")
 
 
+def met(classes: DataFrame, parts: list[list[int]], ts: list[int], hot: int = HOT) -> DataFrame:
+    """(key, fp): the placed fingerprints, hot slots dealt in blocks. Hot is a slot by all that are placed there: the
+    neighbours of a slot receive all of its fingerprints, however few are their own."""
+    slots = placed(classes, parts, ts)
+    return dealt(slots, slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")), hot)
+
+
 def plan(classes: DataFrame, max_bits: int = MAX_BITS) -> tuple[list[list[int]], list[int], DataFrame]:
     """Partitions, thresholds, and the stored counts of the slots."""
     n, both = bit_counts(classes)
@@ -332,8 +339,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     rows = stored(fingerprints(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk"))
     classes = stored(rows.groupBy("fp").agg(first.alias("first")))
-    parts, ts, counts = plan(classes, max_bits)
-    found = links(dealt(placed(classes, parts, ts), counts, hot), max_bits)
+    parts, ts, _ = plan(classes, max_bits)
+    found = links(met(classes, parts, ts, hot), max_bits)
     tree = stars(found)
     member = classes.join(tree, classes["fp"] == tree["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -139,6 +139,15 @@ def test_simhash_groups(docs, hot):
     assert len(set(groups.values())) < len(ids) - 20
 
 
+def test_simhash_neighbours_of_a_hot_slot_are_dealt(spark):
+    """2,000 fingerprints share a key of the first partition: the slots one bit away hold them too, with none of their own."""
+    from pyspark.sql import functions as F
+    fps = [(i << 16,) for i in range(2000)]
+    slots = simhash.met(spark.createDataFrame(fps, "fp bigint"), [list(range(16)), list(range(16, 64))], [1, -1], hot=100)
+    sizes = [r["count"] for r in slots.groupBy("key").count().orderBy(F.desc("count")).limit(3).collect()]
+    assert max(sizes) <= 400 and slots.select("fp").distinct().count() == 2000
+
+
 def test_simhash_probes_find_every_link(spark):
     rnd = random.Random(5)
     fps = [rnd.getrandbits(64) for _ in range(300)]
