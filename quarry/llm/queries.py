@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, chat, decontamination, host_rules, secret_scan, shard, simhash, substring_dedup, token_counts,
-               toxicity)
+from . import (byte_bpe, chat, decontamination, hard_negatives, host_rules, secret_scan, shard, simhash, spelling,
+               substring_dedup, token_counts, topk_search, toxicity)
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,8 +80,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("starts") > 0).alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col(
+        "label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0, n_positives=5, n_negatives=10)
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lookup_shards, op3_simhash_groups, op4_host_rules, op5_secret_scan,
-                                   op6_byte_bpe, op7_token_counts, op8_toxicity, op9_substring_dedup, op10_decontamination)}
+                                   op6_byte_bpe, op7_token_counts, op8_toxicity, op9_substring_dedup, op10_decontamination,
+                                   op11_spelling_variants, op12_topk_search, op13_hard_negatives)}
 
 _ESC = r"""regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(\||s>|/s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"""
 
@@ -163,4 +178,52 @@ cov AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT)
   AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN items USING (doc_id) LEFT JOIN cov USING (doc_id)""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(i))),
+found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents WHERE text IS NOT NULL)),
+hashed AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(named)) + 1), lambda i:
+    CAST('0x' || substr(hex(encode(named)), 2 * i - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, list_extract(t, xor(c & 255, b) + 1))), 4294967295) AS h FROM found, crc),
+vocab AS (
+  SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) ||
+    substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+pairs AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, v.word, v.n FROM cut x JOIN vocab v ON v.word = x.a || x.b
+  UNION SELECT v.word, x.word, x.n FROM cut x JOIN vocab v ON v.word = x.a || x.b),
+best AS (SELECT word, count(*) AS n_near, list(other ORDER BY m DESC, encode(other))[1] AS other, max(m) AS m FROM pairs GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * v.n THEN b.other END AS form,
+  CASE WHEN b.m >= 5 * v.n THEN b.m END AS form_n FROM vocab v LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN forms f ON f.word = w.next)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN walk w ON w.word = f.word AND w.next IS NULL""",
+    "op12_topk_search": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }

@@ -99,3 +99,76 @@ def contamination(text, items):
                     hit |= set(range(p, p + m))
                     found.add(i)
     return len(words), len(hit), sorted(found)
+
+
+def integer_vector(vector):
+    """floor(256 * x) of each component, or None if the vector takes no part."""
+    import math
+    if vector is None or any(x is None or not math.isfinite(x) for x in vector):
+        return None
+    return tuple(math.floor(256 * x) for x in vector)
+
+
+def id_order(i):
+    return (i is None, i)
+
+
+def best_rows(rows, query, asked, k):
+    """rows: distinct (id, vector). The k best of another id, as (id, score)."""
+    found = [(-sum(a * b for a, b in zip(v, query)), id_order(i)) for i, v in rows if i != asked and len(v) == len(query)]
+    return [(i[1], -s) for s, i in sorted(found)[:k]]
+
+
+def negatives(rows, is_anchor, n_positives, n_negatives):
+    """rows: (id, vector, label). Rows (anchor, positive, rank, negative, positive score, negative score)."""
+    rows = {(i, lab, integer_vector(v)) for i, v, lab in rows if lab is not None and integer_vector(v) is not None}
+    out = []
+    for a, lab, q in rows:
+        if a is None or not is_anchor(a):
+            continue
+        same = [(i, v) for i, x, v in rows if x == lab]
+        others = [(i, v) for i, x, v in rows if x != lab]
+        scored = best_rows(others, q, object(), len(others))
+        for p, ps in best_rows(same, q, a, n_positives):
+            window = [(i, s) for i, s in scored if 30 * ps <= 100 * s <= 90 * ps][:n_negatives]
+            out += [(a, p, r, i, ps, s) for r, (i, s) in enumerate(window, 1)]
+    return out
+
+
+def spelling_words(docs, least=6, count=5, one_in=199):
+    """docs: (id, text). {word: n}"""
+    import collections
+    import zlib
+    n = collections.Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower_az(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % one_in == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] += 1
+    return {w: c for w, c in n.items() if len(w) >= least and c >= count}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def spelling_variants(words, ratio=5):
+    """{word: (form, root, n, number of near words, count of the form)}"""
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = {}
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, words[w], len(near[w]), words.get(form[w]))
+    return out
