@@ -21,10 +21,13 @@ so its nodes are bounded by the size of one page.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -290,30 +293,114 @@ def all_last_n(attempts: DataFrame, n: int = 3, state: str = "exhausted", key: s
 
 # ------------------------------------------------------------------ structure
 def structure_signature(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Page skeleton = elements in order, inline tags dropped, only ``class`` kept; ``md5`` of it."""
-    el = nodes.where((F.col("kind") == "element") & ~F.col("tag").isin(*INLINE_TAGS))
+    """Page skeleton (:func:`structure_nodes`) in order, by depth, tag and class; ``md5`` of it."""
     item = F.concat(F.col("depth").cast("string"), F.lit(":"), F.col("tag"),
                     F.coalesce(F.concat(F.lit("."), F.element_at("attrs", F.lit("class"))), F.lit("")))
-    sig = el.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+    sig = structure_nodes(nodes, key).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("node_id", item.alias("s")))), lambda x: x["s"]), "|").alias("skeleton"))
     return sig.withColumn("signature", F.md5("skeleton"))
 
 
+def structure_nodes(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """The page skeleton as a node table: cleaned (P3-P5), without inline elements and what is in them, without text; of the
+    attributes only ``class`` stays."""
+    inline = (F.col("kind") == "element") & F.col("tag").isin(*INLINE_TAGS)
+    bare = _remove_subtrees(clean_html(nodes, key), inline, key).where(F.col("kind") == "element")
+    return bare.withColumn("attrs", F.map_filter("attrs", lambda k, v: k == "class"))
+
+
+def adjacent_repeats(numbers: list[int], marked: list[bool]) -> tuple[int, int, int] | None:
+    """``(start, period, copies)`` of the adjacent repeat with the most copies, two at least, that holds a marked
+    element; of equal ones the one whose last copy begins first, then the shortest period. None without one.
+
+    Equal neighbours at distance ``period`` form runs; a run of length r holds ``r // period + 1`` copies. A longer
+    period can only win with as many copies as fit, so the search stops early; elements that occur once are in no repeat
+    and cut the sequence.
+    """
+    best: tuple | None = None
+    x, uses = np.asarray(numbers, np.int64), Counter(numbers)
+    cuts = [-1, *(i for i, n in enumerate(numbers) if uses[n] == 1), len(numbers)]
+    mark = np.concatenate([[0], np.cumsum(marked)])
+    for lo, hi in zip([c + 1 for c in cuts], cuts[1:]):
+        part, period = x[lo:hi], 1
+        while period * (best[0] if best else 2) <= len(part):
+            same = np.concatenate([[0], (part[period:] == part[:-period]).astype(np.int8), [0]])
+            starts, ends = np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                copies = (e - s) // period + 1
+                start = lo + s
+                if copies > 1 and mark[start + period] > mark[start]:
+                    rank = (copies, -(start + (copies - 1) * period), -period, start)
+                    best = max(best, rank) if best else rank
+            period += 1
+    return (best[3], -best[2], best[0]) if best else None
+
+
+def _kept_children(tag: str | None, tags: list, numbers: list[int], classed: list[bool]) -> list[int]:
+    """The places of the children that stay, by the four rules in their order."""
+    n = len(numbers)
+    if n > 1 and tag in ("table", "tbody") and tags[0] == "tr":
+        return [0, 1]
+    if n > 1 and tag in ("ul", "ol") and tags[0] == "li":
+        return [0]
+    tail = n - 1
+    while tail > 0 and numbers[tail - 1] == numbers[-1]:
+        tail -= 1
+    if tail < n - 1 and classed[tail]:
+        return list(range(tail + 1))
+    found = adjacent_repeats(numbers, classed) if n > 1 else None
+    if found:
+        start, period, copies = found
+        return [i for i in range(n) if not start + period <= i < start + copies * period]
+    return list(range(n))
+
+
+def _collapsed(parents: list[int], labels: list, tags: list, classed: list[bool]) -> list[bool]:
+    """Whether each node of a page (pre-order; a parent's place, or -1) stays. Children are settled before their parent: a
+    node's number stands for its label and the numbers of the children that stay, so equal numbers are equal subtrees."""
+    n = len(parents)
+    children: list[list[int]] = [[] for _ in range(n + 1)]
+    for i, p in enumerate(parents):
+        children[p].append(i)  # -1: the page itself
+    numbers, known, stays = [0] * n, {}, [True] * n
+    for i in range(n - 1, -2, -1):
+        kids = children[i]
+        if len(kids) > 1:
+            kept = _kept_children(tags[i] if i >= 0 else None, [tags[c] for c in kids], [numbers[c] for c in kids],
+                                  [classed[c] for c in kids])
+            for c in set(kids) - {kids[k] for k in kept}:
+                stays[c] = False
+            kids = [kids[k] for k in kept]
+        if i >= 0:
+            numbers[i] = known.setdefault((labels[i], tuple(numbers[c] for c in kids)), len(known))
+    for i, p in enumerate(parents):
+        stays[i] = stays[i] and (p < 0 or stays[p])
+    return stays
+
+
 def collapse_siblings(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Shrink repeated sibling structure: a ``table``/``tbody`` whose first child is a ``tr``
-    keeps two element children; a ``ul``/``ol`` whose first child is an ``li`` keeps one."""
-    el = nodes.where(F.col("kind") == "element").select(key, "node_id", "parent_id", "tag")
-    w = Window.partitionBy(key, "parent_id").orderBy("node_id")
-    ch = el.withColumn("_i", F.row_number().over(w)).withColumnRenamed("parent_id", "_p")
-    first = ch.where(F.col("_i") == 1).select(key, "_p", F.col("tag").alias("_first"))
-    parents = el.select(key, F.col("node_id").alias("_p"), F.col("tag").alias("_ptag"))
-    info = ch.join(parents, [key, "_p"], "left").join(first, [key, "_p"], "left")
-    keep = (F.when(F.col("_ptag").isin("table", "tbody") & (F.col("_first") == "tr"), F.col("_i") <= 2)
-            .when(F.col("_ptag").isin("ul", "ol") & (F.col("_first") == "li"), F.col("_i") <= 1)
-            .otherwise(F.lit(True)))
-    dropped = info.where(~keep).select(key, "node_id", F.lit(True).alias("_hit"))
-    marked = nodes.join(dropped, [key, "node_id"], "left")
-    return _remove_subtrees(marked, F.coalesce("_hit", F.lit(False)), key).drop("_hit")
+    """Shrink repeated sibling structure, children before parents. The first rule that fits a parent of two or more
+    children holds: a ``table``/``tbody`` whose first child is a ``tr`` keeps two; a ``ul``/``ol`` whose first child is an
+    ``li`` keeps one; of equal last children (the first attribute is ``class``) the first stays; of the adjacent repeat with
+    the most copies that holds such an element the first copy stays.
+
+    Every node counts as a child, text too; see :func:`structure_nodes` for a tree without text. Subtrees are compared
+    by numbers built bottom-up, one page at a time; pages keep the partitioning of the node table.
+    """
+    cols = nodes.columns
+
+    def run(page: pa.Table) -> pa.Table:
+        import pyarrow as pa
+        page = page.sort_by([("node_id", "ascending")])
+        at = {x: i for i, x in enumerate(page.column("node_id").to_pylist())}
+        parents = [at.get(p, -1) for p in page.column("parent_id").to_pylist()]
+        tags = page.column("tag").to_pylist()
+        attrs = [tuple(x or ()) for x in page.column("attrs").to_pylist()]
+        labels = list(zip(page.column("kind").to_pylist(), tags, attrs, page.column("text").to_pylist()))
+        stays = _collapsed(parents, labels, tags, [bool(a) and a[0][0] == "class" for a in attrs])
+        return page.filter(pa.array(stays, pa.bool_()))
+
+    return nodes.groupBy(key).applyInArrow(run, nodes.schema).select(*cols)
 
 
 def left_prefix(nodes: DataFrame, max_tokens: int, key: str = "page_id") -> DataFrame:

@@ -105,7 +105,43 @@ def p11_structure_signature(spark, sf):
 
 @register("p12_collapse_siblings")
 def p12_collapse_siblings(spark, sf):
-    return _cols(H.collapse_siblings(_nodes(spark, sf)))
+    return _cols(H.collapse_siblings(H.structure_nodes(_nodes(spark, sf))))
+
+
+def _order_pages(spark, sf):
+    """Stand-in pages, one an order: a block for each line item, in order, with its flags as class and as many list items as its
+    quantity modulo 4, followed by a table of the same lines and a list of them."""
+    line = F.concat(F.lit('<div class="'), F.col("l_returnflag"), F.col("l_linestatus"), F.lit('">'),
+                    F.when(F.col("l_quantity") % 4 > 0, F.concat(F.lit("<ul>"), F.repeat(F.lit("<li></li>"), (F.col(
+                        "l_quantity") % 4).cast("int")), F.lit("</ul>"))).otherwise(""), F.lit("</div>"))
+    rows = Tables(spark, sf).lineitem.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    n = F.size("lines")
+    return rows.select("page_id", F.concat(
+        F.lit("<section>"), F.array_join("lines", ""), F.lit("</section><table>"), F.repeat(F.lit("<tr></tr>"), n),
+        F.lit("</table><ol>"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), ""),
+        F.lit("</ol>")).alias("html"))
+
+
+@register("p12_repeated_siblings", """
+WITH l AS (
+  SELECT l_orderkey AS page_id, list(f ORDER BY l_linenumber, f, q) AS classes, list(q ORDER BY l_linenumber, f, q) AS listed
+  FROM (SELECT *, l_returnflag || l_linestatus AS f, CAST(l_quantity AS INT) % 4 > 0 AS q FROM lineitem) GROUP BY 1),
+k AS (SELECT page_id, len(classes) AS n, list_transform(range(1, len(classes) + 1), lambda i: '<div class="' || classes[i] || '">' ||
+    CASE WHEN listed[i] THEN '<ul><li></li></ul>' ELSE '' END || '</div>') AS kids FROM l),
+t AS (SELECT *, list_min(list_filter(range(1, n), lambda i: len(list_distinct(kids[i:n])) = 1)) AS tail FROM k),
+tries AS (
+  SELECT page_id, s, p, c, s + (c - 1) * p AS last FROM (SELECT *, unnest(range(1, n - c * p + 2)) AS s FROM (
+    SELECT *, unnest(range(2, n // p + 1)) AS c FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS p FROM t WHERE tail IS NULL)))
+  WHERE kids[s:s + (c - 1) * p - 1] = kids[s + p:s + c * p - 1]),
+best AS (SELECT * FROM tries QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY c DESC, last, p) = 1)
+SELECT t.page_id, '<section>' || array_to_string(list_transform(list_filter(range(1, n + 1), lambda i:
+    CASE WHEN tail IS NOT NULL THEN i <= tail WHEN c IS NOT NULL THEN NOT (i >= s + p AND i < s + c * p) ELSE true END),
+    lambda i: kids[i]), '') || '</section><table>' || repeat('<tr></tr>', least(n, 2)) || '</table><ol><li>' || kids[1] || '</li></ol>' AS html
+FROM t LEFT JOIN best b ON b.page_id = t.page_id
+""")
+def p12_repeated_siblings(spark, sf):
+    return H.render_html(H.collapse_siblings(H.parse_nodes(_order_pages(spark, sf))))
 
 
 @register("p14_left_prefix")
@@ -168,7 +204,7 @@ def p13_prune_to_template(spark, sf):
     sig = H.structure_signature(nodes)
     sizes = sig.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     pick = sig.join(sizes, "signature").orderBy(F.col("n").desc(), "page_id").limit(1).select("page_id")
-    template = H.collapse_siblings(nodes.join(pick, "page_id", "left_semi"))
+    template = H.collapse_siblings(H.structure_nodes(nodes.join(pick, "page_id", "left_semi")))
     return _cols(H.prune_to_template(nodes, template))
 
 

@@ -107,3 +107,50 @@ def test_following_sibling_rule(spark):
     assert text == ["a", "stays", "other parent"]
     rules = spark.createDataFrame([(0, rule)], "rule_no INT, rule STRING")
     assert H.rule_hits(n, rules).collect()[0].n_hits == 1
+
+
+def test_adjacent_repeats_matches_definition():
+    import random
+    rng = random.Random(8)
+    for _ in range(3000):
+        x = [rng.randint(0, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 14))]
+        marked = [v % 2 == 0 for v in x]
+        tries = []
+        for s in range(len(x)):
+            for p in range(1, len(x)):
+                c = 1
+                while x[s + c * p:s + (c + 1) * p] == x[s:s + p] and s + (c + 1) * p <= len(x):
+                    c += 1
+                    if any(marked[s:s + p]):
+                        tries.append((-c, s + (c - 1) * p, p, s))
+        want = min(tries, default=None)
+        assert H.adjacent_repeats(x, marked) == (want and (want[3], want[2], -want[0])), x
+    assert H.adjacent_repeats([0] * 200_000, [True] * 200_000) == (0, 1, 200_000)
+    assert H.adjacent_repeats(list(range(200_000)), [True] * 200_000) is None
+
+
+def test_collapse_siblings_rules(spark):
+    cases = {
+        1: ("<table><tr><td>1</td></tr><tr></tr><tr></tr></table><ul><li>a</li><li>b</li></ul>",
+            "<table><tr><td>1</td></tr><tr></tr></table><ul><li>a</li></ul>"),
+        # an equal tail keeps one; an unmarked one stays
+        2: ('<div><p id="x"></p><p class="a"></p><p class="a"></p><p class="a"></p></div>', '<div><p id="x"></p><p class="a"></p></div>'),
+        3: ('<div><p></p><p></p></div>', '<div><p></p><p></p></div>'),
+        # the run of most copies, from the very first child on; the rest stays
+        4: ('<div><p class="a"></p><b></b><p class="a"></p><b></b><p class="a"></p><b></b><i></i></div>',
+            '<div><p class="a"></p><b></b><i></i></div>'),
+        # children first: the lists differ until they are collapsed
+        5: ('<div><s class="a"><ul><li></li></ul></s><s class="a"><ul><li></li><li></li></ul></s><q></q></div>',
+            '<div><s class="a"><ul><li></li></ul></s><q></q></div>'),
+        # text is a child, and equal elements of other text differ
+        6: ('<div><p class="a">1</p><p class="a">2</p><p class="a">2</p></div>', '<div><p class="a">1</p><p class="a">2</p></div>'),
+        7: ("", None)}
+    got = {r.page_id: r.html for r in H.render_html(H.collapse_siblings(_nodes(
+        spark, [(i, h) for i, (h, _) in cases.items()]))).collect()}
+    assert got == {i: w for i, (_, w) in cases.items() if w}
+
+
+def test_structure_drops_inline_subtrees_and_text(spark):
+    page = '<div class="m" id="i"><p>x</p><a href="/"><div class="in">y</div></a><section title="t">z<p></p></section></div>'
+    got = H.render_html(H.structure_nodes(_nodes(spark, [(1, page)]))).collect()[0].html
+    assert got == '<div class="m"><p></p><section></section></div>'
