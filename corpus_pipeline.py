@@ -17,8 +17,9 @@ from quarry.llm.common import stored, table
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), model, "_text")
-    return scored.where(F.col("predicted") == 0).select("_row.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # none that the score's columns replace
+    scored = toxicity.score(docs.toDF(*names), model, names[docs.columns.index("text")])
+    return scored.where(F.col("predicted") == 0).select(*names).toDF(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

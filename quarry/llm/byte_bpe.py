@@ -9,7 +9,7 @@ their pieces and mapping the characters back to bytes.
 
 Equal stretches of text are encoded once per worker and remembered: wherever a space follows
 a character that isn't white space, no pre-token crosses, so the stretches between such places have
-the same ids in every text. The memory is bounded (``REMEMBER`` stretches, then it starts anew).
+the same ids in every text. The memory is bounded in bytes (``REMEMBER_BYTES``, then it starts anew).
 
 Defined results: a null text is empty, an empty text has no ids; every UTF-8 text decodes to its own
 bytes; rows that repeat an id are encoded row by row; an empty table gives no rows; all columns stay, new
@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 #: Bound of the model that goes to every worker, and of what a worker remembers.
 MAX_MODEL_BYTES = 32 << 20
-REMEMBER = 200_000
+REMEMBER_BYTES = 32 << 20
+#: Bytes that a remembered stretch takes besides its characters and ids, and the longest that is remembered.
+ENTRY_BYTES = 250
 LONGEST = 64
 
 ENCODED = "ids_bytes binary, n_tokens bigint"
@@ -103,6 +105,7 @@ class Codec:
         self.to = {b: to[b] for b in range(256)}
         self.back = {ord(c): chr(b) for b, c in self.to.items()}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def mapped(self, text: str) -> str:
         """The byte characters of a text."""
@@ -121,16 +124,16 @@ class Codec:
         stretches = stable_stretches(text)
         new = {s for s in stretches if s not in self.known}
         if new:
-            if len(self.known) + len(new) > REMEMBER:
-                self.known.clear()
-                new = set(stretches)
             self.stretch_ids(list(new))
         out = b"".join(map(self.known.__getitem__, stretches))
         for s in new:
             if len(s) > LONGEST:
                 del self.known[s]
-        if len(self.known) > REMEMBER:
+            else:
+                self.held += ENTRY_BYTES + 4 * len(s) + len(self.known[s])
+        if self.held > REMEMBER_BYTES:
             self.known.clear()
+            self.held = 0
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -170,22 +173,23 @@ def _columns(df: DataFrame, path: str, pattern: str, text: str, schema: str, row
     """``df`` with the columns of ``schema``, which ``row(codec, text)`` gives."""
     model = df.sparkSession.sparkContext.broadcast(model_bytes(path))
     names = [x.split()[0] for x in schema.split(", ")]
-    df = df.drop(*names)
+    name = unused(df, "text")
+    df = df.withColumn(name, F.col(text)).drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
         kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = [kinds[x.split()[1]] for x in schema.split(", ")]
         codec = Codec(model.value, pattern)
-        for batch in slices(batches, "__text"):
-            rows = [row(codec, t or "") for t in batch.column("__text").to_pylist()]
+        for batch in slices(batches, name):
+            rows = [row(codec, t or "") for t in batch.column(name).to_pylist()]
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            keep = [c for c in batch.schema.names if c != "__text"]
+            keep = [c for c in batch.schema.names if c != name]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], names=[*keep, *names])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
-    out = StructType([*df.schema.fields, *_parse_datatype_string(schema).fields])
-    return df.withColumn("__text", F.col(text)).mapInArrow(run, out)
+    out = StructType([*(f for f in df.schema.fields if f.name != name), *_parse_datatype_string(schema).fields])
+    return df.mapInArrow(run, out)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

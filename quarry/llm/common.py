@@ -32,6 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case: ``name`` with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    name = "_" + name
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_key(text="text"):
     """64-bit digest of a text (null like empty); with doc_id it tells rows apart that repeat an id."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

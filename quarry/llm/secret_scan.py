@@ -283,12 +283,16 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every find masked in ``text`` and ``n_chars``, where there is one, set anew. The texts
-    are scanned twice, for the thresholds and for the masks, and never shuffled."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
-    found = with_spans(scanned(rows), thresholds(scanned(rows.select("text"))))
-    row = F.col("_row").withField("text", F.when(F.col("text").isNotNull(), masked(F.col("text"), F.col("spans"), mark)))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.size("spans") > 0, F.length(row["text"])).otherwise(row["n_chars"]).cast(
-            docs.schema["n_chars"].dataType))
-    return found.select(row.alias("_row")).select("_row.*")
+    """The documents with every find masked in ``text`` and ``n_chars``, where there is one, set anew. The texts are scanned
+    once: the scan is stored beside the rows, and its candidates give the thresholds before the masks are made."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that none of the scan's can clash with
+    found = stored(scanned(docs.toDF(*at.values()), at["text"]))
+    out = with_spans(found, thresholds(found.select("_cands")))
+    text = F.col(at["text"])
+    masks = F.when(text.isNotNull(), masked(text, F.col("spans"), mark))
+    out = out.withColumn("_masked", masks)
+    new = {c: F.col(n) for c, n in at.items()} | {"text": F.col("_masked")}
+    if "n_chars" in at:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_masked")).otherwise(F.col(at["n_chars"])).cast(
+            docs.schema["n_chars"].dataType)
+    return out.select(*(c.alias(n) for n, c in new.items()))

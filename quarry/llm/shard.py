@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 MAX_SLOTS = 1 << 17
 #: 15 hex digits of the key's md5 make the hash, so that it fits a long.
 DIGITS = 15
@@ -67,8 +69,9 @@ def assign(df: DataFrame, key: str, shards: Sequence[str], size: int = 4099) ->
         raise ValueError("the key can't be one of the new columns")
     slots = ",".join(map(str, lookup_table(shards, size)))
     names = F.array(*(F.lit(s) for s in shards))
+    place, number = unused(df, "place"), unused(df, "number")
     placed = df.sparkSession.range(1, numPartitions=1).select(
-        F.posexplode(F.split(F.lit(slots), ",")).alias("_slot", "_number")).select(
-        "_slot", F.get(names, F.col("_number").cast("int")).alias("_shard"))
+        F.posexplode(F.split(F.lit(slots), ",")).alias(place, number)).select(
+        place, F.get(names, F.col(number).cast("int")).alias("shard"))
     out = df.drop("slot", "shard").withColumn("slot", slot_of(df[key], size))
-    return out.join(F.broadcast(placed), out["slot"] == placed["_slot"]).drop("_slot").withColumnRenamed("_shard", "shard")
+    return out.join(F.broadcast(placed), out["slot"] == placed[place]).drop(place)

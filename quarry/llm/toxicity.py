@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 #: Labelled rows that the lexicon and the weights are fitted on, and terms learned, at most.
 FIT_ROWS = 8000
@@ -42,7 +42,9 @@ STEMS = (5, 6, 7)
 #: Share of clean uses that a strong term, and its misspellings in the sample, may have.
 CLEAN_SHARE = 0.02
 CONTEXT = 6
-REMEMBER = 500_000
+#: What a worker remembers, at most: bytes of words met (with what an entry takes besides), places in automaton states.
+REMEMBER_BYTES, ENTRY_BYTES = 24 << 20, 120
+PLACES = 100_000
 
 #: Insults that score without any label.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown",
@@ -90,9 +92,7 @@ class Lexicon:
 
     A place is (trie node, edits so far); a character moves along its edge, or for one edit along any edge
     (another letter) or not at all (a letter too many); an edge may be skipped for one edit (a letter left out). A
-    state is the set of places reachable; it and its moves are made when first met and kept, up to ``STATES``."""
-
-    STATES = 50_000
+    state is the set of places reachable; it and its moves are made when first met and kept, up to ``PLACES`` in all."""
 
     def __init__(self, terms: list[Term]):
         self.terms, self.nodes = terms, [Node()]
@@ -113,6 +113,7 @@ class Lexicon:
 
     def reset(self) -> None:
         self.moves: dict[frozenset, dict] = {}
+        self.held = 0
         self.start = self.state({(0, 0)})
 
     def state(self, places: set[tuple[int, int]]) -> dict:
@@ -129,6 +130,7 @@ class Lexicon:
         if got is None:
             words = [(e, w) for at, e in every if (w := self.nodes[at].word) >= 0 and e <= self.limit(w)]
             stems = [(0, w) for at, e in every if (w := self.nodes[at].stem) >= 0 and not e]
+            self.held += 4 + len(key)
             got = self.moves[key] = {None: min(words, default=None), 0: min(stems, default=None), 1: key}
         return got
 
@@ -153,7 +155,7 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the nearest term within its bound, or a stem; the first listed of equals."""
-        if len(self.moves) > self.STATES:
+        if self.held > PLACES:
             self.reset()
         state, stem = self.start, None
         for ch in word:
@@ -184,7 +186,7 @@ class Scanner:
     """Counts hits within a worker; remembers the words that it has met."""
 
     def __init__(self, terms: list[Term]):
-        self.lexicon, self.clean, self.hits = Lexicon(terms), set(), {}
+        self.lexicon, self.clean, self.hits, self.held = Lexicon(terms), set(), {}, 0
 
     def word(self, token: str) -> tuple[int, int] | None:
         got = self.lexicon.match(token.strip(EDGES))
@@ -198,6 +200,7 @@ class Scanner:
         words = text.lower().split()
         distinct = set(words)
         for token in distinct - self.clean - self.hits.keys():
+            self.held += ENTRY_BYTES + 2 * len(token)
             got = self.word(token)
             if got:
                 self.hits[token] = got
@@ -214,8 +217,8 @@ class Scanner:
                     else:
                         counts[0 if self.lexicon.terms[term].strong else 1] += 1
                         counts[3] += edits > 0
-        if len(self.clean) + len(self.hits) > REMEMBER:
-            self.clean, self.hits = set(), {}
+        if self.held > REMEMBER_BYTES:
+            self.clean, self.hits, self.held = set(), {}, 0
         return tuple(counts)
 
     def quoted(self, words: list[str], i: int) -> bool:
@@ -317,22 +320,22 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]
     return w.tolist()
 
 
-def hit_counts(df: DataFrame, terms: list[Term], text: str = "text") -> DataFrame:
-    """``df`` with a column ``_hits`` (array of the counts in ``FEATURES``); row by row."""
+def hit_counts(df: DataFrame, terms: list[Term], text: str = "text", name: str = "_hits") -> DataFrame:
+    """``df`` with a column ``name`` (array of the counts in ``FEATURES``); row by row."""
+    source = unused(df, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
         scanner = Scanner(terms)
-        for batch in slices(batches, "__text"):
-            hits = [scanner.scan(t or "") for t in batch.column("__text").to_pylist()]
-            keep = [c for c in batch.schema.names if c != "__text"]
+        for batch in slices(batches, source):
+            hits = [scanner.scan(t or "") for t in batch.column(source).to_pylist()]
+            keep = [c for c in batch.schema.names if c != source]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(hits, pa.list_(pa.int64()))],
-                                             names=[*keep, "_hits"])
+                                             names=[*keep, name])
 
     from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-    df = df.drop("_hits")
-    schema = StructType([*df.schema.fields, StructField("_hits", ArrayType(LongType()))])
-    return df.withColumn("__text", F.col(text)).mapInArrow(run, schema)
+    schema = StructType([*df.schema.fields, StructField(name, ArrayType(LongType()))])
+    return df.withColumn(source, F.col(text)).mapInArrow(run, schema)
 
 
 @dataclass
@@ -360,10 +363,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``score`` (0 to 1) and ``predicted``; row by row, no shuffle."""
+    """``df`` with ``score`` (0 to 1) and ``predicted``, in place of columns of these names; row by row, no shuffle."""
+    hits = unused(df, "hits")
     z = F.lit(model.weights[0])
     for i, w in enumerate(model.weights[1:]):
-        z = z + w * F.log1p(F.get("_hits", F.lit(i)).cast("double"))
-    out = hit_counts(df.drop("score", "predicted"), model.terms, text)
-    out = out.withColumn("score", 1 / (1 + F.exp(-z))).drop("_hits")
+        z = z + w * F.log1p(F.get(hits, F.lit(i)).cast("double"))
+    out = hit_counts(df, model.terms, text, hits).drop("score", "predicted")
+    out = out.withColumn("score", 1 / (1 + F.exp(-z))).drop(hits)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
