@@ -6,29 +6,125 @@ from pyspark.sql import functions as F
 
 from ..operators import chunk as K
 from ..operators import html as H
+from ..operators.blocks import HTML_BLOCK_TAGS
 from .html_jobs import build_corpus
 from .registry import Tables, register
 
 
+#: Markdown pieces that the stand-in documents are made of; @ becomes the order's number.
+PIECES = ("", "word @ and", "- item @", "* star @\n  under @", "1. first @", "2) other @", "  indented @", "    deep @", "# Title @", "### Sub @ ##",
+          "```sql\ncode @\n\n# no\n```", "~~~ @", "~~~~", "| a | b |\n|---|:-:|\n| @ |  x |", "row | @", "> quoted @", "<div id=@>\nin", "<!-- note @\n\nend -->",
+          "---", "===", "* * *", "<b>", "<script>\n\nvar @\n</script>", "", "- loose @\n\n  more\n\n- next", "text @\n- not weak\n-", "   + plus @", "7. seven")
+
+
+def _markdown_docs(spark, sf):
+    """Stand-in documents, one a customer: a piece of Markdown for each order, chosen by its price."""
+    pieces = F.array(*[F.lit(p) for p in PIECES])
+    piece = F.replace(F.get(pieces, (F.floor("o_totalprice") % len(PIECES)).cast("int")), F.lit("@"), F.col("o_orderkey").cast("string"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", piece.alias("p")))), lambda x: x["p"])
+    return Tables(spark, sf).orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(lines, "\n").alias("text"))
+
+
+_SQL_PIECES = ", ".join("'" + p.replace("\n", "' || chr(10) || '") + "'" for p in PIECES)
+_BLOCK_TAGS = "|".join(HTML_BLOCK_TAGS)
+
+
+_BLOCKS_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT o_custkey AS doc_id, trim(string_agg(replace([{_SQL_PIECES}][CAST(floor(o_totalprice) AS BIGINT) % {len(PIECES)} + 1], '@',
+    CAST(o_orderkey AS VARCHAR)), chr(10) ORDER BY o_orderkey)) AS text FROM orders GROUP BY 1),
+split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs),
+line AS (SELECT doc_id, i, ls[i] AS s, coalesce(ls[i + 1], '') AS nxt FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
+seen AS (SELECT *, regexp_extract(s, '^( *)', 1) AS pad, regexp_extract(s, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS marks,
+  regexp_extract(s, '^ {{0,3}}(?:[-+*]|[0-9]{{1,9}}([.)]))(?:[ 	]|$)', 1) AS dot, regexp_extract(s, '^ {{0,3}}([-+*])(?:[ 	]|$)', 1) AS bullet FROM line),
+typed AS (SELECT *, bullet || dot AS marker, CASE
+  WHEN regexp_matches(s, '^[ 	]*$') THEN 'blank'
+  WHEN marks <> '' AND (marks[1] = '~' OR NOT contains(substr(ltrim(s), length(marks) + 1), '`')) THEN 'code'
+  WHEN length(pad) >= 4 THEN 'deep'
+  WHEN regexp_matches(s, '^ {{0,3}}#{{1,6}}([ 	]|$)') THEN 'heading'
+  WHEN regexp_matches(s, '^ {{0,3}}-{{3,}}[ 	]*$') THEN 'dashes'
+  WHEN regexp_matches(s, '^ {{0,3}}(([*][ 	]*){{3,}}|(_[ 	]*){{3,}}|(-[ 	]*){{3,}})$') THEN 'break'
+  WHEN regexp_matches(s, '^ {{0,3}}(=+|-{{1,2}})[ 	]*$') THEN 'equals'
+  WHEN bullet || dot <> '' AND (bullet <> '' OR regexp_matches(s, '^ {{0,3}}1[.)]')) AND regexp_matches(s, '^ {{0,3}}[^ ]+[ 	]+[^ 	]') THEN 'item'
+  WHEN bullet || dot <> '' THEN 'weak'
+  WHEN regexp_matches(s, '^ {{0,3}}>') THEN 'quote'
+  WHEN regexp_matches(s, '^ {{0,3}}<!--') THEN 'comment'
+  WHEN regexp_matches(s, '^ {{0,3}}<script') THEN 'raw'
+  WHEN regexp_matches(s, '^ {{0,3}}</?({_BLOCK_TAGS})([ 	]|/?>|$)') THEN 'html'
+  WHEN regexp_matches(s, '^ {{0,3}}</?[a-z]+>[ 	]*$') THEN 'tag'
+  WHEN contains(s, '|') AND contains(nxt, '|') AND regexp_matches(nxt, '^ {{0,3}}[|]?[ 	]*:?-+:?[ 	]*([|][ 	]*:?-+:?[ 	]*)*[|]?[ 	]*$') THEN 'table'
+  ELSE 'text' END AS k FROM seen),
+cuts AS (SELECT *, k IN ('code', 'heading', 'dashes', 'break', 'item', 'quote', 'comment', 'raw', 'html', 'table') AS cuts FROM typed),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, 'none' AS st, '' AS mark, false AS waits, false AS first, false AS member, '' AS kind FROM docs
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN go = 'open' THEN CASE k WHEN 'item' THEN 'list' WHEN 'weak' THEN 'list' WHEN 'deep' THEN 'code' WHEN 'tag' THEN 'html'
+      WHEN 'equals' THEN 'paragraph' WHEN 'text' THEN 'paragraph' WHEN 'heading' THEN 'none' WHEN 'dashes' THEN 'none' WHEN 'break' THEN 'none'
+      WHEN 'comment' THEN CASE WHEN contains(s, '-->') THEN 'none' ELSE 'comment' END WHEN 'code' THEN 'fence' ELSE k END
+    WHEN go IN ('end', 'out') THEN 'none' ELSE st END,
+    CASE WHEN go <> 'open' THEN mark WHEN k = 'code' THEN marks WHEN k IN ('item', 'weak') THEN marker ELSE '' END,
+    go = 'wait', go = 'open', go <> 'out',
+    CASE WHEN go <> 'open' THEN '' ELSE CASE k WHEN 'deep' THEN 'code' WHEN 'dashes' THEN 'break' WHEN 'item' THEN 'list' WHEN 'weak' THEN 'list'
+      WHEN 'comment' THEN 'html' WHEN 'raw' THEN 'html' WHEN 'tag' THEN 'html' WHEN 'text' THEN 'paragraph' WHEN 'equals' THEN 'paragraph' ELSE k END END
+  FROM (SELECT c.*, w.st, w.mark, w.waits, CASE
+      WHEN st = 'fence' THEN CASE WHEN regexp_matches(s, '^ {{0,3}}(`{{3,}}|~{{3,}})[ 	]*$') AND marks[1] = mark[1] AND length(marks) >= length(mark)
+        THEN 'end' ELSE 'stay' END
+      WHEN st = 'comment' THEN CASE WHEN contains(s, '-->') THEN 'end' ELSE 'stay' END
+      WHEN st = 'raw' THEN CASE WHEN contains(s, '</script>') THEN 'end' ELSE 'stay' END
+      WHEN st = 'html' THEN CASE WHEN k = 'blank' THEN 'out' ELSE 'stay' END
+      WHEN st = 'list' THEN CASE WHEN k = 'blank' THEN 'wait' WHEN length(pad) >= CASE WHEN mark IN ('-', '+', '*') THEN 2 ELSE 3 END THEN 'stay'
+        WHEN k IN ('item', 'weak') AND marker = mark THEN 'stay' WHEN NOT waits AND NOT cuts AND k <> 'weak' THEN 'stay' ELSE 'open' END
+      WHEN k = 'blank' THEN CASE WHEN st = 'code' THEN 'wait' ELSE 'out' END
+      WHEN st = 'code' THEN CASE WHEN k = 'deep' THEN 'stay' ELSE 'open' END
+      WHEN st = 'table' THEN CASE WHEN contains(s, '|') THEN 'stay' ELSE 'open' END
+      WHEN st = 'quote' THEN CASE WHEN k = 'quote' OR NOT cuts AND k <> 'weak' THEN 'stay' ELSE 'open' END
+      WHEN st = 'paragraph' THEN CASE WHEN k IN ('equals', 'dashes') THEN 'end' WHEN cuts THEN 'open' ELSE 'stay' END
+      ELSE 'open' END AS go
+    FROM cuts c JOIN walk w ON c.doc_id = w.doc_id AND c.i = w.i + 1)),
+numbered AS (SELECT w.*, s, sum(w.first::INT) OVER (PARTITION BY w.doc_id ORDER BY w.i) - 1 AS block_no,
+  w.st = 'none' AND NOT w.first AND regexp_matches(s, '^ {{0,3}}(=+|-+)[ 	]*$') AS underlined
+  FROM walk w JOIN line l ON l.doc_id = w.doc_id AND l.i = w.i),
+grouped AS (SELECT doc_id, block_no, max(kind) AS kind, bool_or(underlined) AS underlined,
+    regexp_replace(string_agg(s, chr(10) ORDER BY i), '(
+[ 	]*)+$', '') AS block
+  FROM numbered WHERE member GROUP BY 1, 2),
+named AS (SELECT doc_id, block_no, block, CASE WHEN kind = 'paragraph' AND underlined THEN 'setext' ELSE kind END AS kind FROM grouped)
+SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, CASE WHEN block_no = 0 AND kind = 'paragraph' THEN 'heading' ELSE kind END AS kind,
+  CASE WHEN block_no = 0 AND kind = 'paragraph' THEN 1 WHEN kind = 'heading' THEN length(regexp_extract(block, '^ *(#+)', 1)) END AS level,
+  CASE WHEN block_no = 0 AND kind = 'paragraph' THEN '# ' || block
+    WHEN kind = 'table' THEN regexp_replace(regexp_replace(block, ' +', ' ', 'g'), '-+', '-', 'g') ELSE block END AS block
+FROM named WHERE kind <> 'break'
+"""
+
+
+@register("k1_block_grammar", _BLOCKS_SQL)
+def k1_block_grammar(spark, sf):
+    b = K.markdown_blocks(_markdown_docs(spark, sf))
+    return b.select("doc_id", "block_no", "kind", "level", "block")
+
+
+@register("k2_live_headings", f"""
+WITH b AS ({_BLOCKS_SQL}),
+live AS (
+  SELECT b.doc_id, b.block_no, h.block_no AS heading, h.level FROM b JOIN b h ON h.doc_id = b.doc_id AND h.block_no <= b.block_no AND h.level IS NOT NULL
+  WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND o.block_no > h.block_no AND o.block_no <= b.block_no AND o.level <= h.level))
+SELECT b.doc_id, b.block_no, coalesce(string_agg(CAST(l.heading AS VARCHAR), ',' ORDER BY l.level), '') AS headings
+FROM b LEFT JOIN live l ON l.doc_id = b.doc_id AND l.block_no = b.block_no GROUP BY 1, 2
+""")
+def k2_live_headings(spark, sf):
+    b = K.heading_path(K.markdown_blocks(_markdown_docs(spark, sf)))
+    return b.select("doc_id", "block_no", F.array_join(F.col("headings").cast("array<string>"), ",").alias("headings"))
+
+
 @register("k1_markdown_blocks", r"""
-WITH b AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS block_no,
-                  regexp_replace(parts[i], '^\n+|\n+$', '', 'g') AS block
-           FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
-                 FROM (SELECT doc_id, string_split_regex(trim(text), '\n[ \t]*\n+') AS parts FROM documents))),
-k AS (SELECT *, CASE WHEN regexp_matches(block, '^#{1,6}( |$)') THEN 'heading'
-        WHEN regexp_matches(block, '^(\*\*\*+|---+|___+)\s*$') THEN 'break'
-        WHEN regexp_matches(block, '^\s*([*+-]|\d+[.)])\s') THEN 'list'
-        WHEN regexp_matches(block, '^\|') THEN 'table'
-        WHEN regexp_matches(block, '^<[A-Za-z!/]') THEN 'html'
-        WHEN regexp_matches(block, '^(```|~~~)') THEN 'code'
-        WHEN regexp_matches(block, '^>') THEN 'quote' ELSE 'paragraph' END AS kind
-      FROM b WHERE trim(block) <> ''),
-p AS (SELECT *, kind = 'paragraph' AND block_no = min(block_no) OVER (PARTITION BY doc_id) AS promote
-      FROM k WHERE kind <> 'break')
-SELECT doc_id, block_no, CASE WHEN promote THEN 'heading' ELSE kind END AS kind,
-  CASE WHEN promote THEN 1 WHEN kind = 'heading' THEN length(regexp_extract(block, '^(#+)', 1)) END AS level,
-  CASE WHEN promote THEN length(block) + 2 ELSE length(block) END AS size
-FROM p
+WITH l AS (SELECT doc_id, unnest(string_split(trim(text), chr(10))) AS s, generate_subscripts(string_split(trim(text), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, regexp_matches(s, '^ {0,3}#{1,6}([ 	]|$)') AS heading, trim(s, ' ' || chr(9)) = '' AS blank FROM l),
+b AS (SELECT *, lag(heading, 1, true) OVER w OR lag(blank, 1, true) OVER w OR heading AS first FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, sum((first AND NOT blank)::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block_no FROM b),
+g AS (SELECT doc_id, block_no, bool_or(heading) AS heading, string_agg(s, chr(10) ORDER BY i) AS block FROM n WHERE NOT blank GROUP BY 1, 2)
+SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, CASE WHEN heading OR block_no = 0 THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE WHEN heading THEN length(regexp_extract(block, '^ *(#+)', 1)) WHEN block_no = 0 THEN 1 END AS level,
+  length(block) + CASE WHEN NOT heading AND block_no = 0 THEN 2 ELSE 0 END AS size FROM g
 """)
 def k1_markdown_blocks(spark, sf):
     b = K.markdown_blocks(Tables(spark, sf).documents)

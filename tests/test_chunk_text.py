@@ -120,3 +120,52 @@ def test_tokens_round_trip_random_unicode(spark):
     for i, t in enumerate(texts):
         assert "".join(got[i]) == t
         assert all(tok for tok in got[i])
+
+
+BLOCK_CASES = [
+    ("# T\nbody\n- item", ["heading:# T", "paragraph:body", "list:- item"]),
+    ("```\na\n\n# b\n```\nx", ["code:```\na\n\n# b\n```", "paragraph:x"]),
+    ("* a\n\n* b", ["list:* a\n\n* b"]),
+    ("- a\n  * deep\n\n  more\nlazy\n\nnew\n1. x\n2) y", ["list:- a\n  * deep\n\n  more\nlazy", "paragraph:new", "list:1. x", "list:2) y"]),
+    ("p\n| a | b |\n|---|:-:|\n| 1 | 2 |\nend", ["paragraph:p", "table:| a | b |\n|-|:-:|\n| 1 | 2 |", "paragraph:end"]),
+    ("a | b\nno delimiter", ["paragraph:a | b\nno delimiter"]),
+    ("T\n===\ntext\n---", ["setext:T\n===", "setext:text\n---"]),
+    ("a\n***\nb\n\n---\n- - -", ["paragraph:a", "paragraph:b"]),
+    ("<div>\nx\n\ny\n<!-- a\n\nb --> t\nz", ["html:<div>\nx", "paragraph:y", "html:<!-- a\n\nb --> t", "paragraph:z"]),
+    ("<script>\n\nx</script>\np <b>x</b>\n<b>\nq\n\n<b>\nr", ["html:<script>\n\nx</script>", "paragraph:p <b>x</b>\n<b>\nq", "html:<b>\nr"]),
+    ("> q\nlazy\n\n    code\n\n    more\nend", ["quote:> q\nlazy", "code:    code\n\n    more", "paragraph:end"]),
+    ("~~~~\n~~~\n```\n~~~~~\nz\n````x`\n```y", ["code:~~~~\n~~~\n```\n~~~~~", "paragraph:z\n````x`", "code:```y"]),
+    ("text\n2. not a list\n-", ["setext:text\n2. not a list\n-"]), ("", []), (" \n\t\n", []), (None, [])]
+
+
+def test_block_grammar(spark, monkeypatch):
+    from quarry.operators import blocks
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BLOCK_CASES)], "doc_id int, text string")
+    for piece in (256, 2):  # scanned as one piece, and as many
+        monkeypatch.setattr(blocks, "PIECE", piece)
+        rows = K.markdown_blocks(df, first_line_title=False).orderBy("doc_id", "block_no").collect()
+        for i, (_, want) in enumerate(BLOCK_CASES):
+            assert [f"{r.kind}:{r.block}" for r in rows if r.doc_id == i] == want
+    titles = K.markdown_blocks(df).where("block_no = 0").orderBy("doc_id").collect()
+    assert (titles[0].level, titles[5].kind, titles[5].level, titles[5].block) == (1, "heading", 1, "# a | b\nno delimiter")
+
+
+def test_block_maps_compose(spark):
+    """A piece's map from every state is the walk from that state, whatever the cuts."""
+    import random
+
+    from quarry.operators import blocks
+    rng = random.Random(2)
+    pool = [p for t, _ in BLOCK_CASES if t for p in t.split("\n")] + ["", "", "plain"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = []
+    for piece in (1, 7, 256):
+        blocks.PIECE = piece
+        try:
+            found.append(df.select("text", blocks.typed_blocks(F.col("text")).alias("b")).collect())
+        finally:
+            blocks.PIECE = 256
+    assert found[0] == found[1] == found[2]
+    for r in found[0]:  # no line that isn't blank is lost, none is doubled
+        assert [x for x in r.text.split("\n") if x.strip()] == [x for b in r.b for x in b.block.split("\n") if x.strip()]
