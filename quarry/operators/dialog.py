@@ -2,15 +2,13 @@
 
 Texts are split into line rows once (``posexplode``); every rule after that is a
 window (``lag``, running counts, ``last IGNORE NULLS``) partitioned by one document or
-dialogue, followed by ordered concatenation. The only sequential steps, the choice-block
-rewrite (D4) and the token-bounded chat split (D14), run as Arrow-batched Python over
-rows Spark has already partitioned and sorted.
+dialogue, followed by ordered concatenation. The only sequential step, the choice-block
+rewrite (D4), runs as Arrow-batched Python; the token-bounded split (D14) is in :mod:`.chat_split`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.prompts import QUESTION_ANSWER_SYSTEM_TEMPLATE, ROLE_PLAY_SYSTEM_TEMPLATE, render
+from . import chat_split
 from .scan import previous_values, running_totals
 
 # Fixed values that must match the reference behaviour.
@@ -342,90 +341,9 @@ def training_rows(msgs: DataFrame, key: str = "chat_id", msg_no: str = "msg_no",
     return out.select(key, "turn_no", "system", "input", "output")
 
 
-def split_chats(msgs: DataFrame, max_tokens: int = TRAINING_MAX_TOKENS, key: str = "chat_id",
-                msg_no: str = "msg_no", role: str = "role", content: str = "content",
-                role_cost: dict[str, int] | None = None, separator_cost: int = 1) -> DataFrame:
-    """Split chats into parts of at most ``max_tokens`` tokens.
-
-    Walking the non-system messages, a running cost adds the system cost before message 0,
-    a separator cost before every even message after it, and each message's
-    characters plus a per-role template overhead. When the total passes ``max_tokens`` at
-    message ``i``, the part ends after the last assistant message among ``1 … i-1`` and the
-    walk restarts there at zero; the system message opens every part. If no assistant
-    message can end the part, the rest becomes one part flagged ``oversize``.
-
-    Rows are hash-partitioned by chat and sorted, then streamed through
-    ``mapInPandas``: only the messages since the last cut are buffered, which is bounded by
-    ``max_tokens`` unless a part is already oversize.
-    """
-    cost = role_cost or {"system": 5, "user": 5, "assistant": 3}
-    out_schema = f"{key} long, part_no int, {msg_no} long, {role} string, {content} string, oversize boolean"
-
-    def msg_cost(i, rl, txt, system):
-        c = 0
-        if i == 0 and system is not None:
-            c += cost["system"] + len(system[1] or "")
-        elif i > 0 and i % 2 == 0:
-            c += separator_cost
-        return c + cost.get(rl, 0) + len(txt or "")
-
-    def first_overflow(buf, system):
-        total = 0
-        for i, (_, rl, txt) in enumerate(buf):
-            total += msg_cost(i, rl, txt, system)
-            if total > max_tokens:
-                return i
-        return None
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [key, "part_no", msg_no, role, content, "oversize"]
-        out: list[tuple] = []
-        st = {"key": None, "system": None, "buf": [], "part": 0, "total": 0, "stuck": False}
-
-        def emit(rows, over):
-            k, system = st["key"], st["system"]
-            if system is not None:
-                out.append((k, st["part"], system[0], "system", system[1], over))
-            out.extend((k, st["part"], n, rl, txt, over) for n, rl, txt in rows)
-            st["part"] += 1
-
-        def settle():
-            # cut while the buffer overflows and an assistant message can end the part
-            while not st["stuck"]:
-                buf = st["buf"]
-                i = first_overflow(buf, st["system"])
-                if i is None:
-                    return
-                cut = next((j + 1 for j in range(i - 1, 0, -1) if buf[j][1] == "assistant"), None)
-                if cut is None:
-                    st["stuck"] = True  # rest of the chat becomes one oversize part
-                    return
-                emit(buf[:cut], False)
-                st["buf"] = buf[cut:]
-
-        def finish():
-            if st["buf"]:
-                emit(st["buf"], st["stuck"])
-            st["buf"] = []
-
-        for pdf in batches:
-            for k, n, rl, txt in zip(pdf[key], pdf[msg_no], pdf[role], pdf[content]):
-                if k != st["key"]:
-                    finish()
-                    st.update(key=k, system=None, buf=[], part=0, stuck=False)
-                    if rl == "system":
-                        st["system"] = (n, txt)
-                        continue
-                st["buf"].append((n, rl, txt))
-                settle()
-            if len(out) > 10000:
-                yield pd.DataFrame(out, columns=cols)
-                out.clear()
-        finish()
-        yield pd.DataFrame(out, columns=cols)
-
-    ordered = msgs.select(key, msg_no, role, content).repartition(key).sortWithinPartitions(key, msg_no)
-    return ordered.mapInPandas(fold, out_schema)
+def split_chats(msgs: DataFrame, max_tokens: int = TRAINING_MAX_TOKENS, **names) -> DataFrame:
+    """Token-bounded parts of chats, by :func:`.chat_split.split_chats`."""
+    return chat_split.split_chats(msgs, max_tokens, **names)
 
 
 # ------------------------------------------------------------------ reply parsing

@@ -138,7 +138,38 @@ def d13_assemble_chats(spark, sf):
     return _chats(Tables(spark, sf))
 
 
-@register("d14_split_chats")
+#: Parts of chats (m: chat_id, i from 0, no, role, content; sy: chat_id, no, content of the opening system message): part after part,
+#: the first message over the bound, then the last assistant message before it.
+_SPLIT_SQL = """,
+c AS (SELECT m.*, length(coalesce(m.content, '')) + CASE role WHEN 'system' THEN 5 WHEN 'user' THEN 5 WHEN 'assistant' THEN 3 ELSE 0 END AS cost,
+  coalesce(5 + length(coalesce(sy.content, '')) + 0 * sy.no, 0) AS opening FROM m LEFT JOIN sy USING (chat_id)),
+p AS (SELECT *, sum(cost) OVER (PARTITION BY chat_id ORDER BY i) AS total FROM c),
+walk AS (
+  SELECT DISTINCT chat_id, CAST(0 AS BIGINT) AS s, 0 AS part FROM c
+  UNION ALL
+  SELECT chat_id, cut + 1, part + 1 FROM (
+    SELECT w.chat_id, w.part, (SELECT max(a.i) FROM p a WHERE a.chat_id = w.chat_id AND a.role = 'assistant' AND a.i > w.s AND a.i < o.i) AS cut
+    FROM walk w JOIN (SELECT v.chat_id, v.s, min(q.i) AS i FROM walk v JOIN p b ON b.chat_id = v.chat_id AND b.i = v.s
+      JOIN p q ON q.chat_id = v.chat_id AND q.i >= v.s WHERE q.opening + q.total - b.total + b.cost + (q.i - v.s) // 2 > {limit} GROUP BY 1, 2) o
+      ON o.chat_id = w.chat_id AND o.s = w.s) WHERE cut IS NOT NULL),
+ends AS (SELECT w.*, coalesce(lead(s) OVER (PARTITION BY chat_id ORDER BY part), 1000000000) AS e FROM walk w),
+big AS (SELECT e.chat_id, e.part FROM ends e JOIN p b ON b.chat_id = e.chat_id AND b.i = e.s JOIN p q ON q.chat_id = e.chat_id AND q.i >= e.s
+  WHERE e.e = 1000000000 GROUP BY 1, 2 HAVING max(q.opening + q.total - b.total + b.cost + (q.i - e.s) // 2) > {limit}),
+flagged AS (SELECT e.*, b.part IS NOT NULL AS oversize FROM ends e LEFT JOIN big b ON b.chat_id = e.chat_id AND b.part = e.part)
+SELECT f.chat_id, CAST(f.part AS INTEGER) AS part_no, c.no AS msg_no, c.role, c.content, f.oversize FROM flagged f JOIN c ON c.chat_id = f.chat_id
+  AND c.i >= f.s AND c.i < f.e
+UNION ALL SELECT f.chat_id, CAST(f.part AS INTEGER), sy.no, 'system', sy.content, f.oversize FROM flagged f JOIN sy ON sy.chat_id = f.chat_id
+"""
+
+#: Messages without an opening system message, numbered, and these messages, of a table t (chat_id, no, role, content).
+_MESSAGES_SQL = """f AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY no) AS r FROM t),
+sy AS (SELECT chat_id, no, content FROM f WHERE r = 1 AND role = 'system'),
+m AS (SELECT f.chat_id, f.no, f.role, f.content, row_number() OVER (PARTITION BY f.chat_id ORDER BY f.no) - 1 AS i FROM f LEFT JOIN sy
+  ON sy.chat_id = f.chat_id AND sy.no = f.no WHERE sy.no IS NULL)"""
+
+
+@register("d14_split_chats", "WITH RECURSIVE t AS (SELECT conv_id AS chat_id, turn AS no, role, text AS content FROM conversations), "
+          + _MESSAGES_SQL + _SPLIT_SQL.format(limit=2000))
 def d14_split_chats(spark, sf):
     t = Tables(spark, sf)
     msgs = t.conversations.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("msg_no"), "role",
@@ -146,6 +177,19 @@ def d14_split_chats(spark, sf):
     return D.split_chats(msgs, max_tokens=2000)
 
 
+@register("d14_split_long_chats", """
+WITH RECURSIVE t AS (SELECT user_id AS chat_id, event_id AS no, CASE event_type WHEN 'signup' THEN 'system' WHEN 'purchase' THEN 'assistant'
+  WHEN 'click' THEN 'assistant' WHEN 'error' THEN 'tool' ELSE 'user' END AS role, repeat(props, CAST(floor(value) AS BIGINT) % 5) AS content FROM events),
+""" + _MESSAGES_SQL + _SPLIT_SQL.format(limit=120))
+def d14_split_long_chats(spark, sf):
+    """Stand-in chats: a user's events are its messages, 67 on average; few tokens make many parts."""
+    kind = F.col("event_type")
+    role = F.when(kind == "signup", "system").when(kind.isin("purchase", "click"), "assistant").when(kind == "error", "tool").otherwise("user")
+    msgs = Tables(spark, sf).events.select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("msg_no"), role.alias("role"), F.repeat(
+        "props", (F.floor("value") % 5).cast("int")).alias("content"))
+    return D.split_chats(msgs, max_tokens=120)
+
+
 @register("d15_training_rows", """
 WITH m AS (SELECT conv_id AS chat_id, turn AS msg_no, role, text AS content FROM conversations),
 ua AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY msg_no

@@ -205,3 +205,46 @@ def test_previous_summary_and_render(spark):
                  numbered(F.col("fb")).alias("n")).collect()[0]
     assert r.s == ROLE_PLAY_SYSTEM_TEMPLATE.format(profile="档案", context="情节")
     assert r.n == "1. 改a\n2. 改b"
+
+
+def _walked_parts(msgs, limit, cost):
+    """(part, no, role, content, oversize) by walking, from the definition."""
+    msgs, system = sorted(msgs), None
+    if msgs[0][1] == "system":
+        system, *msgs = msgs
+    opening = cost["system"] + len(system[2] or "") if system else 0
+    part, out = 0, []
+    while msgs:
+        total, end, late = opening, len(msgs), False
+        for i, (_, role, text) in enumerate(msgs):
+            total += cost.get(role, 0) + len(text or "") + (i > 0 and i % 2 == 0)
+            if total > limit:
+                end = max((j + 1 for j in range(1, i) if msgs[j][1] == "assistant"), default=None)
+                late, end = end is None, end or len(msgs)
+                break
+        out += [(part, n, r, t, late) for n, r, t in ([system] if system else []) + msgs[:end]]
+        part, msgs = part + 1, msgs[end:]
+    return out
+
+
+def test_split_chats_by_cuts(spark, monkeypatch):
+    from quarry.operators import chat_split
+    rng = random.Random(11)
+    cost = {"system": 5, "user": 5, "assistant": 3}
+    chats = {}
+    for c in [*range(60), None]:
+        roles = ["user", "assistant"] if c and c % 3 == 0 else ["user", "assistant", "tool", "system"]
+        chats[c] = [(3 * i, rng.choice(roles), rng.choice([None, "", "x" * rng.randint(0, 40)])) for i in range(rng.choice([1, 5, 90]))]
+    chats[100] = [(0, "system", "s" * 500)] + [(i, "assistant", "y") for i in range(1, 9)]  # the opening alone is over the bound
+    chats[101] = [(i, "user", "u" * 9) for i in range(30)]  # nothing to cut at
+    chats[102] = [(i, "user" if i % 2 else "assistant", "z" * (i % 7)) for i in range(6000)]  # longer than a block
+    chats[103] = [(0, "system", "only")]
+    df = spark.createDataFrame([(c, *m) for c, ms in chats.items() for m in ms], "chat_id LONG, msg_no LONG, role STRING, content STRING")
+    for span in (1, 16):
+        monkeypatch.setattr(chat_split, "SPAN", span)
+        got = {}
+        for r in D.split_chats(df, max_tokens=70).collect():
+            got.setdefault(r.chat_id, []).append((r.part_no, r.msg_no, r.role, r.content, r.oversize))
+        for c, ms in chats.items():
+            assert sorted(got.get(c, []), key=str) == sorted(_walked_parts(ms, 70, cost), key=str), c
+    assert D.split_chats(df.limit(0), max_tokens=70).count() == 0
