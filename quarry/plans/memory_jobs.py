@@ -186,9 +186,9 @@ def answer_prompts(spark, sf, k_retrieve: int = 16, k_context: int = 4):
         .drop("q_turn")
     history = M.history_window(before)
     idf = V.idf_table(t.documents)
-    dtop = V.sparse_top_n(V.sparse_max(V.lexical_postings(t.documents, idf)))
+    dtop = V.sparse_top_n(V.sparse_encoding(t.documents, idf))
     q = questions.select(F.col("conv_id").alias("qid"), F.col("question").alias("text"))
-    qtop = V.sparse_top_n(V.sparse_max(V.lexical_postings(q, idf, key="qid"), key="qid"), key="qid")
+    qtop = V.sparse_top_n(V.sparse_encoding(q, idf, key="qid"), key="qid")
     cands = V.sparse_topk(qtop, dtop, k=k_retrieve).withColumnRenamed("doc_id", "id")
     top = V.rerank(cands, cands.select("qid", "id", "score"), k=k_context)
     ctx = top.join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("ctx_text")), "id") \

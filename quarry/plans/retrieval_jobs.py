@@ -65,9 +65,9 @@ def _dense(t):
 
 def _sparse_parts(t):
     idf = V.idf_table(t.documents)
-    dtop = V.sparse_top_n(V.sparse_max(V.lexical_postings(t.documents, idf)))
+    dtop = V.sparse_top_n(V.sparse_encoding(t.documents, idf))
     q = t.benchmark.select(F.col("item_id").alias("qid"), "text")
-    qtop = V.sparse_top_n(V.sparse_max(V.lexical_postings(q, idf, key="qid"), key="qid"), key="qid")
+    qtop = V.sparse_top_n(V.sparse_encoding(q, idf, key="qid"), key="qid")
     return dtop, qtop
 
 
@@ -96,7 +96,7 @@ def v2_sparse_max(spark, sf):
 @register("v3_sparse_top_n", "WITH " + _SPARSE + "\nSELECT doc_id, token, weight, pos FROM dtop")
 def v3_sparse_top_n(spark, sf):
     t = Tables(spark, sf)
-    return V.sparse_top_n(V.sparse_max(V.lexical_postings(t.documents, V.idf_table(t.documents))))
+    return V.sparse_top_n(V.sparse_encoding(t.documents, V.idf_table(t.documents)))
 
 
 @register("v4_usage", r"""
