@@ -17,9 +17,22 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is many times that, held twice in every task
+#: by the JVM outside its heap and again by the worker.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, unless the session has a bound of its own. It changes no result."""
+    if not spark.conf.get(_BATCH_SETTING, ""):
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the package is made importable on the executors first."""
+    """A driver table; the package is made importable on the executors and batches are bounded first."""
     ship_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4 << 20) -
     """Zero-copy slices of the batches with about ``limit`` bytes in column ``name``, one row at least,
     so that what a task holds beside the Arrow batch doesn't grow with the batch."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # what the last batch left
         col = batch.column(name)
         if batch.num_rows and col.nbytes > limit:
             sizes = [x or 0 for x in pc.binary_length(col).to_pylist()]
