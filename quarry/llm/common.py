@@ -25,7 +25,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the bytes of Arrow batches, unless the session has a bound of its own. It changes no result."""
-    if not spark.conf.get(_BATCH_SETTING, ""):
+    if spark.conf.get(_BATCH_SETTING, unset := "1b") == unset:
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
