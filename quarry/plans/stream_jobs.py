@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import events as E
-from ..streaming.memory import stream_memory
+from ..streaming.memory import stream_memory, use_state_store
 from .registry import Tables, register
 
 _ENV_SQL = """
@@ -95,10 +95,11 @@ def e4_stream_memory(spark, sf):
                    F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("content")))
     out = stream_memory(src, token_limit=E4_LIMIT, max_conversations=E4_MC, ttl_ms=None)
     run = scratch_path(spark, f"e4-{uuid.uuid4().hex}")
-    q = (out.writeStream.format("parquet").option("path", os.path.join(run, "out"))
-         .option("checkpointLocation", os.path.join(run, "ckpt")).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with use_state_store(spark):
+        q = (out.writeStream.format("parquet").option("path", os.path.join(run, "out"))
+             .option("checkpointLocation", os.path.join(run, "ckpt")).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     res = spark.read.parquet(os.path.join(run, "out"))
     last = res.groupBy("user_id").agg(F.max("version").alias("version"))
     return res.join(last, ["user_id", "version"]).select("user_id", "pos", "role", "content")

@@ -46,7 +46,7 @@ def test_window_of_matches_history_rule():
 
 def test_memory_of_unordered_messages(spark):
     """One user's messages in falling order, over several Arrow batches and micro-batches."""
-    from quarry.streaming.memory import stream_memory
+    from quarry.streaming.memory import stream_memory, use_state_store
     d = tempfile.mkdtemp(prefix="quarry-stream-")
     for part, ids in enumerate((range(79, 39, -1), range(39, -1, -1))):
         with open(os.path.join(d, f"part-{part}.json"), "w") as f:
@@ -57,9 +57,10 @@ def test_memory_of_unordered_messages(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        q = stream_memory(src, token_limit=10, max_conversations=3).writeStream.format("memory").queryName(
-            "q_unordered").trigger(availableNow=True).start()
-        q.awaitTermination()
+        with use_state_store(spark):
+            q = stream_memory(src, token_limit=10, max_conversations=3).writeStream.format("memory").queryName(
+                "q_unordered").trigger(availableNow=True).start()
+            q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     rows = spark.sql("SELECT * FROM q_unordered").collect()
@@ -75,3 +76,49 @@ def test_late_message_stays_behind_the_one_that_overflowed():
     assert [m["at"] for m in kept] == [[5], [6], [7]]
     late = sorted([*kept, {"at": [4], "role": "user", "content": "y"}], key=lambda m: m["at"])
     assert [m["at"] for m in window_of(still_needed(late, 10, 3), 10, 3)] == [[6], [7]]
+
+
+def test_silent_user_expires_over_triggers(spark):
+    """Triggers on one checkpoint: an active user's messages outlive the time to live, a silent user is forgotten."""
+    import time
+
+    from quarry.streaming.memory import stream_memory, use_state_store
+
+    def triggers(ttl):
+        """A function that runs a trigger with one message for each of the users; it returns the result so far by user."""
+        d, run = tempfile.mkdtemp(prefix="quarry-stream-"), tempfile.mkdtemp(prefix="quarry-ttl-")
+        done = []
+
+        def trigger(*users):
+            n = len(done)
+            done.append(users)
+            with open(os.path.join(d, f"part-{n}.json"), "w") as f:
+                f.write("\n".join(json.dumps({"user_id": u, "ts": n, "event_id": n, "role": "user", "content": f"m{n}"}) for u in users))
+            src = spark.readStream.schema("user_id LONG, ts LONG, event_id LONG, role STRING, content STRING").json(d)
+            with use_state_store(spark):
+                q = stream_memory(src, token_limit=1000, max_conversations=99, ttl_ms=int(1000 * ttl)).writeStream.format(
+                    "parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ckpt").trigger(availableNow=True).start()
+                assert q.awaitTermination(120)
+            rows = spark.read.parquet(f"{run}/out").collect()
+            latest = {u: max(r.version for r in rows if r.user_id == u) for u in users}
+            return n, {u: [r.content for r in sorted(rows, key=lambda r: r.pos) if r.user_id == u and r.version == v] for u, v in latest.items()}
+        return trigger
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        warm = triggers(1000)
+        warm(1)
+        began = time.time()
+        warm(1)
+        ttl = 4 * (time.time() - began)
+        trigger = triggers(ttl)
+        began, (n, got) = time.time(), trigger(1, 2)
+        while time.time() - began < 2.3 * ttl:  # user 1 is never silent for so long, and its messages live on
+            n, got = trigger(1)
+        assert got[1] == [f"m{i}" for i in range(n + 1)]
+        trigger(2)  # user 2 was, and is a new user
+        n, got = trigger(2, 1)
+        assert got[2] == [f"m{n - 1}", f"m{n}"] and got[1][-1] == f"m{n}"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
