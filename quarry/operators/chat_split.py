@@ -10,13 +10,10 @@ millions of messages is spread over tasks.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from .scan import DEFAULT_BLOCK, running_totals
 
 #: Template cost of a message by role; other roles have none.
@@ -25,14 +22,6 @@ ROLE_COST = {"system": 5, "user": 5, "assistant": 3}
 SPAN = 16
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: rounds don't add to each other's plans."""
-    spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), f"chats-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _beside(df: DataFrame, chats: DataFrame, pos: str) -> DataFrame:
     """``df`` with the columns of ``chats`` (one row a chat, ``n`` messages), met by blocks of positions."""
     block = F.floor(F.col(pos) / F.lit(DEFAULT_BLOCK)).cast("long")
@@ -64,14 +53,14 @@ def _first_above(values: DataFrame, bounds: DataFrame, span: int) -> DataFrame:
 def _reached(links: DataFrame) -> DataFrame:
     """(_k, id): segment 0 of every chat and those that following ``links`` (_k, id, next: null at the end) leads to."""
     reached = links.where("id = 0").select("_k", "id")
-    jumps = _stored(links.where("next IS NOT NULL").select("_k", "id", "next"))
+    jumps = stored(links.where("next IS NOT NULL").select("_k", "id", "next"))
     while True:
-        new = _stored(reached.join(jumps, ["_k", "id"]).select("_k", F.col("next").alias("id")))
+        new = stored(reached.join(jumps, ["_k", "id"]).select("_k", F.col("next").alias("id")))
         if not new.limit(1).count():
             return reached
         reached = reached.unionByName(new)
         ahead = jumps.select("_k", F.col("id").alias("next"), F.col("next").alias("then"))
-        jumps = _stored(jumps.join(ahead, ["_k", "next"]).select("_k", "id", F.col("then").alias("next")))
+        jumps = stored(jumps.join(ahead, ["_k", "next"]).select("_k", "id", F.col("then").alias("next")))
 
 
 def split_chats(msgs: DataFrame, max_tokens: int, key: str = "chat_id", msg_no: str = "msg_no", role: str = "role",
@@ -92,14 +81,14 @@ def split_chats(msgs: DataFrame, max_tokens: int, key: str = "chat_id", msg_no:
     slim = base.select("_k", "no", "role", (price + F.coalesce(F.length("content"), F.lit(0))).cast("long").alias("cost"))
     chats = slim.groupBy("_k").agg(F.min(F.struct("no", "role", "cost")).alias("first"), F.count(F.lit(1)).alias("n"))
     opens = F.col("first.role") == "system"
-    chats = _stored(chats.select("_k", "n", F.when(opens, F.col("first.no")).alias("system"), F.when(opens, F.col("first.cost")).otherwise(
+    chats = stored(chats.select("_k", "n", F.when(opens, F.col("first.no")).alias("system"), F.when(opens, F.col("first.cost")).otherwise(
         F.lit(0)).alias("system_cost")))
     ranked = running_totals(slim, ["_k"], "no", {"at": F.lit(1)})
     ranked = _beside(ranked, chats, "at").where(F.col("system").isNull() | (F.col("no") != F.col("system")))
     ranked = ranked.withColumn("i", (F.col("at") - F.when(F.col("system").isNull(), 1).otherwise(2)).cast("long"))
     is_a = (F.col("role") == "assistant").cast("long")
     walk = running_totals(ranked, ["_k"], "i", {"total": F.col("cost"), "answers": is_a})
-    walk = _stored(walk.select("_k", "no", "i", "total", "cost", (F.col("answers") - is_a).alias("c"), is_a.alias("a"), "system_cost"))
+    walk = stored(walk.select("_k", "no", "i", "total", "cost", (F.col("answers") - is_a).alias("c"), is_a.alias("a"), "system_cost"))
 
     # segment c begins at its first message; its lane is the parity of that place, for the separators
     begins = walk.groupBy("_k", "c").agg(F.min(F.struct("i", (F.col("total") - F.col("cost")).alias("before"), "a", "system_cost")).alias("s"))
@@ -116,12 +105,12 @@ def split_chats(msgs: DataFrame, max_tokens: int, key: str = "chat_id", msg_no:
     over = begins.select("_k", "id", F.col("i").alias("begin"), "a").join(over.withColumnRenamed("i", "over"), ["_k", "id"])
     # a bound below the beginning (a system message over the budget) overflows at once; the first message ends no part
     cuts = F.col("over").isNotNull() & (F.col("c") > F.col("id") + F.col("a"))
-    links = _stored(over.select("_k", "id", "begin", F.when(cuts, F.col("c")).alias("next"), (F.col("over").isNotNull() & ~cuts).alias("stuck")))
+    links = stored(over.select("_k", "id", "begin", F.when(cuts, F.col("c")).alias("next"), (F.col("over").isNotNull() & ~cuts).alias("stuck")))
 
     parts = _reached(links).join(links.select("_k", "id", "begin", "stuck"), ["_k", "id"]).select(
         "_k", F.col("begin").alias("i"), F.lit(1).alias("opens"), F.col("stuck").cast("int").alias("stuck"))
     marked = walk.select("_k", "no", "i").join(parts, ["_k", "i"], "left")
-    numbered = _stored(running_totals(marked, ["_k"], "i", {"part": F.coalesce("opens", F.lit(0)), "late": F.coalesce("stuck", F.lit(0))}))
+    numbered = stored(running_totals(marked, ["_k"], "i", {"part": F.coalesce("opens", F.lit(0)), "late": F.coalesce("stuck", F.lit(0))}))
     place = ((F.col("part") - 1).cast("int").alias("part_no"), (F.col("late") > 0).alias("oversize"))
     own = numbered.select("_k", "no", *place)
     systems = _beside(numbered.where("opens = 1"), chats, "i").where(F.col("system").isNotNull()).select("_k", F.col("system").alias("no"), *place)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as FT
+from ..session import stored
 
 # Fixed values that must match the reference behaviour.
 WINDOW_TOKENS = 512
@@ -55,41 +56,56 @@ def sliding_windows(docs: DataFrame, n_tokens: str = "n_tokens", key: str = "doc
                     e.alias("end"))
 
 
-def bigrams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, pos, prev, tok)`` for every token after the first (T4 tokens)."""
+#: A key with more than this share of a table's rows is heavy; there are at most 1 / HEAVY_SHARE of them.
+HEAVY_SHARE = 1e-4
+
+
+def bigram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_length: int = WINDOW_TOKENS,
+                  stride: int = WINDOW_STRIDE) -> DataFrame:
+    """``(key, win_no, prev, tok, n)``: how often each token (T4) follows another in each window, by the window that is the
+    first to score it; ``prev`` and ``win_no`` are null for the first token of a text.
+
+    Token ``t`` (t ≥ 1) belongs to window 0 when ``t < max_length`` and otherwise to window ``(t − max_length) div stride + 1``.
+    """
     d = docs.select(key, FT.tokens(F.col(text)).alias("_t"))
-    t = F.col("_t")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))),
-                        lambda i: F.struct(i.alias("pos"), F.element_at(t, i).alias("prev"),
-                                           F.element_at(t, i + 1).alias("tok")))
-    return (d.where(F.size(t) >= 2).select(key, F.explode(pairs).alias("_p"))
-            .select(key, "_p.pos", "_p.prev", "_p.tok"))
+    pos = F.col("pos")
+    d = d.select(key, F.posexplode(F.transform("_t", lambda tok, i: F.struct(
+        F.when(i > 0, F.get(F.col("_t"), i - 1)).alias("prev"), tok.alias("tok")))).alias("pos", "_p"))
+    win = F.when(pos == 0, F.lit(None)).when(pos < max_length, F.lit(0)).otherwise(F.floor((pos - max_length) / stride).cast("int") + 1)
+    return d.groupBy(key, win.cast("int").alias("win_no"), F.col("_p.prev").alias("prev"), F.col("_p.tok").alias("tok")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
-def train_bigram_lm(docs: DataFrame, key: str = "doc_id", text: str = "text", k: float = 1.0):
-    """Q4: corpus bigram model. Returns ``(model, vocab)``: ``model(prev, tok, c2, c1)`` and V."""
-    bg = bigrams(docs, key, text)
-    vocab = docs.select(F.explode(FT.tokens(F.col(text))).alias("tok")).distinct().count()  # scalar
-    c2 = bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c2"))
-    c1 = bg.groupBy("prev").agg(F.count(F.lit(1)).alias("c1"))
-    return c2.join(c1.hint("shuffle_hash"), "prev"), vocab
+def train_bigram_lm(counts: DataFrame) -> DataFrame:
+    """Q4: the corpus bigram model of :func:`bigram_counts`: ``(prev, tok, c2, c1, rows)``; ``rows`` is the number of
+    windows that a pair occurs in."""
+    pairs = counts.where(F.col("prev").isNotNull()).groupBy("prev", "tok").agg(F.sum("n").alias("c2"), F.count(F.lit(1)).alias("rows"))
+    firsts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"), F.count(F.lit(1)).alias("_rows"))
+    return split_join(pairs, firsts, ["prev"], "_rows").drop("_rows")
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join of ``left`` to ``right``, which has one row a key and the number of the key's rows of ``left`` in ``rows``.
+    Heavy keys are few by their definition: their rows of ``right`` are broadcast and their rows of ``left`` stay where they
+    are; all others meet in a shuffle, in which no key is heavy."""
+    total = right.agg(F.sum(rows).alias("n")).select(F.col("n") * HEAVY_SHARE).scalar()
+    is_heavy = F.col(rows) > total
+    heavy = F.broadcast(right.where(is_heavy))
+    rest = left.join(F.broadcast(right.where(is_heavy).select(*keys)), keys, "left_anti")
+    return left.join(heavy, keys).unionByName(rest.join(right.where(~is_heavy).hint("shuffle_hash"), keys))
 
 
 def window_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", k: float = 1.0,
                       max_length: int = WINDOW_TOKENS, stride: int = WINDOW_STRIDE) -> DataFrame:
-    """Q4: perplexity of every window = exp(mean −ln p) over the tokens new to that window.
-
-    Token ``t`` (t ≥ 1) belongs to window 0 when ``t < max_length`` and otherwise to
-    window ``(t − max_length) div stride + 1`` — the window in which it is first scored.
-    """
-    model, vocab = train_bigram_lm(docs, key, text, k)
-    bg = bigrams(docs, key, text)
-    lp = F.log((F.col("c2") + F.lit(k)) / (F.col("c1") + F.lit(k * vocab)))
-    win = F.when(F.col("pos") < max_length, F.lit(0)) \
-        .otherwise(F.floor((F.col("pos") - max_length) / stride).cast("int") + 1)
-    # the model grows with the corpus: never let a runtime size estimate turn this into a broadcast
-    s = bg.join(model.hint("shuffle_hash"), ["prev", "tok"]).select(key, win.alias("win_no"), (-lp).alias("_nll"))
-    return s.groupBy(key, "win_no").agg(F.exp(F.avg("_nll")).alias("ppl"))
+    """Q4: perplexity of every window = exp(mean −ln p) over the tokens new to that window, with add-``k`` smoothing over the
+    vocabulary. The texts are tokenised once: the model, the vocabulary's size and the scores all come from the
+    counts, which are stored, and so is the model."""
+    counts = stored(bigram_counts(docs, key, text, max_length, stride))
+    model = stored(train_bigram_lm(counts))
+    vocab = counts.agg(F.count_distinct("tok").cast("double").alias("v")).scalar()
+    s = split_join(counts.where(F.col("prev").isNotNull()), model, ["prev", "tok"], "rows")
+    nll = -F.log((F.col("c2") + F.lit(k)) / (F.col("c1") + k * vocab))
+    return s.groupBy(key, "win_no").agg(F.exp(F.sum(F.col("n") * nll) / F.sum("n")).alias("ppl"))
 
 
 def doc_perplexity(windows: DataFrame, key: str = "doc_id") -> DataFrame:
