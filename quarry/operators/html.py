@@ -203,8 +203,9 @@ def rule_predicate(rule: str, key: str = "page_id") -> Column:
     """Compile the supported XPath subset to a node predicate.
 
     Supported: ``//tag`` or ``//*`` with an optional ``[cond (and cond)*]`` where cond is
-    ``@attr='v'`` (class matches as a whole string, as XPath does) or
-    ``contains(@attr,'v')``, and such a rule followed by ``/following-sibling::tag[1]``: the first
+    ``@attr='v'`` (class matches as a whole string, as XPath does),
+    ``contains(@attr,'v')`` or ``contains(text(),'v')`` (the element's first text child holds it; a window over an element and
+    its text children), and such a rule followed by ``/following-sibling::tag[1]``: the first
     sibling of that tag after a match (a window over the siblings, so add the predicate as a column before
     using it inside another window). Anything else is rejected.
     """
@@ -213,6 +214,8 @@ def rule_predicate(rule: str, key: str = "page_id") -> Column:
     if sibling:
         before = Window.partitionBy(key, "parent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
         is_tag = (F.col("kind") == "element") & (F.col("tag") == sibling.group(2).lower())
+        if "text()" in sibling.group(1):
+            raise ValueError(f"unsupported trim rule: {rule!r}")
         match = F.max(F.when(rule_predicate(sibling.group(1)), F.col("node_id"))).over(before)
         same = F.max(F.when(is_tag, F.col("node_id"))).over(before)
         return is_tag & F.coalesce(match >= F.coalesce(same, F.lit(-1)), F.lit(False))
@@ -227,8 +230,14 @@ def rule_predicate(rule: str, key: str = "page_id") -> Column:
         for cond in re.split(r"\s+and\s+", conds.strip()):
             eq = re.fullmatch(r"@([\w-]+)\s*=\s*['\"](.*)['\"]", cond.strip())
             ct = re.fullmatch(r"contains\(\s*@([\w-]+)\s*,\s*['\"](.*)['\"]\s*\)", cond.strip())
+            tx = re.fullmatch(r"contains\(\s*text\(\)\s*,\s*['\"](.*)['\"]\s*\)", cond.strip())
             if eq:
                 pred = pred & F.coalesce(F.element_at("attrs", F.lit(eq.group(1))) == eq.group(2), F.lit(False))
+            elif tx:
+                # an element and its text children are one group
+                family = F.when(F.col("kind") == "text", F.col("parent_id")).otherwise(F.col("node_id"))
+                first = F.min(F.when(F.col("kind") == "text", F.struct("node_id", "text"))).over(Window.partitionBy(key, family))
+                pred = pred & F.coalesce(first["text"].contains(tx.group(1)), F.lit(False))
             elif ct:
                 pred = pred & F.coalesce(F.element_at("attrs", F.lit(ct.group(1))).contains(ct.group(2)), F.lit(False))
             else:
@@ -404,13 +413,14 @@ def collapse_siblings(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def left_prefix(nodes: DataFrame, max_tokens: int, key: str = "page_id") -> DataFrame:
-    """Keep the pre-order prefix whose text tokens (characters) fit ``max_tokens``.
+    """Keep the longest pre-order prefix whose rendered HTML (P16) has at most ``max_tokens`` tokens (characters).
 
-    Ancestors of every kept node precede it in pre-order, so a prefix is a valid tree.
+    Ancestors of every kept node precede it in pre-order, so a prefix is a valid tree. An element costs its opening tag and, from
+    there on, the closing tag that it will need; so the running cost at a node is the length of the prefix as rendered.
     """
     w = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    tok = F.coalesce(F.length(F.when(F.col("kind") == "text", F.col("text"))), F.lit(0))
-    return nodes.withColumn("_t", F.sum(tok).over(w)).where(F.col("_t") <= max_tokens).drop("_t")
+    cost = F.length(_opening()) + F.when(_is_container(), F.length(_closing())).otherwise(F.lit(0))
+    return nodes.withColumn("_t", F.sum(cost).over(w)).where(F.col("_t") <= max_tokens).drop("_t")
 
 
 # ------------------------------------------------------------------ page meta
@@ -444,22 +454,32 @@ _BLOCKS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "pre", "bl
            "section", "dd", "dt", "figcaption", "caption"]
 
 
-def render_html(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Serialise a (cleaned) node table back to HTML, one string per page."""
+def _opening() -> Column:
+    """A node as rendered, an element without its content and closing tag."""
     attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")),
                                      lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'),
                                                         F.replace(F.replace(e["value"], F.lit("&"), F.lit("&amp;")),
                                                                   F.lit('"'), F.lit("&quot;")), F.lit('"'))), "")
     esc = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
                     F.lit(">"), F.lit("&gt;"))
-    is_el = F.col("kind") == "element"
-    open_tok = F.struct(F.col("node_id").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"),
-                        F.when(is_el, F.concat(F.lit("<"), F.col("tag"), F.coalesce(attrs, F.lit("")), F.lit(">")))
-                        .when(F.col("kind") == "text", esc)
-                        .otherwise(F.concat(F.lit("<!--"), F.col("text"), F.lit("-->"))).alias("s"))
-    close_tok = F.struct(F.col("subtree_end").alias("a"), F.lit(1).alias("b"), (-F.col("depth")).alias("c"),
-                         F.concat(F.lit("</"), F.col("tag"), F.lit(">")).alias("s"))
-    toks = nodes.select(key, F.explode(F.when(is_el & ~F.col("tag").isin(*sorted(_VOID)), F.array(open_tok, close_tok))
+    return (F.when(F.col("kind") == "element", F.concat(F.lit("<"), F.col("tag"), F.coalesce(attrs, F.lit("")), F.lit(">")))
+            .when(F.col("kind") == "text", esc)
+            .otherwise(F.concat(F.lit("<!--"), F.col("text"), F.lit("-->"))))
+
+
+def _closing() -> Column:
+    return F.concat(F.lit("</"), F.col("tag"), F.lit(">"))
+
+
+def _is_container() -> Column:
+    return (F.col("kind") == "element") & ~F.col("tag").isin(*sorted(_VOID))
+
+
+def render_html(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """Serialise a (cleaned) node table back to HTML, one string per page."""
+    open_tok = F.struct(F.col("node_id").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), _opening().alias("s"))
+    close_tok = F.struct(F.col("subtree_end").alias("a"), F.lit(1).alias("b"), (-F.col("depth")).alias("c"), _closing().alias("s"))
+    toks = nodes.select(key, F.explode(F.when(_is_container(), F.array(open_tok, close_tok))
                                        .otherwise(F.array(open_tok))).alias("t"))
     return toks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["s"]), "")
                                  .alias("html"))

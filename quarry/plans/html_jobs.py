@@ -149,6 +149,24 @@ def p14_left_prefix(spark, sf):
     return _cols(H.left_prefix(H.clean_html(_nodes(spark, sf)), 2000))
 
 
+@register("p14_left_prefix_markup", """
+WITH o AS (SELECT o_custkey AS page_id, o_orderkey, '<p class="' || o_orderstatus || '">' AS tag, replace(o_orderpriority, '-', '&') AS txt FROM orders),
+n AS (SELECT page_id, o_orderkey, 0 AS part, tag AS s, length(tag) + 4 AS cost FROM o UNION ALL
+  SELECT page_id, o_orderkey, 1, replace(txt, '&', '&amp;'), length(replace(txt, '&', '&amp;')) FROM o),
+r AS (SELECT *, 19 + sum(cost) OVER (PARTITION BY page_id ORDER BY o_orderkey, part) <= 200 AS kept FROM n),
+p AS (SELECT page_id, o_orderkey, string_agg(s, '' ORDER BY part) || '</p>' AS s FROM r WHERE kept GROUP BY 1, 2)
+SELECT o.page_id, '<section>' || coalesce(string_agg(p.s, '' ORDER BY p.o_orderkey), '') || '</section>' AS html
+FROM (SELECT DISTINCT page_id FROM o) o LEFT JOIN p USING (page_id) GROUP BY 1
+""")
+def p14_left_prefix_markup(spark, sf):
+    """Stand-in pages, one a customer: a paragraph for each order, with its status as class and its priority as text."""
+    text = F.replace(F.replace("o_orderpriority", F.lit("-"), F.lit("&")), F.lit("&"), F.lit("&amp;"))
+    line = F.concat(F.lit('<p class="'), F.col("o_orderstatus"), F.lit('">'), text, F.lit("</p>"))
+    pages = Tables(spark, sf).orders.groupBy(F.col("o_custkey").alias("page_id")).agg(F.concat(F.lit("<section>"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("s")))), lambda x: x["s"]), ""), F.lit("</section>")).alias("html"))
+    return H.render_html(H.left_prefix(H.parse_nodes(pages), 200))
+
+
 def _main_nodes(spark, sf):
     nodes = _nodes(spark, sf)
     meta = H.page_meta(nodes)

@@ -154,3 +154,28 @@ def test_structure_drops_inline_subtrees_and_text(spark):
     page = '<div class="m" id="i"><p>x</p><a href="/"><div class="in">y</div></a><section title="t">z<p></p></section></div>'
     got = H.render_html(H.structure_nodes(_nodes(spark, [(1, page)]))).collect()[0].html
     assert got == '<div class="m"><p></p><section></section></div>'
+
+
+def test_text_rule(spark):
+    n = _nodes(spark, [(1, "<div><b>an ad here</b><b><i>ad</i>ad</b><b>no</b><b><i>ad</i></b><p>ad</p></div>"), (2, "<b>x</b>ad")])
+    out = H.apply_trim_rules(n, ["//b[contains(text(),'ad')]", "//nav"])
+    got = {r.page_id: r.html for r in H.render_html(out).collect()}
+    assert got == {1: "<div><b>no</b><b><i>ad</i></b><p>ad</p></div>", 2: "<b>x</b>ad"}
+    rules = spark.createDataFrame([(0, "//*[contains(text(), 'ad')]"), (1, "//b[contains(text(),'ad') and @id='x']")], "rule_no INT, rule STRING")
+    assert {r.rule_no: r.n_hits for r in H.rule_hits(n, rules).collect()} == {0: 5, 1: 0}
+
+
+def test_left_prefix_counts_markup(spark):
+    page = '<div class="a"><p>one &amp; two</p><img src="x"><ul><li>three</li><li>four</li></ul></div><p>end</p>'
+    n = _nodes(spark, [(1, page)])
+    whole = H.render_html(n).collect()[0].html
+    order = [r.node_id for r in n.orderBy("node_id").collect()]
+    for budget in range(0, len(whole) + 2, 3):
+        kept = H.left_prefix(n, budget)
+        ids = sorted(r.node_id for r in kept.collect())
+        assert ids == order[:len(ids)]
+        size = len(H.render_html(kept).collect()[0].html) if ids else 0
+        assert size <= budget
+        if len(ids) < len(order):  # one node more would not fit
+            more = H.render_html(n.where(F.col("node_id") <= order[len(ids)])).collect()[0].html
+            assert len(more) > budget
