@@ -128,8 +128,9 @@ def c10_newest_per_group(spark, sf):
 
 
 @register("c11_merge_samples", """
-SELECT source FROM documents WHERE lang = 'en' UNION SELECT source FROM documents WHERE lang = 'de'
+SELECT source FROM documents WHERE lang = 'en' UNION SELECT source FROM documents WHERE lang IS DISTINCT FROM 'en'
 """)
 def c11_merge_samples(spark, sf):
     d = Tables(spark, sf).documents
-    return C.merge_samples(d.where("lang = 'en'").select("source"), d.where("lang = 'de'").select("source"))
+    english = F.col("lang").eqNullSafe("en")
+    return C.merge_samples(d.where(english).select("source"), d.where(~english).select("source"))

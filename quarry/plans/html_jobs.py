@@ -227,16 +227,17 @@ def p13_prune_to_template(spark, sf):
 
 
 @register("p9_plan_pages", """
-WITH a AS (SELECT event_id % 400 AS page_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'exhausted' ELSE 'ok' END
+WITH a AS (SELECT event_id % (SELECT max(page_id) + 1 FROM pages) AS page_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'exhausted' ELSE 'ok' END
            AS state FROM events)
 SELECT page_id, CAST((SELECT count(*) FROM a WHERE a.page_id = p.page_id) AS BIGINT) AS n_attempts FROM pages p
 WHERE page_id NOT IN (SELECT page_id FROM a WHERE state = 'exhausted') AND length(html) >= 100
 """)
 def p9_plan_pages(spark, sf):
-    """Attempts are the events: event ``i`` tried page ``i % 400``, a large error exhausted it."""
+    """Attempts are the events: they go round all page numbers, and a large error exhausted a page."""
     t = Tables(spark, sf)
     spent = (F.col("event_type") == "error") & (F.col("value") > 50)
-    attempts = t.events.select((F.col("event_id") % 400).alias("page_id"),
+    n_pages = t.pages.agg((F.max("page_id") + 1).alias("n")).scalar()
+    attempts = t.events.select((F.col("event_id") % n_pages).alias("page_id"),
                                F.when(spent, "exhausted").otherwise("ok").alias("state"))
     return H.plan_pages(t.pages, attempts, empty=F.length("html") < 100).select("page_id", "n_attempts")
 

@@ -100,26 +100,29 @@ def s3_read_feed(spark, sf):
 
 
 @register("s4_site_config", """
-SELECT 'categories' AS part, c_name AS name, c_acctbal AS score FROM customer WHERE c_mktsegment = 'BUILDING'
-UNION ALL SELECT 'samples', 'page ' || c_custkey, NULL FROM customer WHERE c_mktsegment = 'BUILDING'
-UNION ALL SELECT 'trim_rules', '//div[@id=' || chr(39) || c_custkey || chr(39) || ']', NULL FROM customer
-  WHERE c_mktsegment = 'BUILDING' AND c_custkey % 10 = 0
+WITH c AS (SELECT *, 'site ' || CAST(c_custkey // 10 AS VARCHAR) AS site FROM customer)
+SELECT site, 'categories' AS part, c_name AS name, CAST(c_custkey AS BIGINT) AS n, c_acctbal AS score FROM c
+UNION ALL SELECT site, 'samples', 'page ' || c_custkey, NULL, NULL FROM c
+UNION ALL SELECT site, 'trim_rules', '//div[@id=' || chr(39) || c_custkey || chr(39) || ']',
+  row_number() OVER (PARTITION BY site ORDER BY c_custkey) - 1, NULL FROM c
 """)
 def s4_site_config(spark, sf):
-    """A market segment stands for a site; all are written, one is read."""
-    c = Tables(spark, sf).customer.withColumn("site", F.col("c_mktsegment"))
+    """Ten neighbouring customers stand for a site; all sites are written, and all are read back."""
     num = F.col("c_custkey").cast("string")
+    c = Tables(spark, sf).customer.withColumn("site", F.concat(F.lit("site "), F.floor(F.col("c_custkey") / 10).cast("string")))
     cats = c.select("site", F.col("c_name").alias("cat_name"), F.col("c_custkey").alias("n_pages"),
                     F.col("c_acctbal").alias("score"))
-    rules = c.where(F.col("c_custkey") % 10 == 0).select(
-        "site", F.col("c_custkey").alias("rule_no"), F.concat(F.lit("//div[@id='"), num, F.lit("']")).alias("rule"))
+    rules = c.select("site", F.col("c_custkey").alias("rule_no"), F.concat(F.lit("//div[@id='"), num, F.lit("']")).alias("rule"))
     path = _fresh(spark, "s4")
     S.write_site_config(cats, c.select("site", F.concat(F.lit("page "), num).alias("title")), rules, path)
-    t = S.read_site_config(spark, f"{path}/folder=BUILDING", "BUILDING")
-    none = F.lit(None).cast("double").alias("score")
-    return (t["categories"].select(F.lit("categories").alias("part"), F.col("cat_name").alias("name"), "score")
-            .unionByName(t["samples"].select(F.lit("samples").alias("part"), F.col("title").alias("name"), none))
-            .unionByName(t["trim_rules"].select(F.lit("trim_rules").alias("part"), F.col("rule").alias("name"), none)))
+    t = S.read_site_configs(spark, path)
+
+    def part(name, col, n=None, score=None):
+        return t[name].select("site", F.lit(name).alias("part"), F.col(col).alias("name"), (F.col(n) if n else F.lit(None)).cast(
+            "long").alias("n"), (F.col(score) if score else F.lit(None)).cast("double").alias("score"))
+
+    return part("categories", "cat_name", "n_pages", "score").unionByName(part("samples", "title")).unionByName(
+        part("trim_rules", "rule", "rule_no"))
 
 
 @register("s5_write_markdown", f"""

@@ -46,13 +46,24 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM_SCHEMA).json(path)
 
 
+def _config_tables(configs: DataFrame) -> dict[str, DataFrame]:
+    """The tables of configs that have a column ``site``."""
+    cats = configs.select("site", F.explode("categories").alias("c")).select("site", "c.*")
+    samples = configs.select("site", F.explode("samples").alias("title"))
+    rules = configs.select("site", F.posexplode("trim_rules").alias("rule_no", "rule"))
+    return {"categories": cats, "samples": samples, "trim_rules": rules}
+
+
 def read_site_config(spark: SparkSession, path: str, site: str) -> dict[str, DataFrame]:
     """A site's ``meta.json`` → ``categories``, ``samples`` and ``trim_rules`` tables."""
     c = spark.read.schema(SITE_CONFIG_SCHEMA).option("multiLine", True).json(path)
-    cats = c.select(F.explode("categories").alias("c")).select(F.lit(site).alias("site"), "c.*")
-    samples = c.select(F.lit(site).alias("site"), F.explode("samples").alias("title"))
-    rules = c.select(F.lit(site).alias("site"), F.posexplode("trim_rules").alias("rule_no", "rule"))
-    return {"categories": cats, "samples": samples, "trim_rules": rules}
+    return _config_tables(c.withColumn("site", F.lit(site)))
+
+
+def read_site_configs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The configs of all sites under ``path/folder=<site>`` in one read; the site is the folder's name."""
+    c = spark.read.schema(SITE_CONFIG_SCHEMA + ", folder STRING").option("multiLine", True).json(path)
+    return _config_tables(c.withColumnRenamed("folder", "site"))
 
 
 def write_site_config(categories: DataFrame, samples: DataFrame, rules: DataFrame, path: str,
