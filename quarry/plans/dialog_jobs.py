@@ -330,3 +330,24 @@ def l5_parse_list_replies(spark, sf):
 @register("d4_rewrite_choices")
 def d4_rewrite_choices(spark, sf):
     return _dialogs(Tables(spark, sf)).select("dialog_id", D.rewrite_choices(F.col("dialog")).alias("dialog"))
+
+
+@register("d4_rewrite_choice_blocks", """
+SELECT o_custkey AS dialog_id, string_agg(CASE CAST(floor(o_totalprice) AS BIGINT) % 4
+  WHEN 0 THEN chr(10) || '派蒙：行 ' || o_orderkey
+  WHEN 1 THEN '* 旅行者：走 ' || o_orderkey || chr(10) || '* 荧：二 ' || o_orderkey || chr(10) || '* 之后'
+  WHEN 2 THEN '* 旅行者：去 ' || o_orderkey || chr(10) || '* 旅行者：去 ' || o_orderkey || chr(10) || '* 后'
+  ELSE '* 旅行者：不 ' || o_orderkey || chr(10) || '* 完' END, '' ORDER BY o_orderkey) AS dialog FROM orders GROUP BY 1
+""")
+def d4_rewrite_choice_blocks(spark, sf):
+    """Stand-in dialogues, one a customer: a plain line or a choice block for each order, the block with two replies, with the
+    player's own line, or with an option alone."""
+    star = F.lit("\n★\n")
+    no = F.col("o_orderkey").cast("string")
+    pieces = F.array(F.concat(F.lit("\n派蒙：行 "), no),
+                     F.concat(star, F.lit("走 "), no, F.lit("\n派蒙：一\n荧：二 "), no, F.lit("\n\n* 之后")),
+                     F.concat(star, F.lit("旅行者：去 "), no, F.lit("\n\n* 后")),
+                     F.concat(star, F.lit("不 "), no, F.lit("\n\n* 完")))
+    orders = Tables(spark, sf).orders.withColumn("piece", F.get(pieces, (F.floor("o_totalprice") % 4).cast("int")))
+    docs = D.ordered_join(orders, ["o_custkey"], "o_orderkey", F.col("piece"), "", "dialog").withColumnRenamed("o_custkey", "dialog_id")
+    return docs.select("dialog_id", D.rewrite_choices(F.col("dialog")).alias("dialog"))
