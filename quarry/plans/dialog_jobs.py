@@ -168,6 +168,25 @@ m AS (SELECT f.chat_id, f.no, f.role, f.content, row_number() OVER (PARTITION BY
   ON sy.chat_id = f.chat_id AND sy.no = f.no WHERE sy.no IS NULL)"""
 
 
+@register("d13_role_play_chats", "WITH " + _PAIRS_SQL + "," + _PROFILE_SQL + """,
+plot AS (SELECT conv_id, arg_max(text, turn) AS plot FROM conversations WHERE role = 'user' GROUP BY conv_id),
+p AS (SELECT pairs.*, CAST(dense_rank() OVER (PARTITION BY dialog_id ORDER BY turn_no) - 1 AS BIGINT) AS i
+      FROM pairs WHERE dialog_id IN (SELECT conv_id FROM prof))
+SELECT conv_id AS chat_id, CAST(0 AS BIGINT) AS msg_no, 'system' AS role, profile || chr(10) || chr(10) || '你将依照如下情节，与其他角色对话：' ||
+  chr(10) || repeat('-', 21) || chr(10) || coalesce(plot, '') || chr(10) || repeat('-', 21) || chr(10) AS content
+FROM prof LEFT JOIN plot USING (conv_id) WHERE conv_id IN (SELECT dialog_id FROM pairs)
+UNION ALL SELECT dialog_id, 2 * i + 1, 'user', query FROM p
+UNION ALL SELECT dialog_id, 2 * i + 2, 'assistant', response FROM p
+""")
+def d13_role_play_chats(spark, sf):
+    """The last user text of a conversation stands for its plot."""
+    t = Tables(spark, sf)
+    plots = t.conversations.where(F.col("role") == "user").groupBy(F.col("conv_id").alias("dialog_id")).agg(
+        F.max(F.struct("turn", "text"))["text"].alias("summary"))
+    pairs = _pairs(t).join(plots, "dialog_id", "left").withColumn("character", F.col("dialog_id")).withColumnRenamed("dialog_id", "chat_id")
+    return D.assemble_chats(pairs, _profiles(t), "role_play")
+
+
 @register("d14_split_chats", "WITH RECURSIVE t AS (SELECT conv_id AS chat_id, turn AS no, role, text AS content FROM conversations), "
           + _MESSAGES_SQL + _SPLIT_SQL.format(limit=2000))
 def d14_split_chats(spark, sf):
