@@ -60,10 +60,10 @@ def sliding_windows(docs: DataFrame, n_tokens: str = "n_tokens", key: str = "doc
 HEAVY_SHARE = 1e-4
 
 
-def bigram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_length: int = WINDOW_TOKENS,
+def bigrams(docs: DataFrame, key: str = "doc_id", text: str = "text", max_length: int = WINDOW_TOKENS,
                   stride: int = WINDOW_STRIDE) -> DataFrame:
-    """``(key, win_no, prev, tok, n)``: how often each token (T4) follows another in each window, by the window that is the
-    first to score it; ``prev`` and ``win_no`` are null for the first token of a text.
+    """``(key, win_no, prev, tok)``: each token (T4) after the one before it, with the window that is the first to score it;
+    ``prev`` and ``win_no`` are null for the first token of a text.
 
     Token ``t`` (t ≥ 1) belongs to window 0 when ``t < max_length`` and otherwise to window ``(t − max_length) div stride + 1``.
     """
@@ -72,14 +72,12 @@ def bigram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     d = d.select(key, F.posexplode(F.transform("_t", lambda tok, i: F.struct(
         F.when(i > 0, F.get(F.col("_t"), i - 1)).alias("prev"), tok.alias("tok")))).alias("pos", "_p"))
     win = F.when(pos == 0, F.lit(None)).when(pos < max_length, F.lit(0)).otherwise(F.floor((pos - max_length) / stride).cast("int") + 1)
-    return d.groupBy(key, win.cast("int").alias("win_no"), F.col("_p.prev").alias("prev"), F.col("_p.tok").alias("tok")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return d.select(key, win.cast("int").alias("win_no"), F.col("_p.prev").alias("prev"), F.col("_p.tok").alias("tok"))
 
 
-def train_bigram_lm(counts: DataFrame) -> DataFrame:
-    """Q4: the corpus bigram model of :func:`bigram_counts`: ``(prev, tok, c2, c1, rows)``; ``rows`` is the number of
-    windows that a pair occurs in."""
-    pairs = counts.where(F.col("prev").isNotNull()).groupBy("prev", "tok").agg(F.sum("n").alias("c2"), F.count(F.lit(1)).alias("rows"))
+def train_bigram_lm(rows: DataFrame) -> DataFrame:
+    """Q4: the corpus bigram model of :func:`bigrams`: ``(prev, tok, c2, c1)``."""
+    pairs = rows.where(F.col("prev").isNotNull()).groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c2"))
     firsts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"), F.count(F.lit(1)).alias("_rows"))
     return split_join(pairs, firsts, ["prev"], "_rows").drop("_rows")
 
@@ -99,13 +97,14 @@ def window_perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text",
                       max_length: int = WINDOW_TOKENS, stride: int = WINDOW_STRIDE) -> DataFrame:
     """Q4: perplexity of every window = exp(mean −ln p) over the tokens new to that window, with add-``k`` smoothing over the
     vocabulary. The texts are tokenised once: the model, the vocabulary's size and the scores all come from the
-    counts, which are stored, and so is the model."""
-    counts = stored(bigram_counts(docs, key, text, max_length, stride))
-    model = stored(train_bigram_lm(counts))
-    vocab = counts.agg(F.count_distinct("tok").cast("double").alias("v")).scalar()
-    s = split_join(counts.where(F.col("prev").isNotNull()), model, ["prev", "tok"], "rows")
+    bigrams, which are stored, and so is the model."""
+    rows = stored(bigrams(docs, key, text, max_length, stride))
+    model = stored(train_bigram_lm(rows))
+    vocab = rows.agg(F.count_distinct("tok").cast("double").alias("v")).scalar()
     nll = -F.log((F.col("c2") + F.lit(k)) / (F.col("c1") + k * vocab))
-    return s.groupBy(key, "win_no").agg(F.exp(F.sum(F.col("n") * nll) / F.sum("n")).alias("ppl"))
+    scores = model.select("prev", "tok", "c2", nll.alias("nll"))
+    s = split_join(rows.where(F.col("prev").isNotNull()), scores, ["prev", "tok"], "c2")
+    return s.groupBy(key, "win_no").agg(F.exp(F.avg("nll")).alias("ppl"))
 
 
 def doc_perplexity(windows: DataFrame, key: str = "doc_id") -> DataFrame:
