@@ -179,3 +179,19 @@ def test_left_prefix_counts_markup(spark):
         if len(ids) < len(order):  # one node more would not fit
             more = H.render_html(n.where(F.col("node_id") <= order[len(ids)])).collect()[0].html
             assert len(more) > budget
+
+
+def test_parse_leaves_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+    schema = pa.schema([("page_id", pa.int64()), *((n, pa.int32()) for n in ("node_id", "subtree_end", "parent_id", "depth")),
+                        ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+                        ("text", pa.string()), ("ancestors", pa.list_(pa.int32()))])
+    pages = [(1, "<div class='a' id=b><p>x &amp; y<br><!--c--></div>" * 9), (None, "<i>z</i>"), (3, None), (4, ""), (5, "<p title>" + "long " * 40)]
+    want = [[i, *r[:6], None if r[6] is None else list(r[6].items()), *r[7:]] for i, h in pages for r in H.html_to_rows(h)]
+    monkeypatch.setattr(H, "FLUSH_NODES", 4)
+    batches = list(H._node_batches(iter(pages), schema))
+    assert max(b.num_rows for b in batches) == 4
+    assert [list(r) for b in batches for r in zip(*[c.to_pylist() for c in b.columns])] == want
+    monkeypatch.setattr(H, "FLUSH_NODES", 1000)
+    monkeypatch.setattr(H, "FLUSH_SIZE", 20)  # characters and ancestors
+    assert len(list(H._node_batches(iter(pages), schema))) > 3
