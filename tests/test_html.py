@@ -195,3 +195,24 @@ def test_parse_leaves_in_bounded_batches(monkeypatch):
     monkeypatch.setattr(H, "FLUSH_NODES", 1000)
     monkeypatch.setattr(H, "FLUSH_SIZE", 20)  # characters and ancestors
     assert len(list(H._node_batches(iter(pages), schema))) > 3
+
+
+def test_plain_markup_reads_as_by_the_base_class(monkeypatch):
+    import random
+    rng = random.Random(1)
+    bits = ["<", "</", ">", "p", "style", " ", '"', "&amp;", "&", "<!--", "-->", "<p>", "</p>", '<a HREF="Q">', '<p class="a" id="b">', "<br/>", "</style>",
+            "<style>", '<p a="b"c="d">', '<p a="b" >', "<LI>", "<ul>", "</UL>", "<title>", "</title>", '<p x="a&lt;">', "<textarea>"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    got = [H.html_to_rows(p) for p in pages]
+    monkeypatch.setattr(H._TreeBuilder, "_plain", lambda self, i: i)
+    assert got == [H.html_to_rows(p) for p in pages]
+
+
+def test_collapse_has_no_python_call_for_each_page(spark):
+    pages = [(i, f'<div><p class="a"></p>{"<b></b>" * (i % 3)}<p class="a"></p></div>') for i in range(300)]
+    pages += [(None, '<ul><li>1</li><li>2</li></ul>'), (7, None)]
+    got = H.collapse_siblings(_nodes(spark, pages))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    html = {r.page_id: r.html for r in H.render_html(got).collect()}
+    keep = ['<div><p class="a"></p></div>', '<div><p class="a"></p><b></b><p class="a"></p></div>', '<div><p class="a"></p><b></b><b></b><p class="a"></p></div>']
+    assert html == {None: "<ul><li>1</li></ul>"} | {i: keep[i % 3] for i in range(300)}
