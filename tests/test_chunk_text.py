@@ -169,3 +169,21 @@ def test_block_maps_compose(spark):
     assert found[0] == found[1] == found[2]
     for r in found[0]:  # no line that isn't blank is lost, none is doubled
         assert [x for x in r.text.split("\n") if x.strip()] == [x for b in r.b for x in b.block.split("\n") if x.strip()]
+
+
+def test_repeated_ngrams_in_one_shuffle_of_fixed_size_rows(spark):
+    from collections import Counter, defaultdict
+
+    from quarry.operators.text import repeated_ngrams
+    rows = [(1, "a b c d a b c d a b"), (1, "a b c d e"), (2, "a b c d"), (None, "a b c d"), (None, "x a b c d"), (3, None), (4, "short"),
+            (5, "a b c d e"), (5, "a b c d e")]
+    n_occ, docs = Counter(), defaultdict(set)
+    for k, t in rows:
+        words = (t or "").split()
+        for i in range(len(words) - 2):
+            n_occ[g := " ".join(words[i:i + 3])] += 1
+            docs[g].add(k)
+    found = repeated_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), n=3, min_count=3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((g, c, len(docs[g])) for g, c in n_occ.items() if c >= 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan  # counts and places are summed in hash tables, not by sorting all n-grams
