@@ -30,11 +30,11 @@ def squeeze(text: Column) -> Column:
 
 def token_class(tok: Column) -> Column:
     """Coarse token class (re-aimed part-of-speech tag): cjk, num, word, space, newline, punct, other."""
-    return (F.when(tok.rlike(r"^[\x{4e00}-\x{9fff}]$"), "cjk")
+    return (F.when(tok == " ", "space")
+            .when(tok == "\n", "newline")
+            .when(tok.rlike(r"^[\x{4e00}-\x{9fff}]$"), "cjk")
             .when(tok.rlike(r"^[0-9]+$"), "num")
             .when(tok.rlike(r"^\w+$"), "word")
-            .when(tok == " ", "space")
-            .when(tok == "\n", "newline")
             .when(tok.rlike(r"^[.,;:!?()\[\]{}-]$"), "punct")
             .otherwise("other"))
 

@@ -187,3 +187,51 @@ def test_repeated_ngrams_in_one_shuffle_of_fixed_size_rows(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted((g, c, len(docs[g])) for g, c in n_occ.items() if c >= 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan  # counts and places are summed in hash tables, not by sorting all n-grams
+
+
+ODD_TEXTS = [(1, "a b a b  a_9 Ünï x\n\t.中文,ab中 \U0001F600\U0001F600z"), (1, "a b"), (2, None), (3, ""), (4, "q"), (None, "a b a"), (5, "a " * 700),
+             (6, " ".join(f"w{i % 7}" for i in range(40)) + "\0\0 \u0301é")]
+
+
+def test_token_lists_cut_like_the_expression(spark, monkeypatch):
+    from quarry.functions import text as FT
+    from quarry.operators import quality as Q
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string").coalesce(1)
+    want = docs.select("doc_id", F.coalesce(FT.tokens(F.col("text")), F.array()).alias("_t")).collect()
+    for limit in (1 << 22, 30, 1):
+        monkeypatch.setattr(Q, "TOKEN_BYTES", limit)
+        assert Q.token_lists(docs).collect() == want
+    assert Q.token_lists(docs.limit(0)).collect() == []
+
+
+def test_window_perplexity_by_hand(spark, monkeypatch):
+    """Heavy bigrams are summed where they are read, the others meet the model; both give what a count by hand gives."""
+    import math
+    import re
+    from collections import Counter
+    from quarry.operators import quality as Q
+    toks = [(k, re.findall(r"[一-鿿]|[A-Za-z0-9_]+|.", t, re.S)) for k, t in ODD_TEXTS if t]
+    c2, c1 = (Counter(p[:n] for _, t in toks for p in zip(t, t[1:])) for n in (2, 1))
+    v = len({x for _, t in toks for x in t})
+    want = {}
+    for key, t in toks:
+        for i, p in enumerate(zip(t, t[1:]), 1):
+            want.setdefault((key, 0 if i < 20 else (i - 20) // 10 + 1), []).append(-math.log((c2[p] + 1) / (c1[p[:1]] + v)))
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string")
+    for share in (0.0, 0.005, 0.3, 1.0):
+        monkeypatch.setattr(Q, "HEAVY_BIGRAMS", share)
+        got = Q.window_perplexity(docs, max_length=20, stride=10).collect()
+        assert {(r.doc_id, r.win_no) for r in got} == set(want) and len(got) == len(want)
+        for r in got:
+            assert math.isclose(r.ppl, math.exp(sum(x := want[r.doc_id, r.win_no]) / len(x)), rel_tol=1e-9)
+
+
+def test_common_bigrams_leave_the_texts_as_sums(spark):
+    """The rows that meet in the shuffle: one a window, and one for each token of a bigram that isn't common."""
+    from quarry.operators import quality as Q
+    import pyarrow as pa
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string")
+    heavy = pa.table({"prev": ["a", " "], "tok": [" ", "a"], "nll": [1.0, 2.0]})
+    rows = Q.score_windows(docs.where("doc_id = 5"), heavy).collect()
+    assert {(r.win_no, r.prev, r.tok, r.n, r.nll) for r in rows} == {(0, None, None, 511, 256 + 2.0 * 255), (4, None, None, 120, 180.0), *(
+        (w, None, None, 256, 384.0) for w in (1, 2, 3))}
