@@ -10,25 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir, ship_package, small_batches
 
 #: Word separators of the contracts: space and the controls 0x09-0x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound is many times that, held twice in every task
-#: by the JVM outside its heap and again by the worker.
-BATCH_BYTES = "4m"
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of Arrow batches, unless the session has a bound of its own. It changes no result."""
-    if spark.conf.get(_BATCH_SETTING, unset := "1b") == unset:
-        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the package is made importable on the executors and batches are bounded first."""
     ship_package(spark)

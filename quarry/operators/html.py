@@ -102,7 +102,7 @@ class _TreeBuilder(HTMLParser):
     def _add(self, kind, tag, attrs, text):
         parent = self.rows[self.stack[-1]][0] if self.stack else -1
         nid = len(self.rows)
-        self.rows.append([nid, nid, parent, len(self.stack), kind, tag, attrs, text, list(self.stack)])
+        self.rows.append([nid, nid, parent, len(self.stack), kind, tag, attrs, text])
         return nid
 
     def _close_to(self, i):
@@ -161,11 +161,21 @@ class _TreeBuilder(HTMLParser):
         return self.rows
 
 
-def html_to_rows(html: str) -> list[list]:
-    """Pre-order rows ``[node_id, subtree_end, parent_id, depth, kind, tag, attrs, text, ancestors]``."""
+def tree_rows(html: str) -> Iterator[list]:
+    """Pre-order rows ``[node_id, subtree_end, parent_id, depth, kind, tag, attrs, text, ancestors]``. Ancestors are listed as
+    a row goes out: those of all rows at once would grow with nodes times depth."""
     b = _TreeBuilder()
     b.feed(html or "")
-    return b.finish()
+    path: list[int] = []  # the last node of each depth
+    for row in b.finish():
+        del path[row[3]:]
+        yield [*row, path[:]]
+        path.append(row[0])
+
+
+def html_to_rows(html: str) -> list[list]:
+    """The rows of :func:`tree_rows`, all at once."""
+    return list(tree_rows(html))
 
 
 #: What a worker holds of parsed nodes before they leave it: nodes, or characters and ancestors in them.
@@ -193,7 +203,7 @@ def _node_batches(pages: Iterator[tuple[int | None, str | None]], schema: pa.Sch
     plain, names, values, attr_ends, no_attrs, paths, path_ends = fresh()
     chars = 0
     for pid, html in pages:
-        for nid, end, parent, depth, kind, tag, attrs, text, ancestors in html_to_rows(html):
+        for nid, end, parent, depth, kind, tag, attrs, text, ancestors in tree_rows(html):
             for column, x in zip(plain, (pid, nid, end, parent, depth, kind, tag, text)):
                 column.append(x)
             if attrs:
@@ -215,8 +225,8 @@ def _node_batches(pages: Iterator[tuple[int | None, str | None]], schema: pa.Sch
 
 
 def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Pages → node table (one Arrow-batched Python pass), repartitioned by page. A worker holds the input batch, the
-    nodes of one page and one bounded batch of the output, however many pages a batch has."""
+    """Pages → node table (one Arrow-batched Python pass), repartitioned by page. A worker holds an input batch of bounded
+    bytes, the nodes of one page and one bounded batch of the output, however many pages there are."""
     from pyspark.sql.pandas.types import to_arrow_schema
     schema = to_arrow_schema(StructType.fromDDL(NODE_SCHEMA))
 
@@ -224,8 +234,9 @@ def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
         pairs = ((pid.as_py(), h.as_py()) for batch in batches for pid, h in zip(batch.column(0), batch.column(1)))
         yield from _node_batches(pairs, schema)
 
-    from ..session import apply_workarounds
+    from ..session import apply_workarounds, small_batches
     apply_workarounds(pages.sparkSession)
+    small_batches(pages.sparkSession)
     nodes = pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(run, NODE_SCHEMA)
     return nodes.withColumnRenamed("page_id", key).repartition(key)
 
@@ -479,6 +490,8 @@ def collapse_siblings(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     by numbers built bottom-up, page by page. A page is one row, so a worker gets many small pages in one batch, of
     each node only what the rules look at; pages keep the partitioning of the node table.
     """
+    from ..session import small_batches
+    small_batches(nodes.sparkSession)
     others = [c for c in nodes.columns if c != key]
     label = F.to_json(F.struct("kind", "tag", F.map_entries("attrs").alias("attrs"), "text"))
     classed = F.coalesce(F.get(F.map_keys("attrs"), 0) == "class", F.lit(False))

@@ -216,3 +216,49 @@ def test_collapse_has_no_python_call_for_each_page(spark):
     html = {r.page_id: r.html for r in H.render_html(got).collect()}
     keep = ['<div><p class="a"></p></div>', '<div><p class="a"></p><b></b><p class="a"></p></div>', '<div><p class="a"></p><b></b><b></b><p class="a"></p></div>']
     assert html == {None: "<ul><li>1</li></ul>"} | {i: keep[i % 3] for i in range(300)}
+
+
+def test_deep_page_costs_memory_by_nodes_not_by_depth(spark):
+    import tracemalloc
+
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    schema = to_arrow_schema(StructType.fromDDL(H.NODE_SCHEMA))
+    page, n = "<div>" * 3000, 0
+    tracemalloc.start()
+    for batch in H._node_batches(iter([(1, page)]), schema):
+        ends = pc.list_value_length(batch.column(schema.get_field_index("ancestors"))).to_pylist()
+        assert ends == list(range(n, n + batch.num_rows))
+        n += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3000 and peak < 20 << 20  # the ancestors of all rows at once take 36 MB
+
+
+def test_html_steps_get_input_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("x"), 4000).alias("html"))
+
+    def mapped(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    @F.arrow_udf("long")
+    def called(html: pa.Array) -> pa.Array:
+        return pa.array([html.nbytes] * len(html), pa.int64())
+
+    nodes = _nodes(spark, [(1, "<p>a</p>")])
+    was = spark.conf.get(setting, "1b")  # 1b: not set
+    try:
+        for step in (lambda: H.parse_nodes(pages, "id"), lambda: H.collapse_siblings(nodes)):
+            spark.conf.unset(setting)
+            step()
+            assert pages.mapInArrow(mapped, "n long").agg(F.max("n")).first()[0] < 6 << 20
+            assert pages.select(called("html").alias("n")).agg(F.max("n")).first()[0] < 6 << 20
+        spark.conf.set(setting, "1m")  # a bound of the session's own stays
+        H.parse_nodes(pages, "id")
+        assert spark.conf.get(setting) in ("1m", "1048576b")
+    finally:
+        spark.conf.set(setting, was) if was != "1b" else spark.conf.unset(setting)
