@@ -262,3 +262,13 @@ def test_html_steps_get_input_batches_of_bounded_bytes(spark):
         assert spark.conf.get(setting) in ("1m", "1048576b")
     finally:
         spark.conf.set(setting, was) if was != "1b" else spark.conf.unset(setting)
+
+
+def test_packed_pages_give_the_same_without_a_shuffle(spark):
+    pages = spark.createDataFrame([(i, f'<div><p class="a">x &amp; {i}</p>{"<b></b>" * (i % 3)}<p class="a"></p><br></div><!--c-->') for i in range(50)]
+                                  + [(None, "<ul><li>1</li><li>2</li></ul>"), (77, None), (78, "")], "page_id LONG, html STRING")
+    want = H.render_html(H.collapse_siblings(H.parse_nodes(pages)))
+    got = H.render_html(H.collapse_siblings(H.parse_nodes(pages, packed=True), packed=True), packed=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 51
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
