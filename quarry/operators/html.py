@@ -11,8 +11,8 @@ operator is relational:
 
 * removing the subtrees of "hit" nodes is a running max of ``subtree_end`` over hits in
   node order (a node is inside a removed subtree iff that max reaches it);
-* "element has no visible text": non-blank text nodes mark their ``ancestors`` (an
-  exploded id list the parser emits) and unmarked elements are blank (an anti join).
+* "element has no visible text": the first non-blank text from it on, a running min
+  in reverse node order, is behind its ``subtree_end``.
 
 The node table is repartitioned by ``page_id`` once, right after the parse, so every
 later window and self-join reuses that partitioning. A page is one row of the input,
@@ -28,7 +28,6 @@ from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,16 +281,15 @@ _BLANK = r"^[\s\p{Z}]*$"
 def drop_blank(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Drop elements with no visible text in their subtree (``img`` itself is exempt).
 
-    Every non-blank text node marks its ancestors (``explode(ancestors)``, linear in
-    depth); elements never marked are blank and go with their subtrees. Earlier removals
-    take whole subtrees, so the ancestors of a remaining node always remain.
+    A subtree is a range of ids, so it holds text when the first non-blank text from its root on is not behind its end: a
+    running minimum from the page's end, with no join. Earlier removals take whole subtrees, so ids and ends stay right.
+    Nodes without a page id are kept.
     """
-    has_text = nodes.where((F.col("kind") == "text") & ~F.col("text").rlike(_BLANK)) \
-        .select(key, F.explode("ancestors").alias("node_id")).distinct()
-    blank = nodes.where((F.col("kind") == "element") & (F.col("tag") != "img")).select(key, "node_id") \
-        .join(has_text, [key, "node_id"], "left_anti").withColumn("_hit", F.lit(True))
-    marked = nodes.join(blank, [key, "node_id"], "left")
-    return _remove_subtrees(marked, F.coalesce(F.col("_hit"), F.lit(False)), key).drop("_hit")
+    text = F.when((F.col("kind") == "text") & ~F.col("text").rlike(_BLANK), F.col("node_id"))
+    w = Window.partitionBy(key).orderBy(F.col("node_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    marked = nodes.withColumn("_next", F.min(text).over(w))
+    blank = (F.col("kind") == "element") & (F.col("tag") != "img") & F.coalesce(F.col("_next") > F.col("subtree_end"), F.lit(True))
+    return _remove_subtrees(marked, blank & F.col(key).isNotNull(), key).drop("_next")
 
 
 def keep_attrs(nodes: DataFrame, names=KEPT_ATTRIBUTES) -> DataFrame:
@@ -750,24 +748,32 @@ def prune_tree(page: dict, tpl: dict) -> set[int]:
 def prune_to_template(nodes: DataFrame, template: DataFrame, key: str = "page_id") -> DataFrame:
     """Prune every page to the template tree (a node table of one page).
 
-    The template is configuration-sized; its node count is checked before it is shipped
-    to the tasks. Pages are pruned independently (``applyInPandas`` per page; a page was
-    one input row, so a group is bounded by one page).
+    The template is configuration-sized; no more than a bounded number of its nodes is read before it is
+    shipped to the tasks. Pages are pruned independently, each a row of an Arrow function that gets of a node only what
+    is compared, and keep the partitioning of the node table. Nodes without a page id go.
     """
-    n_tpl = template.count()
-    if n_tpl > MAX_TEMPLATE_NODES:
-        raise ValueError(f"template has {n_tpl} nodes; at most {MAX_TEMPLATE_NODES} are supported")
-    tpl = {r.node_id: (r.parent_id, r.kind, r.tag, r.cls) for r in template.select(
-        "node_id", "parent_id", "kind", "tag", F.element_at("attrs", F.lit("class")).alias("cls")).collect()}
-    cols = nodes.columns
-    slim = nodes.select(key, "node_id", "parent_id", "kind", "tag",
-                        F.element_at("attrs", F.lit("class")).alias("cls"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = {int(n): (int(p), k, t, c) for n, p, k, t, c in
-                zip(pdf["node_id"], pdf["parent_id"], pdf["kind"], pdf["tag"], pdf["cls"])}
-        kept = prune_tree(page, tpl)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "node_id": sorted(kept)})
-
-    kept = slim.groupBy(key).applyInPandas(run, f"{key} long, node_id int")
-    return nodes.join(kept, [key, "node_id"], "left_semi").select(*cols)
+    from ..session import small_batches
+    small_batches(nodes.sparkSession)
+    rows = template.select("node_id", "parent_id", "kind", "tag", F.element_at("attrs", F.lit("class")).alias("cls")) \
+        .limit(MAX_TEMPLATE_NODES + 1).collect()
+    if len(rows) > MAX_TEMPLATE_NODES:
+        raise ValueError(f"template has more than {MAX_TEMPLATE_NODES} nodes, which are supported at most")
+    tpl = {r.node_id: (r.parent_id, r.kind, r.tag, r.cls) for r in rows}
+    others = [c for c in nodes.columns if c != key]
+    pages = nodes.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(
+        *others, F.element_at("attrs", F.lit("class")).alias("_cls"))).alias("_rows"))
+
+    @F.arrow_udf("array<boolean>")
+    def stays(ids: pa.Array, parents: pa.Array, kinds: pa.Array, tags: pa.Array, classes: pa.Array) -> pa.Array:
+        import pyarrow as pa
+        out = []
+        for page in zip(ids, parents, kinds, tags, classes):
+            n, *of = (c.as_py() for c in page)
+            kept = prune_tree(dict(zip(n, zip(*of))), tpl)
+            out.append([x in kept for x in n])
+        return pa.array(out, pa.list_(pa.bool_()))
+
+    of = lambda c: F.col(f"_rows.{c}")
+    pages = pages.withColumn("_stays", stays(of("node_id"), of("parent_id"), of("kind"), of("tag"), of("_cls")))
+    kept = F.filter("_rows", lambda _, i: F.get(F.col("_stays"), i))
+    return pages.select(key, F.inline(kept)).select(*nodes.columns)

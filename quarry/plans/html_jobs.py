@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as FU
 from ..operators import html as H
 from ..operators import text as T
+from ..session import stored
 from .registry import Tables, register
 
 TRIM_RULES = ["//div[@class='ad']", "//nav", "//footer"]
@@ -223,11 +224,13 @@ def p17_build_corpus(spark, sf):
 def p13_prune_to_template(spark, sf):
     """Template = the first page of the largest structure cluster (P11), pruned with P12;
     every page is then pruned to it."""
-    nodes = H.clean_html(_nodes(spark, sf))
-    sig = H.structure_signature(nodes)
+    nodes = H.clean_html(_nodes(spark, sf).drop("ancestors")).persist(StorageLevel.DISK_ONLY)
+    sig = stored(H.structure_signature(nodes).select("page_id", "signature"))
     sizes = sig.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     pick = sig.join(sizes, "signature").orderBy(F.col("n").desc(), "page_id").limit(1).select("page_id")
-    template = H.collapse_siblings(H.structure_nodes(nodes.join(pick, "page_id", "left_semi")))
+    # the nodes are kept on disk, since two jobs read them; only the picked page is parsed again
+    picked = H.clean_html(H.parse_nodes(Tables(spark, sf).pages.join(F.broadcast(pick), "page_id", "left_semi")))
+    template = H.collapse_siblings(H.structure_nodes(picked))
     return _cols(H.prune_to_template(nodes, template))
 
 

@@ -272,3 +272,16 @@ def test_packed_pages_give_the_same_without_a_shuffle(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 51
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_cleaning_and_pruning_shuffle_nodes_once(spark):
+    pages = [(1, "<div><p> </p><p>a<img></p><ul><li></li></ul><img></div>"), (2, "<p></p>"), (3, "<div><b><i> </i></b></div>x"),
+             (None, "<p></p>"), (1, "<div><p> </p><p>a<img></p><ul><li></li></ul><img></div>")]
+    clean = H.drop_blank(_nodes(spark, pages))
+    rows = sorted((r.page_id or 0, r.node_id, r.tag or r.text) for r in clean.collect())
+    one = [(1, 0, "div"), (1, 3, "p"), (1, 4, "a"), (1, 5, "img"), (1, 8, "img")]
+    assert rows == sorted([(0, 0, "p"), (3, 4, "x"), *one, *one])
+    pruned = H.prune_to_template(H.clean_html(_nodes(spark, pages)), _nodes(spark, [(9, "<div><p></p><img></div>")]))
+    assert sorted((r.page_id, r.node_id) for r in pruned.collect()) == sorted([(1, 0), (1, 3), (1, 4), (1, 5), (1, 8)] * 2)
+    plan = pruned._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hash") == 1 and "Join" not in plan
