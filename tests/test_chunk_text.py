@@ -111,6 +111,27 @@ def test_fast_dedup_equals_plain_statement():
         assert T.dedup_tokens(toks) == ref
 
 
+def test_numbered_dedup_equals_plain_statement(spark, monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3000):
+        alpha = rng.sample(["a", "b", "ab", " ", " ", "  ", "1", "\u00b2", "[", "\n", "\u4e2d", ".", "\u00e9"], rng.randint(2, 6))
+        texts.append("".join(rng.choice(alpha) * rng.choice([1, 1, 2, 5]) for _ in range(rng.randint(0, 40))))
+    toks = [re.findall(r"[\u4e00-\u9fff]|[A-Za-z0-9_]+|.", x, re.S) for x in texts]
+    odd = [["a", "b", "a", "b"] * 3, ["a b", "c", "a", " b", "c"], None, []]
+    calls = []
+    plain = T.dedup_tokens
+    monkeypatch.setattr(T, "dedup_tokens", lambda *a: calls.append(a) or plain(*a))
+    for chunk in (1 << 18, 50):
+        monkeypatch.setattr(T, "CHUNK_TOKENS", chunk)
+        for min_n, max_n in ((3, 10), (1, 4), (3, 3)):
+            want = [None if x is None else "".join(plain(x, min_n, max_n)) for x in toks + odd]
+            calls.clear()
+            assert T._dedup_udf(min_n, max_n).func(pa.array(toks + odd)).to_pylist() == want
+            assert len(calls) == 2  # only the texts whose tokens don't read alike when joined
+
+
 def test_tokens_round_trip_random_unicode(spark):
     rng = random.Random(8)
     alphabet = list("ab Z_09\n\t.,!?[](){}|'\"") + ["中", "文", "é", "ß", "😀", "　", "\r"]
